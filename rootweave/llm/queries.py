@@ -11,12 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.llm.common import table
+from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_next
+from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.packing import pack
 from rootweave.llm.token_counts import token_counts
 from rootweave.llm.token_files import write_token_files
 from rootweave.llm.vocab import default_vocabulary
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of the text whose last third gives way to the next document's start."""
+    found = with_next(table(spark, sf_dir, "documents"))
+    n = F.char_length("text").cast("long")
+    third = F.floor(n / 3).cast("int")
+    found = found.withColumn("n_chars", n).withColumn(
+        "edited", F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("next_text", F.lit(1), third))
+    )
+    found = found.withColumn("edited_fingerprint", winnow(F.col("edited")))
+    own, new, later = (hashes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        printed(F.col("fingerprint")).alias("fingerprint"), printed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"), likeness(own, later).alias("near_next"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 2048)
 
@@ -25,6 +44,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), 0).index()
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"), 20, 3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 1, 2048)
 
@@ -34,4 +58,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": r"""
+            WITH lines AS (
+                SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+                FROM documents),
+            keyed AS (
+                SELECT doc_id, pos, line,
+                       translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                FROM lines),
+            common AS (
+                SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+                GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+            marked AS (
+                SELECT doc_id, pos, line, keeper IS NOT NULL AND keeper <> doc_id AS lost
+                FROM keyed LEFT JOIN common USING (key))
+            SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+            FROM marked GROUP BY doc_id""",
+    }
