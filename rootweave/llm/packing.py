@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm.common import shuffle_partitions, ship, written
-from rootweave.llm.vocab import PieceEncoder
+from rootweave.llm.vocab import encoder as encoder_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -36,10 +36,10 @@ def _tokenise(batches, path: str, end_id: int):
 
     from rootweave.llm.common import batches_of_rows
 
-    encoder = PieceEncoder(path)
+    encoder = encoder_of(path)
     end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
     for batch in batches:
-        for bins, ids, sources, group in batches_of_rows(batch, ["bin", "doc_id", "source", "text"]):
+        for bins, ids, sources, group in batches_of_rows(batch, ["bin", "doc_id", "source", "text"], 4096):
             rows = [x + end for x in encoder.encode(group)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bins, pa.int32()), pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array([len(r) // encoder.width for r in rows], pa.int64()), pa.array(rows, pa.binary())],

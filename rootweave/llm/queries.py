@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootweave.llm import language
 from rootweave.llm.common import table
+from rootweave.llm.decontam import contaminated
 from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_next
 from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.packing import pack
@@ -49,6 +51,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~held)
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 1, 2048)
 

@@ -12,21 +12,21 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import partial
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rootweave.llm.common import batches_of_rows, texts
-from rootweave.llm.vocab import _CLOSED_WORD, pieces
+from rootweave.llm.vocab import _CLOSED_WORD, Generations, coded_pieces, slices_of
 
 
 class HeapMerger:
     """Counts tokens of a vocabulary file of the "BPE with word ends" kind."""
 
-    def __init__(self, path: str, memo_size: int = 800_000):
+    def __init__(self, path: str, memo_size: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -45,8 +45,8 @@ class HeapMerger:
         self.special = regex.compile("|".join(specials)) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
-        self.memo_size, self.memo = memo_size, {}
-        self.words: dict[str, int] = {}
+        self.memo, self.words = Generations(memo_size), {}
+        self.memo_size = memo_size
 
     def _symbol(self, text: str) -> int:
         return self.symbols.setdefault(text, len(self.symbols))
@@ -87,7 +87,7 @@ class HeapMerger:
     def _word(self, word: str) -> int:
         count = self.words.get(word)
         if count is None:
-            if len(self.words) >= self.memo_size // 2:
+            if len(self.words) >= self.memo_size:
                 self.words.clear()
             count = self.words[word] = self.merged_length(word)
         return count
@@ -108,17 +108,20 @@ class HeapMerger:
         return count + sum(map(self._word, self.pattern.findall(self._normalised(piece[at:]))))
 
     def count(self, group: list[str]) -> list[int]:
-        """Tokens of every text of a small group."""
-        cut = [pieces(text) for text in group]
-        memo = self.memo
-        needed = set(chain.from_iterable(cut))
-        new = needed.difference(memo)
-        if len(memo) + len(new) > self.memo_size:
-            memo.clear()
-            new = needed
-        for piece in new:
-            memo[piece] = self._piece(piece)
-        return [sum(map(memo.__getitem__, parts)) for parts in cut]
+        """Tokens of every text."""
+        out: list[int] = []
+        for start, end in slices_of(group):
+            uniques, codes, starts = coded_pieces(group[start:end])
+            counts = np.array(self.memo.lookup(uniques, lambda new: list(map(self._piece, new))), dtype=np.int64)[codes]
+            sums = np.concatenate([[0], np.cumsum(counts)])[starts]
+            out += np.diff(sums).tolist()
+        return out
+
+
+@lru_cache(maxsize=2)
+def merger(path: str) -> HeapMerger:
+    """One for each worker process, so that its memo outlives a task."""
+    return HeapMerger(path)
 
 
 def _byte_alphabet() -> list[str]:
@@ -129,10 +132,10 @@ def _byte_alphabet() -> list[str]:
 
 
 def _count_batches(batches, path: str, limit: int):
-    merger = HeapMerger(path)
+    counter = merger(path)
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"]):
-            counts = merger.count(group)
+        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 4096):
+            counts = counter.count(group)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),

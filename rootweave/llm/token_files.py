@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm.common import batches_of_rows, scratch_path, shuffle_partitions, texts, written
-from rootweave.llm.vocab import PieceEncoder
+from rootweave.llm.vocab import encoder as encoder_of
 
 _SHIFTS = np.arange(0, 8, 2, dtype=np.uint8)
 #: Lengths of the four ids of every control byte.
@@ -60,10 +60,10 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenise(batches, path: str, end_id: int):
-    encoder = PieceEncoder(path)
+    encoder = encoder_of(path)
     end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"]):
+        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 4096):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x + end for x in encoder.encode(group)], pa.binary())], names=["doc_id", "ids"])
 
 
@@ -75,7 +75,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def _histogram(batches, width: int, size: int):
     total = np.zeros(size, dtype=np.int64)
     for batch in batches:
-        for (rows,) in batches_of_rows(batch, ["ids"], 1024):
+        for (rows,) in batches_of_rows(batch, ["ids"], 4096):
             total += np.bincount(np.frombuffer(b"".join(rows), dtype=f"<u{width}"), minlength=size)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])

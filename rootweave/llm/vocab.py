@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A blank that is followed by white space or ends the text keeps to its left neighbour.
 _LOOSE_BLANK = re.compile(r" (?=\s|\Z)")
@@ -28,10 +32,54 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Generations:
+    """A bounded memo of two generations: a full one ages, and what is used again is kept."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def lookup(self, keys: list, learn) -> list:
+        """Values of distinct keys; learn(missing keys) gives those of new ones."""
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        aged = [i for i, x in enumerate(found) if x is None]
+        if aged:
+            missing = []
+            for i in aged:
+                found[i] = old.get(keys[i])
+                if found[i] is None:
+                    missing.append(i)
+            for i, value in zip(missing, learn([keys[i] for i in missing]), strict=True):
+                found[i] = value
+            young.update((keys[i], found[i]) for i in aged)
+            if len(young) > self.size:
+                self.young, self.old = {}, young
+        return found
+
+
+def coded_pieces(group: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces at single blanks, the code of every piece, and where each text's codes start."""
+    split = pc.split_pattern(pa.array(group, pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+
+
+def slices_of(group: list[str], chars: int = 16_000_000):
+    """Index ranges of a list of texts whose sizes sum to about `chars`."""
+    start = total = 0
+    for i, text in enumerate(group):
+        total += len(text)
+        if total >= chars:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(group):
+        yield start, len(group)
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian bytes, by the tokenizers library, one call for each new piece."""
+    """Ids of texts as little-endian bytes; the tokenizers library sees each new piece once."""
 
-    def __init__(self, path: str, memo_size: int = 600_000):
+    def __init__(self, path: str, memo_size: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,34 +88,57 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = 2 if self.code == "H" else 4
-        self.memo_size = memo_size
-        self.after_blank: dict[str, bytes] = {}  # pieces that a blank precedes in the text
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, new: set[str], memo: dict[str, bytes], blank: str) -> None:
-        closed = {p for p in new if _CLOSED_WORD.match(p)}
-        marks = {p[-1] for p in closed}
-        words = list((new - closed) | {p[:-1] for p in closed if p[:-1] not in memo})
-        found = self.tokenizer.encode_batch_fast([blank + p for p in words] + list(marks), add_special_tokens=False)
-        ids = [array(self.code, x.ids).tobytes() for x in found]
-        memo.update(zip(words, ids, strict=False))
-        tail = dict(zip(marks, ids[len(words) :], strict=True))
-        for piece in closed:
-            memo[piece] = memo[piece[:-1]] + tail[piece[-1]]
-
-    def _known(self, needed: set[str], memo: dict[str, bytes], blank: str) -> dict[str, bytes]:
-        new = needed.difference(memo)
-        if new:
-            if len(memo) + len(new) > self.memo_size:
-                memo.clear()
-                new = needed
-            self._learn(new, memo, blank)
-        return memo
+        self.after_blank = Generations(memo_size)  # pieces that a blank precedes in the text
+
+    def _library(self, group: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """A closed word is encoded as its word and its mark, so that the word is shared."""
+        words = dict.fromkeys(p[:-1] if _CLOSED_WORD.match(p) else p for p in new)
+        marks = dict.fromkeys(p[-1] for p in new if p[:-1] in words and _CLOSED_WORD.match(p))
+        words = dict(zip(words, self._library([" " + w for w in words]), strict=True))
+        marks = dict(zip(marks, self._library(list(marks)), strict=True))
+        return [words[p[:-1]] + marks[p[-1]] if _CLOSED_WORD.match(p) else words[p] for p in new]
+
+    def _together(self, group: list[str]) -> list[bytes]:
+        uniques, codes, starts = coded_pieces(group)
+        values = self.after_blank.lookup(uniques, self._learn)
+        heads = [group[i].partition(" ")[0] for i in range(len(group))]
+        values += self._library(heads)
+        codes = codes.copy()
+        codes[starts[:-1]] = np.arange(len(uniques), len(values))
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
+        store = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")
+        first = np.cumsum(size) - size
+        lengths = size[codes]
+        ends = np.cumsum(lengths)
+        at = np.repeat((first[codes] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = store[at].tobytes()
+        cut = np.concatenate([[0], ends])[starts] * self.width
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _alone(self, text: str) -> bytes:
+        head, *rest = pieces(text)
+        distinct = list(dict.fromkeys(rest))
+        known = dict(zip(distinct, self.after_blank.lookup(distinct, self._learn), strict=True))
+        return self._library([head])[0] + b"".join(map(known.__getitem__, rest))
 
     def encode(self, group: list[str]) -> list[bytes]:
-        """Ids of every text of a small group, `width` bytes each."""
-        cut = [pieces(text) for text in group]
-        heads = [parts.pop(0) for parts in cut]
-        first = self._known(set(heads), self.first, "")
-        later = self._known(set(chain.from_iterable(cut)), self.after_blank, " ")
-        return [first[head] + b"".join(map(later.__getitem__, parts)) for head, parts in zip(heads, cut, strict=True)]
+        """Ids of every text, `width` bytes each."""
+        out: list[bytes] = [b""] * len(group)
+        plain = [i for i, text in enumerate(group) if not _LOOSE_BLANK.search(text)]
+        for i in set(range(len(group))).difference(plain):
+            out[i] = self._alone(group[i])
+        texts = [group[i] for i in plain]
+        for start, end in slices_of(texts):
+            for i, ids in zip(plain[start:end], self._together(texts[start:end]), strict=True):
+                out[i] = ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker process, so that its memo outlives a task."""
+    return PieceEncoder(path)
