@@ -15,6 +15,7 @@ from rootweave.llm.common import table
 from rootweave.llm.decontam import contaminated
 from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_next
 from rootweave.llm.line_runs import dedup_lines
+from rootweave.llm.near_dups import near_duplicates
 from rootweave.llm.packing import pack
 from rootweave.llm.token_counts import token_counts
 from rootweave.llm.token_files import write_token_files
@@ -42,6 +43,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), 0).index()
 
@@ -73,6 +78,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_dups": r"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x20\x09-\x0D]+') AS w
+                FROM documents),
+            shingles AS (
+                SELECT doc_id, unnest(CASE WHEN len(w) >= 2
+                    THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                    WHEN len(w) = 1 THEN w ELSE [] END) AS s
+                FROM words),
+            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            shared AS (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+                FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+            links AS (
+                SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+                WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+            edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(doc_id, other) AS (
+                SELECT doc_id, doc_id FROM documents
+                UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other),
+            least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+            FROM least LEFT JOIN sizes USING (doc_id)""",
         "op7_line_dedup": r"""
             WITH lines AS (
                 SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
