@@ -17,6 +17,7 @@ from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_n
 from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.near_dups import near_duplicates
 from rootweave.llm.packing import pack
+from rootweave.llm.run_index import without_repeats
 from rootweave.llm.token_counts import token_counts
 from rootweave.llm.token_files import write_token_files
 from rootweave.llm.vocab import default_vocabulary
@@ -43,6 +44,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"), 400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
