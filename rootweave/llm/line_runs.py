@@ -96,15 +96,20 @@ class LineRuns:
         return self._merged(self._known())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc_id, text, kept, n_lines, n_dropped for every document.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: bool = False) -> DataFrame:
+    """doc_id, text, kept, n_lines, n_dropped for every document; with `carry` its row, too, as a struct.
 
     Keys found in at least `min_docs` documents lose all their lines except in the largest doc_id
     that holds them. Keys of all texts are computed once and written by batch; each batch goes
     through the runs; the totals then mark (document, position) pairs.
     """
     spark = docs.sparkSession
-    plain = texts(docs).withColumn("row_hash", F.xxhash64("text"))
+    extra = ["row"] if carry else []
+    plain = texts(docs)
+    if carry:
+        plain = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        plain = plain.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), "row")
+    plain = plain.withColumn("row_hash", F.xxhash64("text"))
     keyed = plain.select(
         "doc_id", "row_hash", F.transform(lines_of(F.col("text")), lambda line: line_key(line, min_chars)).alias("keys"),
         F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
@@ -123,7 +128,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lost = lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))
     lost = written(lost, "lost-lines")
     same = plain["doc_id"].eqNullSafe(lost["doc_id"]) & (plain["row_hash"] == lost["row_hash"])
-    joined = plain.join(lost, same, "left").select(plain["doc_id"], "text", "lost")
+    joined = plain.join(lost, same, "left").select(plain["doc_id"], "text", "lost", *extra)
     n = F.size("lost")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("lost", i - 1) + 1)
     end = lambda i: F.when(i == n, F.size("lines")).otherwise(F.get("lost", i))
@@ -133,5 +138,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         "doc_id", "text",
         F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n")).alias("kept"),
         (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(n, F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_dropped"), *extra,
     )

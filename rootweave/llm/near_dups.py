@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: i
     own = F.pmod(F.xxhash64("doc_id", "key"), parts.cast("long")).cast("int")
     blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root", "signature")
-    pairs = blocked.groupBy("key", "i", "j").applyInPandas(partial(_across, least=least), "a long, b long").distinct()
+    pairs = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _across(frame, least), "a long, b long").distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "near-rest")
     if not pairs.isEmpty():
         links = links.unionByName(_verified(pairs, signatures, plain, percent, width, least, "near-rest"))

@@ -172,4 +172,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, ta
     of_source = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(of_source), F.lit(0))
     opening = grid.select("bin", "base", "source_key", (F.col("share") * F.col("packed") - held).alias("owed"))
-    return spool.groupBy("bin").cogroup(opening.groupBy("bin")).applyInPandas(partial(_fill, size=size, width=width, share=share), PIECES)
+    return spool.groupBy("bin").cogroup(opening.groupBy("bin")).applyInPandas(lambda frame, opening: _fill(frame, opening, size, width, share), PIECES)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.llm import language
+from rootweave.llm import chat, language
 from rootweave.llm.common import table
 from rootweave.llm.decontam import contaminated
 from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_next
@@ -53,6 +53,17 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from raw transcripts of all conversations; learned where crc32(conv_id) mod 4 is not 2."""
+    blocks = chat.raw_blocks(table(spark, sf_dir, "conversations"))
+    held = language.held_out(F.col("conv_id"))
+    found = chat.parse_transcripts(blocks, chat.fit(blocks, ~held))
+    return found.select(
+        "conv_id", held.alias("held_out"), "turn", "line", "role", "continued", "n_lines",
+        F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), 0).index()
 

@@ -298,7 +298,7 @@ def without_repeats(docs: DataFrame, length: int = 400, seed: int = 40, crowd: i
     blocks = max(shuffle_partitions(spark), -(-int(sizes["bytes"] or 0) // block_bytes))
     cut = texts_with(calm, sizes["n"]).mapInArrow(partial(_cut, kind="bytes"), "gram long, digest binary, bytes binary").dropDuplicates(["digest"])
     blocked = cut.withColumn("block", F.pmod("gram", F.lit(blocks)))
-    found = blocked.groupBy("block").applyInPandas(partial(_block_marks, length=length), "digest binary, low array<int>, high array<int>")
+    found = blocked.groupBy("block").applyInPandas(lambda frame: _block_marks(frame, length), "digest binary, low array<int>, high array<int>")
     marks = marks.unionByName(found)
     if sizes["crowded"]:
         windows = texts_with(open_classes.filter(F.col("n_classes") > crowd), sizes["crowded"]).mapInArrow(partial(_cut, kind="windows", length=length), "window binary, digest binary, offset int").distinct()
