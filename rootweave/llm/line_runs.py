@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lost = lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))
     lost = written(lost, "lost-lines")
     same = plain["doc_id"].eqNullSafe(lost["doc_id"]) & (plain["row_hash"] == lost["row_hash"])
-    joined = plain.join(lost, same, "left").select(plain["doc_id"], "text", "lost", *extra)
+    joined = plain.join(lost.hint("merge"), same, "left")  # texts move once, however few lines are lost.select(plain["doc_id"], "text", "lost", *extra)
     n = F.size("lost")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("lost", i - 1) + 1)
     end = lambda i: F.when(i == n, F.size("lines")).otherwise(F.get("lost", i))
