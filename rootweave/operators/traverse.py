@@ -20,8 +20,8 @@ def reverse_depths(edges: DataFrame, start: DataFrame, kind: str | None = None,
     return seen.filter("depth > 0").select("node", F.col("depth").cast("long").alias("depth"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A step of the fixpoint: written in the cluster's checkpoint folder, else checkpointed eagerly."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table that several plans read: written in the cluster's checkpoint folder, else checkpointed eagerly."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -38,12 +38,12 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
     """Nodes that `start`(id) reaches, start included. Cycles end because seen nodes leave the frontier."""
     chosen = edges.select("source", "target").distinct()
-    seen = _kept(start.select(F.col("id").alias("node")).distinct(), "seen")
+    seen = kept(start.select(F.col("id").alias("node")).distinct(), "seen")
     frontier = seen
     for _ in range(rounds):
         step = chosen.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        frontier = _kept(step.join(seen, "node", "left_anti"), "frontier")
+        frontier = kept(step.join(seen, "node", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = _kept(seen.unionByName(frontier), "seen")
+        seen = kept(seen.unionByName(frontier), "seen")
     raise RuntimeError("reachability did not settle")
