@@ -7,12 +7,12 @@ at s = 0.8 with 40 bands of 5.
 
 Copies: documents of equal sets are one class, held by its least doc_id; only classes go on, so a
 group of copies costs one row. Buckets: no bucket is expanded to all its pairs. First every member
-meets the least member of its bucket; links are verified (by signature, then on whole sets) and joined
-to components. Then only buckets that still hold more than one component are looked at, in blocks of
-bounded size, and only pairs across components whose signatures are close are verified in turn. So
-every pair of a bucket is either verified, turned down by its signature, or in one component already.
-A pair at the threshold has 200 minima of which 160 agree on average; `close` is five standard
-deviations below.
+meets the bucket's centre, the member with most bucket mates over all bands (the common source of edited
+copies, where there is one); such pairs are verified by signature (`close` is five standard deviations below
+the threshold), then on whole sets, and joined to components. Then only buckets that still hold more
+than one component are opened, in blocks of bounded size; a block counts all its intersections exactly and
+returns the links that join components, fewer than its members. So every pair of a bucket is either in
+one component or compared on whole sets.
 
 Null and empty texts, and texts without words, are empty and linked with nothing. Rows with equal ids are one
 node; rows with a null id are linked with nothing and kept. Empty tables give no rows. Extra
@@ -148,17 +148,50 @@ def _alike(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, dtype=np.int64)[keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
 
-def _across(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of one block or of two blocks of a bucket, in different components, of close signatures."""
-    signatures = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint32).reshape(len(frame), -1)
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a block, by products of bounded 0/1 matrices."""
+    values, inverse, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = seen > 1
+    column = np.cumsum(common) - 1
+    kept = common[inverse]
+    row, column = row[kept], column[inverse[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(common.sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _forest(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components inside one block or two blocks of a bucket, as many as join them and no more."""
     ids, roots = frame["doc_id"].to_numpy(), frame["root"].to_numpy()
-    found: list[tuple] = []
-    for i in range(len(frame) - 1):
-        later = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        if len(later):
-            near = later[(signatures[later] == signatures[i]).mean(axis=1) >= least]
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    if len(frame) < 2 or (roots == roots[0]).all():
+        return empty
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+    sizes = np.array([len(s) for s in sets])
+    shared = _shared_counts(sets)
+    link = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    link &= roots[:, None] != roots[None, :]
+    parent = {r: r for r in roots.tolist()}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(link)), strict=True):
+        x, y = top(roots[i]), top(roots[j])
+        if x != y:
+            parent[x] = y
+            found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else empty
 
 
 def _two_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -167,13 +200,10 @@ def _two_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, plain: DataFrame, percent: int, width: int, least: float, name: str) -> DataFrame:
-    """Pairs that hold on whole sets; sets are made again, for the documents of close pairs only."""
-    close = written(_two_sides(pairs, signatures, "signature").mapInArrow(partial(_close, least=least), "a long, b long").distinct(), f"{name}-close")
-    nodes = written(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-nodes")
+def _sets_of(nodes: DataFrame, plain: DataFrame, width: int, name: str) -> DataFrame:
+    """Whole shingle sets, made again for some documents only."""
     chosen = plain.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(partial(_set_rows, width=width), "doc_id long, shingles binary"), f"{name}-sets")
-    return written(_two_sides(close, sets, "shingles").mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct(), f"{name}-links")
+    return written(chosen.mapInArrow(partial(_set_rows, width=width), "doc_id long, shingles binary"), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -186,27 +216,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: i
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("head")), "near-classes")
     heads = filled.join(classes, (filled["digest"] == classes["digest"]) & (filled["doc_id"] == classes["head"])).select("doc_id", "signature", "keys")
     heads = written(heads.dropDuplicates(["doc_id"]), "near-heads")
-    signatures = heads.select("doc_id", "signature")
 
     entries = heads.select("doc_id", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    entries = written(entries.join(shared, "key"), "near-buckets")
-    stars = entries.filter(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(stars, signatures, plain, percent, width, least, "near-stars")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = written(entries.join(shared.hint("merge"), "key"), "near-buckets")
+    mates = entries.groupBy("doc_id").agg(F.sum("n").alias("mates"))
+    centre = entries.join(mates, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("mates", -F.col("doc_id"))).alias("centre"))
+    stars = entries.join(centre, "key").filter(F.col("doc_id") != F.col("centre"))
+    stars = stars.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    close = written(_two_sides(stars, heads, "signature").mapInArrow(partial(_close, least=least), "a long, b long").distinct(), "near-close")
+    nodes = written(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
+    sets = _sets_of(nodes, plain, width, "near-sets")
+    links = written(_two_sides(close, sets, "shingles").mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct(), "near-links")
     roots = written(components(links), "near-roots").withColumnRenamed("node", "doc_id")
 
     labelled = written(entries.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "n", "doc_id", "root"), "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_rows = labelled.join(mixed, "key").join(signatures, "doc_id")
+    open_rows = written(labelled.join(mixed, "key"), "near-open")
+    sets = _sets_of(written(open_rows.select("doc_id").distinct(), "near-nodes"), plain, width, "near-sets")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "key"), parts.cast("long")).cast("int")
-    blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root", "signature")
-    pairs = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _across(frame, least), "a long, b long").distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "near-rest")
-    if not pairs.isEmpty():
-        links = links.unionByName(_verified(pairs, signatures, plain, percent, width, least, "near-rest"))
-        roots = written(components(links), "near-roots").withColumnRenamed("node", "doc_id")
+    blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "doc_id")
+    blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root", "shingles")
+    rest = written(blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _forest(frame, percent), "a long, b long").distinct(), "near-rest")
+    if not rest.isEmpty():
+        roots = written(components(links.unionByName(rest)), "near-roots").withColumnRenamed("node", "doc_id")
 
     member = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     member = member.join(roots.withColumnRenamed("doc_id", "head"), "head", "left")
