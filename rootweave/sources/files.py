@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rootweave.functions.text import content_key, defines_main, detect_language, line_count
 
@@ -55,31 +56,40 @@ def is_ignored(path: Column, patterns: list[str] = ()) -> Column:
     return fixed | listed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """UTF-8 with replacement of malformed bytes."""
     return content.map(lambda b: bytes(b).decode("utf-8", "replace"))
 
 
 def raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative, with slashes), size_bytes and content of all files under a folder that Spark can read."""
+    """path (relative, with slashes), size_bytes and content of all files under a folder that Spark can read; dot files are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^\w+:/*", "", root).strip("/")
     relative = F.regexp_replace("path", r"^\w+:/*" + re.escape(base) + "/+", "")
     return found.select(relative.alias("path"), F.col("length").alias("size_bytes"), "content")
 
 
-def ignore_patterns(raw: DataFrame) -> list[str]:
-    """Patterns of all .gitignore files, at root scope; as many as the tree lists."""
-    lines = raw.filter(F.substring_index("path", "/", -1) == ".gitignore").select("path", F.posexplode(F.split(decoded("content"), r"\r?\n")).alias("n", "line"))
-    kept = lines.select("path", "n", F.trim("line").alias("line")).filter("line <> '' AND line NOT LIKE '#%'")
-    return [r["line"] for r in kept.orderBy("path", "n").collect()]
+def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
+    """Patterns of all .gitignore files of the tree, at root scope; Spark's sources list no dot files."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, texts = system.listFiles(top, True), {}
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName() == ".gitignore":
+            stream = system.open(path)
+            texts[path.toString()] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+    lines = [line.strip() for name in sorted(texts) for line in texts[name].splitlines()]
+    return [line for line in lines if line and not line.startswith("#")]
 
 
 def scan(spark: SparkSession, root: str, max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
     """The files table, in path order: path, language, size_bytes, lines, text."""
     raw = raw_files(spark, root)
-    kept = raw.filter(~is_ignored(F.col("path"), ignore_patterns(raw)))
+    kept = raw.filter(~is_ignored(F.col("path"), ignore_patterns(spark, root)))
     total = kept.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     if total > max_bytes:
         raise ValueError(f"the tree holds {total} bytes; the limit is {max_bytes}")

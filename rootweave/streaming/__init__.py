@@ -1,0 +1 @@
+"""Live replay: stack depth of events as they arrive."""
