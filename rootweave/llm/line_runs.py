@@ -126,9 +126,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     places = keyed.select("doc_id", "row_hash", F.posexplode("keys").alias("at", "key")).filter(F.col("key").isNotNull())
     lost = places.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     lost = lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))
-    lost = written(lost, "lost-lines")
-    same = plain["doc_id"].eqNullSafe(lost["doc_id"]) & (plain["row_hash"] == lost["row_hash"])
-    joined = plain.join(lost.hint("merge"), same, "left")  # texts move once, however few lines are lost.select(plain["doc_id"], "text", "lost", *extra)
+    lost = written(lost, "lost-lines").withColumnsRenamed({"doc_id": "lost_id", "row_hash": "lost_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row_hash") == F.col("lost_hash"))
+    # a sort-merge join: texts move once, however few lines are lost
+    joined = plain.join(lost.hint("merge"), same, "left").select("doc_id", "text", "lost", *extra)
     n = F.size("lost")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("lost", i - 1) + 1)
     end = lambda i: F.when(i == n, F.size("lines")).otherwise(F.get("lost", i))
