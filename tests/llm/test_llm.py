@@ -193,9 +193,16 @@ def test_roles_are_recovered(spark, none):
     both = truth.join(found.dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"], "left").filter(held)
     right = both.agg(F.avg((F.coalesce("role", F.lit("")) == F.col("true_role")).cast("double"))).first()[0]
     assert right > 0.9
-    lines = [(f"user: hi {i}" if i % 2 else "assistant: fine.", False) for i in range(20)]
-    whole = model.decode(lines, chat.opening())
-    assert [s // 2 for s in whole] == [1 if i % 2 else 2 for i in range(20)]
+    long = blocks.groupBy("conv_id").count().orderBy(F.desc("count"), "conv_id").first()["conv_id"]
+    places, lines = [], []
+    for r in blocks.filter(F.col("conv_id") == long).orderBy("turn").collect():
+        for i, line, gap in chat.observed(r["text"]):
+            places.append((r["turn"], i))
+            lines.append((line, gap))
+    path = model.decode(lines, chat.opening())  # Viterbi over the whole conversation
+    starts = [(*place, chat.ROLES[state // 2]) for place, state in zip(places, path, strict=True) if state % 2 == 0]
+    got = found.filter(F.col("conv_id") == long).orderBy("turn", "line").collect()
+    assert [(r["turn"], r["line"], r["role"]) for r in got] == starts
     odd = spark.createDataFrame([(None, 0, "user", None), (1, None, "user", "hi"), (1, 1, None, "hello")], "conv_id long, turn long, role string, text string")
     assert chat.parse_transcripts(chat.raw_blocks(odd), model).count() >= 1
     assert chat.parse_transcripts(blocks.limit(0), model).count() == 0
