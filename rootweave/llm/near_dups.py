@@ -36,7 +36,7 @@ from rootweave.llm.vocab import slices_of
 
 #: Ids of this many documents, 8 bytes each, may be sent to all tasks.
 BROADCAST_IDS = 2_000_000
-BLOCK = 512
+BLOCK = 1024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
