@@ -3,10 +3,11 @@
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased; keys are
 held as MD5 hex. Documents arrive in batches. A batch is reduced to (key, n_docs, max_doc), one row
 for each key, with a partial aggregate before its shuffle, so a key that most documents hold is one
-row for each task. The batch is merge-anti-joined with the runs to tell first-seen keys from
-known ones, and becomes a run of its own at level 0: a table bucketed and sorted by key. When a
-level holds `fanout` runs they are merged (counts added, ids maximised) to one run of the next
-level; bucketed runs meet without a shuffle of either side.
+row for each task. The batch is merge-anti-joined with the runs: keys that no run holds are marked as first
+seen. It then becomes a run of its own at level 0, a table bucketed and sorted by key. When a level
+holds `fanout` runs they are merged (counts added, ids maximised) to one run of the next level;
+bucketed runs meet without a shuffle. A key can only be common if a later batch saw it again or one run
+alone counts enough documents for it; so the many keys that one batch saw once are never totalled.
 
 Documents are rows: a null text is one empty line; a null doc_id is smaller than any other; rows
 with equal ids count one by one and are told apart by their text. Empty tables give no rows. Lines
@@ -40,7 +41,7 @@ def line_key(line: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Runs by level; each a bucketed, sorted table (key, n_docs, max_doc) in the shared folder."""
+    """Runs by level; each a bucketed, sorted table (key, n_docs, max_doc, first_seen) in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
@@ -55,30 +56,27 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         all_rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
-        return all_rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return all_rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("first_seen").alias("first_seen"))
 
     def _known(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of `keys` that no run holds: one merge-anti-join for each run, newest first."""
-        for name in self._known():
-            keys = keys.join(self.spark.table(name).select("key"), "key", "left_anti")
-        return keys
+    def _marked(self, batch: DataFrame) -> DataFrame:
+        """The batch with `first_seen`: one merge join for each run, newest first; unmatched rows are the anti-join."""
+        unseen = F.lit(True)
+        for i, name in enumerate(self._known()):
+            batch = batch.join(self.spark.table(name).select("key", F.lit(i).alias(f"run_{i}")), "key", "left")
+            unseen = unseen & F.col(f"run_{i}").isNull()
+        return batch.select("key", "n_docs", "max_doc", unseen.alias("first_seen"))
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch (key, doc_id), one row for each key of a document; return its first-seen keys.
-
-        The batch is written once: `first_seen` is decided against the runs as they were.
-        """
+        """Add a batch (key, doc_id), one row for each key of a document; return the keys that it saw first."""
         batch = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        name = self._write(batch)
-        run = self.spark.table(name)
-        fresh = self.unseen(run)
+        name = self._write(self._marked(batch))
         if not self.levels:
             self.levels.append([])
         self.levels[0].insert(0, name)
-        return fresh
+        return self.spark.table(name).filter("first_seen").select("key")
 
     def compact(self) -> None:
         """Merge every level that is full into one run of the level above."""
@@ -92,8 +90,12 @@ class LineRuns:
                 self.levels[at] = []
             at += 1
 
-    def totals(self) -> DataFrame:
-        return self._merged(self._known())
+    def common(self, min_docs: int) -> DataFrame:
+        """key, n_docs, max_doc of the keys of at least `min_docs` documents."""
+        rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in self._known()])
+        possible = rows.filter(~F.col("first_seen") | (F.col("n_docs") >= min_docs)).select("key").distinct()
+        totals = rows.join(possible, "key", "left_semi").groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return totals.filter(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: bool = False) -> DataFrame:
@@ -122,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         held = keyed.filter(F.col("batch") == batch).select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
         runs.add(held.filter(F.col("key").isNotNull()))
         runs.compact()
-    common = runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "max_doc")
+    common = runs.common(min_docs).select("key", "max_doc")
     places = keyed.select("doc_id", "row_hash", F.posexplode("keys").alias("at", "key")).filter(F.col("key").isNotNull())
     lost = places.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     lost = lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))
