@@ -165,7 +165,7 @@ def _aligned(block: Block, words: np.ndarray, at: np.ndarray, gram: np.ndarray,
 def _document_counts(batches, block: Block):
     total = np.zeros(len(block.grams), dtype=np.int64)
     for batch in batches:
-        for (group,) in batches_of_rows(batch, ["text"], 4096):
+        for (group,) in batches_of_rows(batch, ["text"], 1024):
             group = [t or "" for t in group]
             for a, b in slices_of(group):
                 words, starts = block.coded(group[a:b])
@@ -192,7 +192,7 @@ def _found(group: list[str], block: Block, threshold: float) -> list[dict[int, t
 
 def _match(batches, block: Block, threshold: float):
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 4096):
+        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 1024):
             rows = [(d, block.ids[k], *m) for d, found in zip(ids, _found([t or "" for t in group], block, threshold), strict=True) for k, m in found.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -202,7 +202,7 @@ def _match(batches, block: Block, threshold: float):
 def _clean(batches, block: Block, threshold: float):
     for batch in batches:
         keep: list[bool] = []
-        for (group,) in batches_of_rows(batch, ["text"], 4096):
+        for (group,) in batches_of_rows(batch, ["text"], 1024):
             keep += [not found for found in _found([t or "" for t in group], block, threshold)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 

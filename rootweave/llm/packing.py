@@ -39,7 +39,7 @@ def _tokenise(batches, path: str, end_id: int):
     encoder = encoder_of(path)
     end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
     for batch in batches:
-        for bins, ids, sources, group in batches_of_rows(batch, ["bin", "doc_id", "source", "text"], 4096):
+        for bins, ids, sources, group in batches_of_rows(batch, ["bin", "doc_id", "source", "text"], 1024):
             rows = [x + end for x in encoder.encode(group)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bins, pa.int32()), pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array([len(r) // encoder.width for r in rows], pa.int64()), pa.array(rows, pa.binary())],

@@ -26,7 +26,7 @@ from rootweave.llm.vocab import _CLOSED_WORD, Generations, coded_pieces, slices_
 class HeapMerger:
     """Counts tokens of a vocabulary file of the "BPE with word ends" kind."""
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 200_000):
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -134,7 +134,7 @@ def _byte_alphabet() -> list[str]:
 def _count_batches(batches, path: str, limit: int):
     counter = merger(path)
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 4096):
+        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 1024):
             counts = counter.count(group)
             yield pa.RecordBatch.from_arrays(
                 [

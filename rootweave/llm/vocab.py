@@ -64,7 +64,7 @@ def coded_pieces(group: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
 
 
-def slices_of(group: list[str], chars: int = 16_000_000):
+def slices_of(group: list[str], chars: int = 5_000_000):
     """Index ranges of a list of texts whose sizes sum to about `chars`."""
     start = total = 0
     for i, text in enumerate(group):
@@ -79,7 +79,7 @@ def slices_of(group: list[str], chars: int = 16_000_000):
 class PieceEncoder:
     """Ids of texts as little-endian bytes; the tokenizers library sees each new piece once."""
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
