@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are white-space tokens, lower-cased, with punctuation stripped at both ends. Every `n`
-adjacent words of a test item are a gram. A first pass over all documents counts in how many each
-gram occurs; an item's seeds are the rarer half of its grams (rank within the item, so that an item
-leaked to very many documents keeps its seeds). A second pass looks every document's grams up among
-the seeds, cuts a passage around each run of hits and aligns it to the item locally. The score is
-the alignment's share of a perfect one, so paraphrased or edited copies score in proportion.
+adjacent words of a test item are a gram, and every gram is a seed. One pass looks each document's
+grams up among the seeds, cuts a passage around each run of hits and aligns it to the item locally.
+The score is the alignment's share of a perfect one, so paraphrased or edited copies score in
+proportion. A passage reaches as far from its hits as an alignment at the threshold can, and is left
+out only where it has too few of the item's words for one, so all pairs at the threshold that share
+`n` adjacent words in their alignment are found. Copies that keep no `n` adjacent words are not.
 
 The test set is taken in blocks of at most `block_items` items: only a block's words and seeds,
 whose size that parameter bounds, are sent to tasks, and each block is one more pass. Documents
@@ -105,21 +106,6 @@ def _keys(item: np.ndarray, n: int, size: int) -> np.ndarray:
     return key
 
 
-def with_seeds(block: Block, documents: np.ndarray, share: float) -> Block:
-    """Cut the grams to each item's rarer `share`, at least four."""
-    of_item: list[list[int]] = [[] for _ in block.items]
-    for gram, holders in enumerate(block.holders):
-        for k in holders:
-            of_item[k].append(gram)
-    kept: dict[int, list[int]] = {}
-    for k, grams in enumerate(of_item):
-        rare = sorted(grams, key=lambda g: (documents[g], g))[: max(4, int(np.ceil(share * len(grams))))]
-        for g in rare:
-            kept.setdefault(g, []).append(k)
-    order = sorted(kept)
-    return Block(block.ids, block.items, block.vocabulary, block.n, block.grams[order], [kept[g] for g in order])
-
-
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score and the passage position where it ends."""
     slope = np.arange(len(passage), dtype=np.int64) * -GAP
@@ -145,7 +131,8 @@ def _aligned(block: Block, words: np.ndarray, at: np.ndarray, gram: np.ndarray,
     found: dict[int, tuple] = {}
     for k, hits in places.items():
         item = block.items[k]
-        reach = len(item) + len(item) // 2
+        # m matches, x mismatches and g gaps score 2m - x - g, so at the threshold they span at most 3m - 2tL words
+        reach = int(np.ceil((MATCH + 1 - MATCH * threshold) * len(item)))
         first = last = hits[0]
         runs = []
         for position in hits[1:] + [None]:
@@ -155,26 +142,26 @@ def _aligned(block: Block, words: np.ndarray, at: np.ndarray, gram: np.ndarray,
             last = position
         for first, last in runs:
             low = max(0, first - reach)
-            score, end = smith_waterman(item, words[low : last + block.n + reach])
+            passage = words[low : last + block.n + reach]
+            if _most_matches(item, passage, reach, len(block.vocabulary)) / len(item) < threshold:
+                continue
+            score, end = smith_waterman(item, passage)
             share = score / (MATCH * len(item))
             if share >= threshold and share > found.get(k, (0.0,))[0]:
-                found[k] = (share, max(low, low + end - len(item) + 1), low + end)
+                found[k] = (share, max(0, low + end - len(item) + 1), low + end)
     return found
 
 
-def _document_counts(batches, block: Block):
-    total = np.zeros(len(block.grams), dtype=np.int64)
-    for batch in batches:
-        for (group,) in batches_of_rows(batch, ["text"], 1024):
-            group = [t or "" for t in group]
-            for a, b in slices_of(group):
-                words, starts = block.coded(group[a:b])
-                at, gram = block.hits(words, starts)
-                document = np.searchsorted(starts, at, side="right")
-                once = np.unique(document * np.int64(max(1, len(block.grams))) + gram)
-                total += np.bincount(once % max(1, len(block.grams)), minlength=len(block.grams))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["gram", "n"])
+def _most_matches(item: np.ndarray, passage: np.ndarray, reach: int, size: int) -> int:
+    """No alignment of at most `reach` passage words has more matches than this."""
+    known = np.zeros(size + 1, dtype=bool)  # the last place is for -1
+    known[item] = True
+    shared = known[passage]
+    total = np.concatenate([[0], np.cumsum(shared)])
+    most = int((total[reach:] - total[:-reach]).max()) if len(passage) > reach else int(total[-1])
+    known[item] = False
+    known[passage[shared]] = True
+    return min(most, int(known[item].sum()))
 
 
 def _found(group: list[str], block: Block, threshold: float) -> list[dict[int, tuple]]:
@@ -207,20 +194,14 @@ def _clean(batches, block: Block, threshold: float):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.5, block_items: int = 5000):
-    """Blocks of the test set with their seeds; each costs a pass over the documents to count grams."""
+def blocks(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 5000):
+    """Blocks of the test set; each costs a pass over the documents."""
     ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
     parts = max(1, -(-items.count() // block_items))
-    text = docs.select("text")
     for part in range(parts):
         rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        block = block_of(sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0], r[1])), n)
-        counted = text.mapInArrow(partial(_document_counts, block=block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        documents = np.zeros(len(block.grams), dtype=np.int64)
-        for r in counted.collect():  # a row for each gram of the block at most
-            documents[r["gram"]] = r["n"]
-        yield with_seeds(block, documents, share)
+        yield block_of(sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0], r[1])), n)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

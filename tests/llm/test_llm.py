@@ -289,6 +289,40 @@ def test_contamination_by_alignment(spark, docs, none):
     assert decontam.contaminated(none, items).count() == 0
 
 
+def _held(docs, items, threshold=0.5):
+    """Pairs by alignment of all documents with all items, whole."""
+    numbers = {}
+    code = lambda text: np.array([numbers.setdefault(w, len(numbers)) for w in decontam.words_of(text)], dtype=np.int64)
+    items = {k: code(t) for k, t in items.items()}
+    shares = {(d, k): decontam.smith_waterman(item, words)[0] / (2 * len(item)) for d, words in ((d, code(t)) for d, t in docs.items()) for k, item in items.items() if len(words)}
+    return {pair: share for pair, share in shares.items() if share >= threshold}
+
+
+def test_edited_copies_are_found_as_by_aligning_all_pairs(spark):
+    rng = random.Random(31)
+    common = [f"w{i}" for i in range(30)]
+    prose = lambda n: [rng.choice(common) for _ in range(n)]
+    items = {k: [rng.choice([f"q{rng.randrange(300)}", rng.choice(common)]) for _ in range(rng.randrange(16, 60))] for k in range(12)}
+    docs = {}
+    for k, item in items.items():
+        broken = [[f"x{i}" if i % n == n - 1 else w for i, w in enumerate(item)] for n in (4, 5)]
+        stuffed = [w for i, w in enumerate(item) for w in ([w, f"y{i}"] if i % 3 == 2 else [w])]
+        # items of even number have no whole copy: the grams that the edits destroy occur nowhere
+        for copy in [*broken, stuffed, item[: len(item) // 2 + 1]] + [item] * (k % 2):
+            docs[len(docs)] = " ".join(prose(rng.randrange(80)) + copy + prose(rng.randrange(80)))
+    for _ in range(20):
+        docs[len(docs)] = " ".join(prose(300))
+    texts = {k: " ".join(item) for k, item in items.items()}
+    expected = _held(docs, texts)
+    assert {k for _, k in expected} == set(items) and len(expected) > 3 * len(items)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(table, benchmark).collect()}
+    assert got == expected
+    kept = {r["doc_id"] for r in decontam.decontaminated(table, benchmark).collect()}
+    assert kept == set(docs) - {d for d, _ in expected}
+
+
 def test_alignment_equals_the_recurrence():
     rng = random.Random(6)
     for _ in range(30):
