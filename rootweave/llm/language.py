@@ -3,8 +3,15 @@
 A text is a vector of hashed character 1-, 2- and 3-grams (of the lower-cased text, everything but
 letters turned to single blanks), weighted by sub-linear term frequency times inverse document
 frequency and scaled to unit length. Every language has several centroids, found by spherical k-means
-over its training vectors. The prediction is the language of the centroid of greatest cosine; a
-text is rejected where that cosine is below the model's limit.
+over its training vectors; a cluster of less than SHARE of them is dropped, so that odd texts get no
+centroid of their own. The prediction is the language of the centroid of greatest cosine; a text is
+rejected where that cosine is below the limit of that language for texts of so many different grams.
+
+Limits come from a fold of the labelled texts (by a hash of the text, so that copies stay together)
+that no centroid was learned from, and from starts of those texts: for each language and each power
+of two of different grams, LENIENCE of the median cosine, or SPREAD times median less lower quartile
+below it, where that is less. Short or monotonous texts are so judged by others of as little content,
+and neither one odd text nor a wrongly labelled minority moves a limit far.
 
 The fit is on a bounded sample: for each label about `per_language` rows, those of least hash of id
 and text, so that a hot label or source brings no more rows than any other. Twice that number for
@@ -18,6 +25,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +35,10 @@ from pyspark.sql import functions as F
 from rootweave.llm.common import batches_of_rows, ship
 
 UNKNOWN = "und"
+SHARE = 0.05
+LENIENCE = 0.4
+SPREAD = 4  # in a normal distribution, four times median less lower quartile cut off a third of a percent
+FEWEST = 20  # cosines that a limit needs; with fewer, those of all languages, then the limit of fewer grams
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -58,45 +70,87 @@ class CentroidModel:
     idf: np.ndarray
     centroids: np.ndarray
     labels: list[str]  # one for each centroid
-    limit: float
+    limits: np.ndarray  # for each centroid, by power of two of different grams
 
     def vectors(self, group: list[str]) -> np.ndarray:
         found = np.stack([np.log1p(counts(t, self.bits)) for t in group]) * self.idf
         norm = np.linalg.norm(found, axis=1, keepdims=True)
         return (found / np.where(norm == 0, 1, norm)).astype(np.float32)
 
+    def sizes(self, vectors: np.ndarray) -> np.ndarray:
+        """Power of two of the different grams of each text."""
+        return np.log2(np.maximum(1, (vectors > 0).sum(axis=1))).astype(int)
+
     def predict(self, group: list[str]) -> tuple[list[str], list[float], list[bool]]:
-        cosine = self.vectors(group) @ self.centroids.T
+        vectors = self.vectors(group)
+        cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
         labels, scores, rejected = [], [], []
-        for text, at, row in zip(group, best, cosine, strict=True):
+        for text, at, row, limit in zip(group, best, cosine, self.limits[best, self.sizes(vectors)], strict=True):
             known = has_letter(text)
             labels.append(self.labels[at] if known else UNKNOWN)
             scores.append(float(min(1.0, max(0.0, row[at]))) if known else 0.0)
-            rejected.append(not known or row[at] < self.limit)
+            rejected.append(not known or row[at] < limit)
         return labels, scores, rejected
 
 
 def _clustered(vectors: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Spherical k-means from spread-out starting points."""
+    """Spherical k-means from spread-out starting points, without clusters of less than SHARE of the vectors."""
     rng = np.random.default_rng(seed)
     centres = vectors[[int(rng.integers(len(vectors)))]]
     while len(centres) < min(k, len(vectors)):
-        far = (vectors @ centres.T).max(axis=1)
-        centres = np.vstack([centres, vectors[far.argmin()]])
-    for _ in range(rounds):
-        member = (vectors @ centres.T).argmax(axis=1)
-        moved = np.stack([vectors[member == j].sum(axis=0) if (member == j).any() else centres[j] for j in range(len(centres))])
-        norm = np.linalg.norm(moved, axis=1, keepdims=True)
-        centres = moved / np.where(norm == 0, 1, norm)
-    return centres.astype(np.float32)
+        far = np.maximum(0, 1 - (vectors @ centres.T).max(axis=1)).astype(np.float64)
+        if far.sum() == 0:
+            break
+        centres = np.vstack([centres, vectors[rng.choice(len(vectors), p=far / far.sum())]])
+    while True:
+        for _ in range(rounds):
+            member = (vectors @ centres.T).argmax(axis=1)
+            moved = np.stack([vectors[member == j].sum(axis=0) if (member == j).any() else centres[j] for j in range(len(centres))])
+            norm = np.linalg.norm(moved, axis=1, keepdims=True)
+            centres = moved / np.where(norm == 0, 1, norm)
+        members = np.bincount((vectors @ centres.T).argmax(axis=1), minlength=len(centres))
+        if members.min() >= SHARE * len(vectors):
+            return centres.astype(np.float32)
+        centres = np.delete(centres, members.argmin(), axis=0)
+
+
+def _starts(text: str) -> list[str]:
+    """The text and its starts of 4, 8, 16 and so on characters that have letters."""
+    starts = [text[: 1 << i] for i in range(2, 13) if 1 << i < len(text)]
+    return [t for t in [*starts, text] if has_letter(t)]
+
+
+def _limits(model: CentroidModel, folds: dict[str, list[str]]) -> np.ndarray:
+    """Limits for each label's centroids from texts that none was learned from."""
+    of_label: dict[str, list[list[float]]] = {}
+    pooled: list[list[float]] = [[] for _ in range(model.bits + 1)]
+    for label, texts in folds.items():
+        own = of_label[label] = [[] for _ in pooled]
+        centres = model.centroids[[x == label for x in model.labels]]
+        starts = [t for text in texts for t in _starts(text)]
+        for at in range(0, len(starts), 256):
+            vectors = model.vectors(starts[at : at + 256])
+            for size, cosine in zip(model.sizes(vectors).tolist(), (vectors @ centres.T).max(axis=1).tolist(), strict=True):
+                own[size].append(cosine)
+                pooled[size].append(cosine)
+    found = np.zeros((len(model.labels), len(pooled)))
+    for j, label in enumerate(model.labels):
+        for size, own in enumerate(of_label[label]):
+            cosines = next((x for x in (own, pooled[size]) if len(x) >= FEWEST), None)
+            if cosines is None:
+                found[j, size] = found[j, size - 1] if size else 0.0
+                continue
+            low, middle = np.quantile(cosines, [0.25, 0.5])
+            found[j, size] = max(0.0, min(LENIENCE * middle, middle - SPREAD * (middle - low)))
+    return found
 
 
 def fit(docs: DataFrame, training: Column, per_language: int = 1500, centroids: int = 4, bits: int = 13, rounds: int = 8, seed: int = 7) -> CentroidModel:
     """Learn from rows where `training` holds, using their text and non-null lang only.
 
-    `limit` is half of the least cosine that any training text has with the centroids of its own
-    language: it turns away what is unlike every language, not odd or short documents.
+    A quarter of the sample sets the limits and the rest the centroids; a label of which that leaves
+    nothing to learn from learns from all its texts.
     """
     ship(docs.sparkSession)
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
@@ -109,24 +163,23 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1500, centroids:
     chance = (F.col("h").cast("double") / 2.0**64) + 0.5
     chosen = rows.filter(chance <= thresholds[F.col("lang")]).limit(2 * per_language * len(labels)).collect()
     chosen.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    sample = [(r["lang"], r["text"]) for r in chosen if has_letter(r["text"])]
-    model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], 0.0)
+    sample = [(r["lang"], r["text"], crc32(r["text"].encode()) % 4 == 3) for r in chosen if has_letter(r["text"])]
+    learning = {label: [t for name, t, held in sample if name == label and not held] or [t for name, t, _ in sample if name == label] for label in labels}
+    model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], np.zeros((0, bits + 1)))
     seen = np.zeros(1 << bits)
-    for _, text in sample:
-        seen += counts(text, bits) > 0
-    model.idf = np.log((1 + len(sample)) / (1 + seen)).astype(np.float32) + 1
-    kept, least = [], 1.0
-    for label in labels:
-        own = [t for name, t in sample if name == label]
+    for own in learning.values():
+        for text in own:
+            seen += counts(text, bits) > 0
+    model.idf = np.log((1 + sum(map(len, learning.values()))) / (1 + seen)).astype(np.float32) + 1
+    kept = []
+    for label, own in learning.items():
         if not own:
             continue
-        vectors = model.vectors(own)
-        centres = _clustered(vectors, centroids, rounds, seed)
+        centres = _clustered(model.vectors(own), centroids, rounds, seed)
         kept.append(centres)
         model.labels += [label] * len(centres)
-        least = min(least, float((vectors @ centres.T).max(axis=1).min()))
     model.centroids = np.vstack(kept)
-    model.limit = least / 2
+    model.limits = _limits(model, {label: [t for name, t, held in sample if name == label and held] for label in labels})
     return model
 
 

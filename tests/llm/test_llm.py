@@ -271,6 +271,23 @@ def test_language_by_centroids(spark, docs):
         language.fit(table, F.lit(False))
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_wrongly_labelled_garbage_is_rejected_and_short_documents_stay(spark, times):
+    import corpus_pipeline as cp
+
+    rng = random.Random(17)
+    stems = {"aa": "ka mi to ren sol ba ne lu".split(), "bb": "schra pfe wint gor zug elt ach und".split()}
+    word = lambda lang: "".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4)))
+    noise = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randrange(2, 10)))
+    clean = [(" ".join(word(lang) for _ in range(rng.randrange(5, 200))), lang) for lang in stems for _ in range(150 * times)]
+    short = [(" ".join(word(lang) for _ in range(3)), lang) for lang in stems for _ in range(10 * times)]
+    odd = [(" ".join(noise() for _ in range(rng.randrange(10, 200))), lang) for lang in stems for _ in range(2 * times)]
+    odd += [("日本語の文章はここにありますから認識されません", "aa"), ("Мой дядя самых честных правил, когда не в шутку занемог", "bb")] * times
+    rows = [(i, *r) for i, r in enumerate(clean + short + odd)]
+    kept = cp.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(clean + short)))
+
+
 def test_contamination_by_alignment(spark, docs, none):
     rng = random.Random(9)
     item = [f"q{rng.randrange(500)}" for _ in range(30)]
