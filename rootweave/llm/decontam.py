@@ -10,8 +10,8 @@ out only where it has too few of the item's words for one, so all pairs at the t
 
 The test set is taken in blocks of at most `block_items` items: only a block's words and seeds,
 whose size that parameter bounds, are sent to tasks, and each block is one more pass. Documents
-are never shuffled. Null or empty texts and items match nothing; items of fewer than `n` words have
-no seed and are not searched. Repeated items and documents are each reported. Rows with null
+are never shuffled. Null or empty texts and items match nothing; an item of fewer than `n` words is
+one gram, all its words, and so found whole. Repeated items and documents are each reported. Rows with null
 ids are reported with null ids. Texts are read whole.
 """
 
@@ -49,6 +49,7 @@ class Block:
     n: int
     grams: np.ndarray  # sorted keys of all grams
     holders: list[list[int]]  # items that hold each gram
+    widths: list[int]  # words of a gram: n, and fewer for shorter items
 
     def coded(self, group: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row (-1: not in the block), and where each text starts."""
@@ -62,19 +63,26 @@ class Block:
 
     def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and gram indices of the block's grams, none across texts."""
-        n, size = self.n, len(self.vocabulary)
-        if len(words) < n or not len(self.grams):
+        found = [self._hits(words, starts, n) for n in self.widths]
+        at, gram = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [])))
+        order = np.argsort(at, kind="stable")
+        return at[order], gram[order]
+
+    def _hits(self, words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        size = len(self.vocabulary) + 1
+        if len(words) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         count = len(words) - n + 1
         ok = np.ones(count, dtype=bool)
         for j in range(n):
             ok &= words[j : j + count] >= 0
         for j in range(1, n):
-            ok[np.clip(starts[1:-1] - j, 0, count - 1)[starts[1:-1] >= j]] = False
+            across = starts[1:-1] - j
+            ok[across[(across >= 0) & (across < count)]] = False
         at = np.flatnonzero(ok)
         key = np.zeros(len(at), dtype=np.int64)
         for j in range(n):
-            key = key * size + words[at + j]
+            key = key * size + words[at + j] + 1
         found = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
         same = self.grams[found] == key
         return at[same], found[same]
@@ -85,24 +93,25 @@ def block_of(rows: list[tuple], n: int) -> Block:
     ids, items = [], []
     for item_id, text in rows:
         words = words_of(text or "")
-        if len(words) >= n:
+        if words:
             ids.append(item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64))
-    if len(vocabulary) ** n >= 1 << 63:
+    size = len(vocabulary) + 1  # words count from 1, so that grams of different widths differ
+    if size**n >= 1 << 63:
         raise ValueError("a block of test items has too many words; lower block_items")
     held: dict[int, list[int]] = {}
     for k, item in enumerate(items):
-        for key in dict.fromkeys(_keys(item, n, len(vocabulary)).tolist()):
+        for key in dict.fromkeys(_keys(item, min(n, len(item)), size).tolist()):
             held.setdefault(key, []).append(k)
     grams = np.array(sorted(held), dtype=np.int64)
-    return Block(ids, items, vocabulary, n, grams, [held[g] for g in grams.tolist()])
+    return Block(ids, items, vocabulary, n, grams, [held[g] for g in grams.tolist()], sorted({min(n, len(item)) for item in items}))
 
 
 def _keys(item: np.ndarray, n: int, size: int) -> np.ndarray:
     count = len(item) - n + 1
     key = np.zeros(count, dtype=np.int64)
     for j in range(n):
-        key = key * size + item[j : j + count]
+        key = key * size + item[j : j + count] + 1
     return key
 
 

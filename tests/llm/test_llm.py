@@ -340,6 +340,17 @@ def test_edited_copies_are_found_as_by_aligning_all_pairs(spark):
     assert kept == set(docs) - {d for d, _ in expected}
 
 
+def test_items_of_one_or_two_words_are_found(spark):
+    docs = spark.createDataFrame([(1, "see Zanzibar, there"), (2, "a wet umbrella stand"), (3, "stand umbrella zan zibar"), (4, "wet"), (5, "umbrella"), (6, "one two three four")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Zanzibar"), (2, "umbrella stand"), (3, "one two three four"), (4, " ... ")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["score"]) for r in decontam.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 1.0), (2, 2, 1.0), (6, 3, 1.0)}
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, items).collect()} == {3, 4, 5}
+    # an empty text after the last words of a batch takes no gram from them
+    ends = spark.createDataFrame([(1, "an umbrella stand"), (2, "")], "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in decontam.contaminated(ends, items).collect()] == [1]
+
+
 def test_alignment_equals_the_recurrence():
     rng = random.Random(6)
     for _ in range(30):
