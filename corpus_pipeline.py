@@ -19,8 +19,8 @@ from rootweave.llm.vocab import default_vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the centroids of the labelled languages accept."""
-    return language.accepted(docs, language.fit(docs, F.lit(True)))
+    """Documents that the centroids of the labelled languages accept; all with a letter where none is labelled."""
+    return language.accepted(docs, language.fit_any(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

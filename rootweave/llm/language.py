@@ -16,6 +16,8 @@ and neither one odd text nor a wrongly labelled minority moves a limit far.
 The fit is on a bounded sample: for each label about `per_language` rows, those of least hash of id
 and text, so that a hot label or source brings no more rows than any other. Twice that number for
 each label is the bound of what reaches the driver. Null text, or text without a letter, is `und` with score 0 and rejected.
+Where no labelled text has a letter, `fit` raises; `fit_any` gives a model that predicts `und` with score
+0 and rejects only texts without letters, as there is nothing to judge others by.
 Rows with null labels are never learned. Ties between centroids go to the first label in order.
 Extra columns are ignored. Texts are read whole.
 """
@@ -82,6 +84,8 @@ class CentroidModel:
         return np.log2(np.maximum(1, (vectors > 0).sum(axis=1))).astype(int)
 
     def predict(self, group: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        if not self.labels:
+            return [UNKNOWN] * len(group), [0.0] * len(group), [not has_letter(t) for t in group]
         vectors = self.vectors(group)
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
@@ -152,12 +156,21 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1500, centroids:
     A quarter of the sample sets the limits and the rest the centroids; a label of which that leaves
     nothing to learn from learns from all its texts.
     """
+    model = fit_any(docs, training, per_language, centroids, bits, rounds, seed)
+    if not model.labels:
+        raise ValueError("no labelled text to learn from")
+    return model
+
+
+def fit_any(docs: DataFrame, training: Column, per_language: int = 1500, centroids: int = 4, bits: int = 13, rounds: int = 8, seed: int = 7) -> CentroidModel:
+    """As `fit`, with a model without centroids where there is nothing to learn from."""
     ship(docs.sparkSession)
-    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     labels = sorted(sizes)
+    model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], np.zeros((0, bits + 1)))
     if not labels:
-        raise ValueError("no labelled text to learn from")
+        return model
     # a hash below the label's threshold: about `per_language` rows, found where they are
     thresholds = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_language / sizes[k]))])
     chance = (F.col("h").cast("double") / 2.0**64) + 0.5
@@ -165,7 +178,8 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1500, centroids:
     chosen.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
     sample = [(r["lang"], r["text"], crc32(r["text"].encode()) % 4 == 3) for r in chosen if has_letter(r["text"])]
     learning = {label: [t for name, t, held in sample if name == label and not held] or [t for name, t, _ in sample if name == label] for label in labels}
-    model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], np.zeros((0, bits + 1)))
+    if not sample:
+        return model
     seen = np.zeros(1 << bits)
     for own in learning.values():
         for text in own:

@@ -76,7 +76,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
-    model = language.fit(docs, ~held)
+    model = language.fit_any(docs, ~held)
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 

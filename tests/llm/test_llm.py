@@ -288,6 +288,17 @@ def test_wrongly_labelled_garbage_is_rejected_and_short_documents_stay(spark, ti
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(clean + short)))
 
 
+@pytest.mark.parametrize("rows", [[], [(1, "no label", None), (2, None, "en"), (3, "12 !", "en")]])
+def test_nothing_labelled_has_a_defined_result(spark, tmp_path, rows):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(*r, "web", None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["lang_pred"], r["score"]) for r in queries.op8_language_id(spark, str(tmp_path)).collect()}
+    assert found == {(r[0], "und", 0.0) for r in rows}
+    assert [r["doc_id"] for r in cp.language_id(spark, docs, str(tmp_path)).collect()] == [1][: len(rows)]
+
+
 def test_contamination_by_alignment(spark, docs, none):
     rng = random.Random(9)
     item = [f"q{rng.randrange(500)}" for _ in range(30)]
