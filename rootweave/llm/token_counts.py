@@ -17,16 +17,17 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rootweave.llm.common import batches_of_rows, texts
-from rootweave.llm.vocab import _CLOSED_WORD, Generations, coded_pieces, slices_of
+from rootweave.llm.common import texts
+from rootweave.llm.vocab import _CLOSED_WORD, Memo, batch_slices, split_at_blanks
 
 
 class HeapMerger:
     """Counts tokens of a vocabulary file of the "BPE with word ends" kind."""
 
-    def __init__(self, path: str, memo_size: int = 200_000):
+    def __init__(self, path: str, memo_size: int = 1_000_000):
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -45,8 +46,7 @@ class HeapMerger:
         self.special = regex.compile("|".join(specials)) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
-        self.memo, self.words = Generations(memo_size), {}
-        self.memo_size = memo_size
+        self.memo = Memo(memo_size, self._learn)
 
     def _symbol(self, text: str) -> int:
         return self.symbols.setdefault(text, len(self.symbols))
@@ -84,14 +84,6 @@ class HeapMerger:
                 heappush(heap, found[0] << 32 | h)
         return n - merges
 
-    def _word(self, word: str) -> int:
-        count = self.words.get(word)
-        if count is None:
-            if len(self.words) >= self.memo_size:
-                self.words.clear()
-            count = self.words[word] = self.merged_length(word)
-        return count
-
     def _normalised(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
@@ -100,21 +92,25 @@ class HeapMerger:
         if not self.end and piece:
             raise ValueError("a vocabulary without word ends needs its blanks")
         if _CLOSED_WORD.match(piece):
-            return self._word(self._normalised(piece[:-1])) + self._word(piece[-1])
+            return self.merged_length(self._normalised(piece[:-1])) + 1
         count, at = 0, 0
         for mark in self.special.finditer(piece) if self.special else ():
-            count += 1 + sum(map(self._word, self.pattern.findall(self._normalised(piece[at : mark.start()]))))
+            count += 1 + sum(map(self.merged_length, self.pattern.findall(self._normalised(piece[at : mark.start()]))))
             at = mark.end()
-        return count + sum(map(self._word, self.pattern.findall(self._normalised(piece[at:]))))
+        return count + sum(map(self.merged_length, self.pattern.findall(self._normalised(piece[at:]))))
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, None]:
+        return np.fromiter(map(self._piece, new), dtype=np.int32, count=len(new)), None
 
-    def count(self, group: list[str]) -> list[int]:
+    def count(self, texts: pa.Array) -> np.ndarray:
         """Tokens of every text."""
-        out: list[int] = []
-        for start, end in slices_of(group):
-            uniques, codes, starts = coded_pieces(group[start:end])
-            counts = np.array(self.memo.lookup(uniques, lambda new: list(map(self._piece, new))), dtype=np.int64)[codes]
-            sums = np.concatenate([[0], np.cumsum(counts)])[starts]
-            out += np.diff(sums).tolist()
+        out = np.zeros(len(texts), dtype=np.int64)
+        for rows, split in split_at_blanks(texts):
+            starts = split.offsets.to_numpy().astype(np.int64)
+            coded = split.flatten().dictionary_encode()
+            at = self.memo.lookup(coded.dictionary)
+            counts = self.memo.size[at][coded.indices.to_numpy()].astype(np.int64)
+            out[rows] = np.diff(np.concatenate([[0], np.cumsum(counts)])[starts - starts[0]])
         return out
 
 
@@ -134,16 +130,11 @@ def _byte_alphabet() -> list[str]:
 def _count_batches(batches, path: str, limit: int):
     counter = merger(path)
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 1024):
-            counts = counter.count(group)
+        for part in batch_slices(batch):
+            counts = counter.count(part.column("text"))
+            n_bytes = pc.binary_length(part.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(t.encode("utf-8")) for t in group], pa.int64()),
-                    pa.array(counts, pa.int64()),
-                    pa.array([c > limit for c in counts], pa.bool_()),
-                ],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [part.column("doc_id"), n_bytes, pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
 
