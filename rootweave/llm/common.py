@@ -63,6 +63,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def joined_by_key(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, hubs: int = 2000) -> DataFrame:
+    """rows inner-joined with `keyed`, which has one row for each key; `weight` says how many rows hold it, of `total`.
+
+    Fewer than `hubs` keys can hold more than a `hubs`-th of all rows each. Those go to all tasks, so the
+    rows of a hot key stay where they are; the others meet by a shuffle.
+    """
+    hot = F.col(weight) > total // hubs + 1
+    values = [c for c in keyed.columns if c != key]
+    top = keyed.filter(hot).select(key, F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(top), key, "left")
+    busy = marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in values])
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
+    return busy.unionByName(rest.join(keyed.filter(~hot), key).select(*rows.columns, *values))
+
+
 def batches_of_rows(batch, columns: list[str], size: int = 128):
     """Lists of Python values for `columns`, a few rows at a time so that memory follows the slice."""
     for at in range(0, batch.num_rows, size):

@@ -5,8 +5,8 @@ A document's set holds its distinct 2-word shingles (the whole sequence where it
 bucket keys. A pair of similarity s misses every bucket with probability (1 - s^rows)^bands, 1.3e-7
 at s = 0.8 with 40 bands of 5.
 
-Copies: documents of equal sets are one class, held by its least doc_id; only classes go on, so a
-group of copies costs one row. Buckets: no bucket is expanded to all its pairs. First every member
+Copies: documents of equal sets are one class with a number of its own; only classes go on, so a
+group of copies costs one row. Classes that share a doc_id are linked from the start. Buckets: no bucket is expanded to all its pairs. First every member
 meets the bucket's centre, the member with most bucket mates over all bands (the common source of edited
 copies, where there is one); such pairs are verified by signature (`close` is five standard deviations below
 the threshold), then on whole sets, and joined to components. Then only buckets that still hold more
@@ -15,8 +15,8 @@ returns the links that join components, fewer than its members. So every pair of
 one component or compared on whole sets.
 
 Null and empty texts, and texts without words, are empty and linked with nothing. Rows with equal ids are one
-node; rows with a null id are linked with nothing and kept. Empty tables give no rows. Extra
-columns are ignored. Texts are read whole.
+node and share its links, whatever their texts; rows with a null id are linked with nothing and kept.
+Empty tables give no rows. Extra columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -121,10 +121,13 @@ def _base(batches, hasher: MinHasher, width: int):
 
 
 def _set_rows(batches, width: int):
+    from xxhash import xxh3_128_digest
+
     for batch in batches:
-        for ids, group in batches_of_rows(batch, ["doc_id", "text"], 2048):
+        for keys, group in batches_of_rows(batch, ["node", "text"], 2048):
             rows = [s.tobytes() for s in shingle_sets(group, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
+            digests = [xxh3_128_digest(x) for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["node", "digest", "shingles"])
 
 
 def _close(batches, least: float):
@@ -169,7 +172,7 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _forest(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between components inside one block or two blocks of a bucket, as many as join them and no more."""
-    ids, roots = frame["doc_id"].to_numpy(), frame["root"].to_numpy()
+    ids, roots = frame["node"].to_numpy(), frame["root"].to_numpy()
     empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
     if len(frame) < 2 or (roots == roots[0]).all():
         return empty
@@ -195,15 +198,26 @@ def _forest(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _two_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    left = values.select(F.col("doc_id").alias("a"), F.col(column).alias("left"))
-    right = values.select(F.col("doc_id").alias("b"), F.col(column).alias("right"))
+    left = values.select(F.col("node").alias("a"), F.col(column).alias("left"))
+    right = values.select(F.col("node").alias("b"), F.col(column).alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def _sets_of(nodes: DataFrame, plain: DataFrame, width: int, name: str) -> DataFrame:
-    """Whole shingle sets, made again for some documents only."""
-    chosen = plain.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "doc_id", "left_semi")
-    return written(chosen.mapInArrow(partial(_set_rows, width=width), "doc_id long, shingles binary"), name)
+def _sets_of(nodes: DataFrame, classes: DataFrame, plain: DataFrame, width: int, name: str) -> DataFrame:
+    """node, shingles: whole sets of some classes, made again from one document of each."""
+    heads = written(nodes.join(classes.select("node", "head", "digest"), "node"), "near-nodes")
+    wanted = heads.select(F.col("head").alias("doc_id"), "node")
+    chosen = plain.join(F.broadcast(wanted) if heads.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
+    sets = chosen.mapInArrow(partial(_set_rows, width=width), "node long, digest binary, shingles binary")
+    own = heads.select("node", "digest")  # a document that shares its id with the one meant has another set
+    return written(sets.join(own, ["node", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), name)
+
+
+def _same_document(member: DataFrame) -> DataFrame:
+    """Links between classes whose documents share an id."""
+    rows = member.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    ends = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    return ends.select("doc_id", "a").join(rows.select("doc_id", F.col("node").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -213,36 +227,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: i
     least = percent / 100 - 5 * deviation
     base = written(plain.mapInArrow(partial(_base, hasher=MinHasher(bands, rows), width=width), _BASE), "near-base")
     filled = base.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("head")), "near-classes")
-    heads = filled.join(classes, (filled["digest"] == classes["digest"]) & (filled["doc_id"] == classes["head"])).select("doc_id", "signature", "keys")
-    heads = written(heads.dropDuplicates(["doc_id"]), "near-heads")
-
-    entries = heads.select("doc_id", F.explode("keys").alias("key"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("head"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # numbers stand once written
+    heads = filled.join(classes, (filled["digest"] == classes["digest"]) & (filled["doc_id"] == classes["head"])).select("node", "signature", "keys")
+    heads = written(heads.dropDuplicates(["node"]), "near-heads")
+    member = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    member = written(member.select("doc_id", "n_shingles", "node", "head"), "near-members")
+
+    entries = heads.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = written(entries.join(shared.hint("merge"), "key"), "near-buckets")
-    mates = entries.groupBy("doc_id").agg(F.sum("n").alias("mates"))
-    centre = entries.join(mates, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("mates", -F.col("doc_id"))).alias("centre"))
-    stars = entries.join(centre, "key").filter(F.col("doc_id") != F.col("centre"))
-    stars = stars.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    mates = entries.groupBy("node").agg(F.sum("n").alias("mates"))
+    centre = entries.join(mates, "node").groupBy("key").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("centre"))
+    stars = entries.join(centre, "key").filter(F.col("node") != F.col("centre"))
+    stars = stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     close = written(_two_sides(stars, heads, "signature").mapInArrow(partial(_close, least=least), "a long, b long").distinct(), "near-close")
-    nodes = written(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
-    sets = _sets_of(nodes, plain, width, "near-sets")
-    links = written(_two_sides(close, sets, "shingles").mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct(), "near-links")
-    roots = written(components(links), "near-roots").withColumnRenamed("node", "doc_id")
+    sets = _sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, plain, width, "near-sets")
+    alike = _two_sides(close, sets, "shingles").mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct()
+    links = written(alike.unionByName(_same_document(member)), "near-links")
+    roots = written(components(links), "near-roots")
 
-    labelled = written(entries.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "n", "doc_id", "root"), "near-labelled")
+    labelled = written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "n", "node", "root"), "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     open_rows = written(labelled.join(mixed, "key"), "near-open")
-    sets = _sets_of(written(open_rows.select("doc_id").distinct(), "near-nodes"), plain, width, "near-sets")
+    sets = _sets_of(open_rows.select("node").distinct(), classes, plain, width, "near-sets")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "key"), parts.cast("long")).cast("int")
-    blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "doc_id")
-    blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root", "shingles")
+    own = F.pmod(F.xxhash64("node", "key"), parts.cast("long")).cast("int")
+    blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "node")
+    blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "shingles")
     rest = written(blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _forest(frame, percent), "a long, b long").distinct(), "near-rest")
     if not rest.isEmpty():
-        roots = written(components(links.unionByName(rest)), "near-roots").withColumnRenamed("node", "doc_id")
-
-    member = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    member = member.join(roots.withColumnRenamed("doc_id", "head"), "head", "left")
-    component = F.coalesce("root", "head", "doc_id")
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        roots = written(components(links.unionByName(rest)), "near-roots")
+
+    # the least id of a component is the least of its classes' least ids
+    least_id = classes.join(roots, "node").groupBy("root").agg(F.min("head").alias("least_id"))
+    named = roots.join(least_id, "root").select("node", "least_id")
+    component = F.coalesce("least_id", "head", "doc_id")
+    found = member.join(named, "node", "left")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
