@@ -11,7 +11,8 @@ alone counts enough documents for it; so the many keys that one batch saw once a
 
 Documents are rows: a null text is one empty line; a null doc_id is smaller than any other; rows
 with equal ids count one by one and are told apart by their text. Empty tables give no rows. Lines
-and texts of any length are taken whole. Extra columns are ignored.
+and texts of any length are taken whole. Extra columns are ignored. The tables of the runs are dropped
+from the catalogue when their totals are written; their files stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import scratch_path, shuffle_partitions, texts, written
+from rootweave.llm.common import joined_by_key, scratch_path, shuffle_partitions, texts, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\f\r"
@@ -47,13 +48,20 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.names: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (rows.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet")
             .option("path", scratch_path(self.spark, name)).saveAsTable(name))
+        self.names.append(name)
         return name
 
+    def close(self) -> None:
+        """Take the tables of all runs out of the catalogue."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _merged(self, names: list[str]) -> DataFrame:
         all_rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
         return all_rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("first_seen").alias("first_seen"))
@@ -98,14 +106,17 @@ class LineRuns:
         return totals.filter(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: bool = False, batch_docs: int = 20_000_000) -> DataFrame:
     """doc_id, text, kept, n_lines, n_dropped for every document; with `carry` its row, too, as a struct.
 
+    There are at least `batches` batches, and more where they would hold over `batch_docs` documents.
+
     Keys found in at least `min_docs` documents lose all their lines except in the largest doc_id
     that holds them. Keys of all texts are computed once and written by batch; each batch goes
     through the runs; the totals then mark (document, position) pairs.
     """
     spark = docs.sparkSession
+    batches = max(batches, -(-docs.count() // batch_docs))
     extra = ["row"] if carry else []
     plain = texts(docs)
     if carry:
@@ -124,9 +135,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         held = keyed.filter(F.col("batch") == batch).select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
         runs.add(held.filter(F.col("key").isNotNull()))
         runs.compact()
-    common = runs.common(min_docs).select("key", "max_doc")
+    common = written(runs.common(min_docs), "line-common")
+    runs.close()
+    total = common.agg(F.sum("n_docs")).first()[0] or 0
     places = keyed.select("doc_id", "row_hash", F.posexplode("keys").alias("at", "key")).filter(F.col("key").isNotNull())
-    lost = places.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    lost = joined_by_key(places, common, "key", "n_docs", total).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     lost = lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))
     lost = written(lost, "lost-lines").withColumnsRenamed({"doc_id": "lost_id", "row_hash": "lost_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row_hash") == F.col("lost_hash"))
