@@ -13,7 +13,8 @@ rightmost. Window minima roll up in the same way, so the work for each unit grow
 logarithms of `k` and of the window.
 
 Null and empty texts have an empty fingerprint; a text of fewer than `k` units has the hash of them
-all. Equal texts have equal fingerprints. Extra columns are ignored.
+all. Equal texts have equal fingerprints. Texts are taken whole, whatever their length; repeated rows each
+have their own result, and an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import texts
+from rootweave.llm.common import shuffle_partitions, texts, written
 
 #: Units of a text.
 UNIT = r"[\p{L}\p{M}\p{N}]{1,4}|[^\s\p{L}\p{M}\p{N}]"
@@ -82,6 +83,11 @@ def printed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(F.shiftright(x, 31))), 8, "0")), "")
 
 
+def printed_positions(fingerprint: Column) -> Column:
+    """Positions in decimal, parted by commas."""
+    return F.array_join(positions(fingerprint), ",")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the hash sets; two empty fingerprints are alike."""
     shared = F.size(F.array_intersect(a, b))
@@ -100,21 +106,24 @@ def with_next(docs: DataFrame, k: int = 5, window: int = 5, bits: int = 8) -> Da
 
     Ids are dealt to ranges of 2^bits and every text moves once, to its range. The last document of
     a range needs the first one of the next lower range that is not empty: these heads, one for each
-    range, are picked from the same exchange and joined by range. The order of ranges comes from
-    one row for each range, taken 65,536 ranges at a time and then over those groups. Null ids come
-    last; rows with equal ids are ordered by their text.
+    range, are picked from the same exchange and joined by range. Ranges themselves are dealt in order
+    to as many parts as the session shuffles to, so their neighbours are found inside a part, and those across
+    parts from one row for each part. Null ids come last, ordered by hash and text; rows with equal ids
+    are ordered by their text.
     """
-    ranges = F.coalesce(F.shiftright("doc_id", bits), F.lit(-(1 << 62)))
-    dealt = texts(docs).withColumn("range", ranges).repartition("range")
+    spark = docs.sparkSession
+    unknown = F.lit(-(1 << 62)) + F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1))
+    dealt = texts(docs).withColumn("range", F.coalesce(F.shiftright("doc_id", bits), unknown))
     in_range = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
 
-    group = F.shiftright("range", 16).alias("group")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).select(ranges.alias("range")).distinct()
-    tops = known.groupBy(group).agg(F.min("range").alias("bottom"))
-    over_groups = Window.orderBy(F.desc("group"))  # a row for each 65,536 ranges
-    tops = tops.select("group", F.coalesce(F.lag("bottom").over(over_groups), F.min("bottom").over(Window.partitionBy())).alias("above_group"))
-    higher = F.lag("range").over(Window.partitionBy(group).orderBy(F.desc("range")))
-    to = known.select("range", group, higher.alias("above")).join(tops, "group").select("range", F.coalesce("above", "above_group").alias("to"))
+    known = dealt.select("range").distinct().repartitionByRange(shuffle_partitions(spark), F.desc("range"))
+    known = written(known.select("range", F.spark_partition_id().alias("part")), "ranges")
+    ends = known.groupBy("part").agg(F.min("range").alias("bottom"))
+    over_parts = Window.orderBy("part")  # a row for each shuffle partition
+    ends = ends.select("part", F.coalesce(F.lag("bottom").over(over_parts), F.min("bottom").over(Window.partitionBy())).alias("above_part"))
+    higher = F.lag("range").over(Window.partitionBy("part").orderBy(F.desc("range")))
+    to = known.select("range", "part", higher.alias("above")).join(ends, "part").select("range", F.coalesce("above", "above_part").alias("to"))
+    dealt = dealt.repartition("range")
 
     heads = dealt.withColumn("n", F.row_number().over(in_range)).filter("n = 1").join(to, "range")
     heads = heads.select(F.col("to").alias("range"), F.col("text").alias("head_text"), winnow(F.col("text"), k, window).alias("head_f"))
