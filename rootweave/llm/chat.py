@@ -6,16 +6,18 @@ closing mark; given the state they are taken as independent. Start, transition a
 conversations: aggregates of a few hundred rows, whatever the corpus. The best path is found by
 Viterbi, first state in order on ties.
 
-A conversation of any length is cut to segments of `span` blocks. Each segment reduces to a max-plus
-matrix (best score from any state before it to any state after it). Matrices are multiplied in
-groups of `fan`, level by level, until one is left for each conversation; the best end is then
-handed down, group by group, as an entry vector and an exit state for every segment, which are
-decoded on their own. The outcome is that of Viterbi over the whole conversation, and no task holds
-more than one segment or one group of matrices.
-
-Null text is an empty line; null roles are not learned; null conv_id is a conversation of its own;
-rows with equal (conv_id, turn) are ordered by text. Empty tables give no rows. Extra columns
-are ignored.
+Blocks are numbered in their conversation and cut to segments of `span` blocks. A conversation of one
+segment is decoded as it is. Of a longer one, each segment reduces to a max-plus matrix (best score from
+any state before it to any state after it). Matrices are multiplied in groups of `fan`, level by level, until one
+is left for each conversation; the best end is then handed down, group by group, as an entry vector
+and an exit state for every segment, which are decoded on their own. A turn that crosses segments is put together again.
+So the outcome is that of Viterbi over the whole conversation, whatever `span`, and no task holds
+more than some segments of about `group_bytes` together, or one group of matrices. Segments of a task are decoded in lockstep.
+
+Blank lines inside a turn stay; those around it go. Null text is an empty line; null roles are not learned; a row
+with a null conv_id is a conversation of its own. Blocks are ordered by turn, null turns first, then by a hash of
+their text and the text; turns may be negative or repeated. Blocks without a line that is not blank hold no turn. Very long
+texts and conversations are taken whole. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import ship, written
+from rootweave.llm.common import shuffle_partitions, ship, written
+from rootweave.operators.ordered import Runs
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers at the start of a line, with the class that each suggests.
@@ -50,13 +53,15 @@ def features(line: str, gap: bool) -> tuple[int, int, int, int]:
     return marker, int(gap), length, closing
 
 
-def observed(text: str) -> list[tuple[int, str, bool]]:
-    """Number, text and gap flag of the lines of a block that are not blank."""
-    found, gap = [], False
+def observed(text: str) -> list[tuple[int, str, int]]:
+    """Number and text of the lines of a block that are not blank, and how many blank lines stand before each."""
+    found, blanks = [], 0
     for i, line in enumerate(text.split("\n")):
         if line.strip():
-            found.append((i, line, gap))
-        gap = not line.strip()
+            found.append((i, line, blanks))
+            blanks = 0
+        else:
+            blanks += 1
     return found
 
 
@@ -70,30 +75,45 @@ class TurnModel:
     move: np.ndarray  # log probabilities, STATES + 1 by STATES + 1; START has no way in
     emit: list[np.ndarray]  # one for each feature, STATES by its size
 
-    def scores(self, lines: list[tuple[str, bool]]) -> np.ndarray:
-        table = np.array([features(*x) for x in lines], dtype=int).reshape(-1, len(FEATURES))
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        """A row for each line: the log probability of its features in every state."""
         return sum(self.emit[k][:, table[:, k]].T for k in range(len(FEATURES)))
 
-    def matrix(self, lines: list[tuple[str, bool]]) -> np.ndarray:
-        best = np.where(np.eye(START + 1, dtype=bool), 0.0, -np.inf)
-        for row in self.scores(lines):
-            best = times(best, self.move)
-            best[:, :STATES] += row
-        return best
-
-    def decode(self, lines: list[tuple[str, bool]], entry: np.ndarray, exit_state: int | None = None) -> list[int]:
-        came, at = [], entry
-        for row in self.scores(lines):
-            options = at[:, None] + self.move
-            came.append(options.argmax(axis=0))
-            at = options.max(axis=0)
-            at[:STATES] += row
-        state = int(at.argmax()) if exit_state is None else exit_state
-        path = []
-        for back in reversed(came):
-            path.append(state)
-            state = int(back[state])
-        return path[::-1]
+    def matrices(self, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Max-plus matrices of sequences of lines that follow each other in the table."""
+        out = np.broadcast_to(np.where(np.eye(START + 1, dtype=bool), 0.0, -np.inf), (len(lengths), START + 1, START + 1)).copy()
+        for live, rows in _lockstep(self.scores(table), lengths):
+            best = (out[live][:, :, :, None] + self.move).max(axis=2)
+            best[:, :, :STATES] += rows[:, None, :]
+            out[live] = best
+        return out
+
+    def decode(self, table: np.ndarray, lengths: np.ndarray, entry: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        """States of all lines; a sequence starts from its entry vector and ends in its exit state, or (-1) the best one."""
+        at, steps = entry.copy(), []
+        for live, rows in _lockstep(self.scores(table), lengths):
+            options = at[live][:, :, None] + self.move
+            steps.append((live, options.argmax(axis=1).astype(np.int8)))
+            best = options.max(axis=1)
+            best[:, :STATES] += rows
+            at[live] = best
+        state = np.where(exits < 0, at.argmax(axis=1), exits)
+        path = np.zeros(len(table), dtype=np.int8)
+        first = np.cumsum(lengths) - lengths
+        for t in range(len(steps) - 1, -1, -1):
+            live, came = steps[t]
+            path[first[live] + t] = state[live]
+            state[live] = came[np.arange(len(live)), state[live]]
+        return path
+
+
+def _lockstep(scores: np.ndarray, lengths: np.ndarray):
+    """For every step the sequences that are that long, and their rows at it."""
+    first = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    live = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+    for t, n in enumerate(live.tolist()):
+        yield order[:n], scores[first[order[:n]] + t]
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,6 +147,18 @@ def raw_blocks(conversations: DataFrame) -> DataFrame:
     )
 
 
+def ordered(blocks: DataFrame) -> DataFrame:
+    """The blocks with `conv`, a key of the conversation, and `n`, the place in it; written once.
+
+    No task orders a whole conversation: turns are numbered in buckets of 4,096, null turns in buckets of their hash.
+    """
+    keyed = blocks.select("*", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string"))).alias("conv"))
+    keyed = keyed.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
+    bucket = F.struct(F.coalesce(F.floor(F.col("turn") / 4096), F.lit(-(1 << 62))).alias("a"), F.when(F.col("turn").isNull(), F.shiftright("h", 52)).otherwise(0).alias("b"))
+    found = Runs("conv", "bucket", ["turn", "h", "text"]).numbered(keyed.withColumn("bucket", bucket), "n")
+    return written(found.drop("bucket", "h"), "chat-blocks")
+
+
 def _counts(frames):
     """Feature counts by state, and transitions inside a block; transitions between blocks come apart."""
     for frame in frames:
@@ -134,9 +166,9 @@ def _counts(frames):
         for text, role in zip(frame["text"], frame["role"], strict=True):
             if role not in ROLES:
                 continue
-            for i, (_, line, gap) in enumerate(observed(text)):
+            for i, (_, line, blanks) in enumerate(observed(text)):
                 state = 2 * ROLES.index(role) + (i > 0)
-                for k, value in enumerate(features(line, gap)):
+                for k, value in enumerate(features(line, blanks > 0)):
                     seen[k, state, value] = seen.get((k, state, value), 0) + 1
                 if i:
                     seen[-1, state - (i == 1), state] = seen.get((-1, state - (i == 1), state), 0) + 1
@@ -145,16 +177,17 @@ def _counts(frames):
 
 
 def fit(blocks: DataFrame, training: Column) -> TurnModel:
-    """Smoothed counts over the blocks where `training` holds."""
+    """Smoothed counts over the blocks where `training` holds; `blocks` as `ordered` gives them, or raw."""
     ship(blocks.sparkSession)
-    rows = blocks.filter(training & F.col("role").isin(*ROLES)).select("conv_id", "turn", "text", "role")
+    blocks = blocks if "n" in blocks.columns else ordered(blocks)
+    rows = blocks.filter(training & F.col("role").isin(*ROLES)).select("conv", "n", "text", "role")
     inside = rows.select("text", "role").mapInPandas(_counts, "kind int, a int, b int, n long")
     number = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
     lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S")))
-    ends = rows.select("conv_id", "turn", (2 * number).alias("first"), (2 * number + F.when(lines > 1, 1).otherwise(0)).alias("last"))
-    later = ends.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("first").alias("next"))
-    between = ends.join(later, ["conv_id", "turn"]).select(F.lit(-1).alias("kind"), F.col("last").alias("a"), F.col("next").alias("b"), F.lit(1).cast("long").alias("n"))
-    begins = ends.filter("turn = 0").select(F.lit(-1).alias("kind"), F.lit(START).alias("a"), F.col("first").alias("b"), F.lit(1).cast("long").alias("n"))
+    ends = rows.select("conv", "n", (2 * number).alias("first"), (2 * number + F.when(lines > 1, 1).otherwise(0)).alias("last"), lines.alias("lines")).filter("lines > 0")
+    later = ends.select("conv", (F.col("n") - 1).alias("n"), F.col("first").alias("next"))
+    between = ends.join(later, ["conv", "n"]).select(F.lit(-1).alias("kind"), F.col("last").alias("a"), F.col("next").alias("b"), F.lit(1).cast("long").alias("n"))
+    begins = ends.filter("n = 0").select(F.lit(-1).alias("kind"), F.lit(START).alias("a"), F.col("first").alias("b"), F.lit(1).cast("long").alias("n"))
     totals = inside.unionByName(between).unionByName(begins).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a few hundred rows
     move = np.full((START + 1, START + 1), 0.1)
     emit = [np.full((STATES, size), 0.5) for size in FEATURES]
@@ -169,18 +202,38 @@ def fit(blocks: DataFrame, training: Column) -> TurnModel:
         return TurnModel(np.log(move / move.sum(axis=1, keepdims=True)), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit])
 
 
-def _lines(frame: pd.DataFrame) -> tuple[list[tuple[str, bool]], list[tuple[int, int]]]:
-    frame = frame.sort_values(["turn", "text"], kind="stable")
-    lines, places = [], []
-    for turn, text in zip(frame["turn"], frame["text"], strict=True):
-        for i, line, gap in observed(text):
-            lines.append((line, gap))
-            places.append((turn, i))
-    return lines, places
-
-
-def _segment_matrix(key, frame: pd.DataFrame, model: TurnModel) -> pd.DataFrame:
-    return pd.DataFrame([(key[0], key[1], model.matrix(_lines(frame)[0]).ravel())], columns=["conv_id", "seg", "matrix"])
+@dataclass
+class Segments:
+    """The segments of a task: their keys, and their lines one after the other."""
+
+    keys: list[tuple]  # conv, conv_id, seg
+    lengths: np.ndarray
+    table: np.ndarray
+    lines: list[tuple]  # turn, number in the block, text, blank lines before
+
+
+def _segments(frame: pd.DataFrame) -> Segments:
+    frame = frame.sort_values(["conv", "n"], kind="stable")
+    keys, counts, lines = [], [], []
+    none = object()
+    last = (none, none)
+    columns = (frame[c].tolist() for c in ("conv", "conv_id", "seg", "turn", "text"))
+    for conv, conv_id, seg, turn, text in zip(*columns, strict=True):
+        if (conv, seg) != last:
+            last = (conv, seg)
+            keys.append((conv, conv_id, seg))
+            counts.append(0)
+        found = observed(text)
+        counts[-1] += len(found)
+        lines += [(turn, i, line, blanks) for i, line, blanks in found]
+    table = np.array([features(line, blanks > 0) for _, _, line, blanks in lines], dtype=int).reshape(-1, len(FEATURES))
+    return Segments(keys, np.array(counts, dtype=np.int64), table, lines)
+
+
+def _segment_matrices(frame: pd.DataFrame, model: TurnModel) -> pd.DataFrame:
+    found = _segments(frame)
+    matrices = model.matrices(found.table, found.lengths)
+    return pd.DataFrame([(conv, seg, m.ravel()) for (conv, _, seg), m in zip(found.keys, matrices, strict=True)], columns=["conv", "seg", "matrix"])
 
 
 def _product(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +241,14 @@ def _product(key, frame: pd.DataFrame) -> pd.DataFrame:
     for flat in frame.sort_values("seg")["matrix"]:
         one = np.array(flat).reshape(START + 1, START + 1)
         total = one if total is None else times(total, one)
-    return pd.DataFrame([(key[0], key[1], total.ravel())], columns=["conv_id", "seg", "matrix"])
+    return pd.DataFrame([(key[0], key[1], total.ravel())], columns=["conv", "seg", "matrix"])
+
+
+def _top(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """The best end of a whole conversation."""
+    matrix = np.array(frame["matrix"].iloc[0]).reshape(START + 1, START + 1)
+    entry = opening()
+    return pd.DataFrame([(key[0], 0, entry, int((entry[:, None] + matrix).max(axis=0).argmax()))], columns=["conv", "seg", "entry", "exit_state"])
 
 
 def _hand_down(key, children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
@@ -203,52 +263,96 @@ def _hand_down(key, children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFram
         exits.append(state)
         state = int((entry[k] + matrices[k][:, state]).argmax())
     rows = [(key[0], seg, e, x) for seg, e, x in zip(children["seg"], entry[:-1], exits[::-1], strict=True)]
-    return pd.DataFrame(rows, columns=["conv_id", "seg", "entry", "exit_state"])
-
-
-_MATRIX = "conv_id long, seg long, matrix array<double>"
-_ENTRY = "conv_id long, seg long, entry array<double>, exit_state int"
-_TURNS = "conv_id long, turn long, line int, role string, continued boolean, n_lines long, text string, rendered string"
-
-
-def render(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text}\n<|end|>\n"
-
-
-def _decode_segment(key, frame: pd.DataFrame, given: pd.DataFrame, model: TurnModel) -> pd.DataFrame:
-    lines, places = _lines(frame)
-    path = model.decode(lines, np.array(given["entry"].iloc[0], dtype=float), int(given["exit_state"].iloc[0]))
-    rows: list[list] = []
-    for (line, _), place, state in zip(lines, places, path, strict=True):
-        if state % 2 == 0 or not rows:
-            rows.append([*place, ROLES[state // 2], state % 2 == 1, []])
-        rows[-1][4].append(without_marker(line) if state % 2 == 0 or len(rows[-1][4]) <= 1 else line)
-    out = [(key[0], t, i, role, more, len(ls), (text := "\n".join(x for x in ls if x)), render(role, text)) for t, i, role, more, ls in rows]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _TURNS.split(", ")])
+    return pd.DataFrame(rows, columns=["conv", "seg", "entry", "exit_state"])
+
+
+_MATRIX = "conv string, seg long, matrix array<double>"
+_ENTRY = "conv string, seg long, entry array<double>, exit_state int"
+_PIECES = "conv string, conv_id long, seg long, at int, open boolean, turn long, line int, role string, n_lines long, text string"
+
+
+def _decode_segments(frame: pd.DataFrame, given: pd.DataFrame, model: TurnModel) -> pd.DataFrame:
+    """Turns and parts of turns of each segment; `open` marks the rest of a turn that began before."""
+    found = _segments(frame)
+    entry, exits = np.tile(opening(), (len(found.keys), 1)), np.full(len(found.keys), -1)
+    known = {(conv, seg): (e, x) for conv, seg, e, x in zip(given["conv"], given["seg"], given["entry"], given["exit_state"], strict=True)}
+    for i, (conv, _, seg) in enumerate(found.keys):
+        if (conv, seg) in known:
+            entry[i], exits[i] = known[conv, seg]
+    path = model.decode(found.table, found.lengths, entry, exits).tolist()
+    rows, k = [], 0
+    for (conv, conv_id, seg), n in zip(found.keys, found.lengths.tolist(), strict=True):
+        turns: list[tuple] = []
+        for i in range(n):
+            (turn, number, line, blanks), state = found.lines[k], path[k]
+            k += 1
+            first = state % 2 == 0
+            if first or not turns:
+                turns.append((not first, turn, number, ROLES[state // 2], []))
+            elif not turns[-1][4] or turns[-1][4] == [""]:
+                blanks = 0  # the marker stood on a line of its own
+            turns[-1][4].extend([""] * (0 if first else blanks))
+            turns[-1][4].append(without_marker(line) if first else line)
+        for at, (more, turn, number, role, ls) in enumerate(turns):
+            rows.append((conv, conv_id, seg, at, more, turn, number, role, sum(1 for x in ls if x), "\n".join(ls)))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
+    return out.astype({"conv_id": "Int64", "turn": "Int64"})
+
+
+def _whole_turns(pieces: DataFrame, fan: int) -> DataFrame:
+    """Parts of turns joined to the last turn that began before their segment."""
+    group = F.floor(F.col("seg") / fan)
+    begun = pieces.groupBy("conv", "seg").agg(F.max(F.when(~F.col("open"), F.col("seg"))).alias("begun"), F.max("at").alias("last")).withColumn("g", group)
+    before = Window.partitionBy("conv").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = begun.groupBy("conv", "g").agg(F.max("begun").alias("begun")).select("conv", "g", F.max("begun").over(before).alias("base"))
+    inside = Window.partitionBy("conv", "g").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    owner = begun.join(groups, ["conv", "g"]).select("conv", "seg", F.coalesce(F.max("begun").over(inside), F.col("base")).alias("owner"))
+    opened = pieces.filter("open").join(owner, ["conv", "seg"])
+    lasts = opened.select("conv", F.col("owner").alias("seg")).distinct().join(begun.select("conv", "seg", F.col("last").alias("at")), ["conv", "seg"])
+    starts = pieces.join(lasts, ["conv", "seg", "at"], "left_semi").withColumn("owner", F.col("seg"))
+    joined = starts.unionByName(opened).groupBy("conv", "owner").agg(
+        *[F.min_by(c, "seg").alias(c) for c in ("conv_id", "turn", "line", "role")], F.sum("n_lines").alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), "\n").alias("text"),
+    )
+    whole = pieces.filter("not open").join(lasts, ["conv", "seg", "at"], "left_anti")
+    kept = ["conv_id", "turn", "line", "role", "n_lines", "text"]
+    return whole.select(*kept).unionByName(joined.select(*kept))
 
 
-def parse_transcripts(blocks: DataFrame, model: TurnModel, span: int = 16, fan: int = 256) -> DataFrame:
-    """One row for each recovered turn: where it starts, its role, bare text and canonical rendering.
+def parse_transcripts(blocks: DataFrame, model: TurnModel, span: int = 1024, fan: int = 256, group_bytes: int = 8_000_000) -> DataFrame:
+    """One row for each recovered turn: where it starts, its role, n_lines that are not blank, bare text and canonical rendering.
 
-    `continued` marks the rest of a turn that began in the segment before. Roles in `blocks` are not read.
+    `blocks` as `ordered` gives them, or raw; their roles are not read.
     """
-    ship(blocks.sparkSession)
-    rows = blocks.select("conv_id", F.coalesce("turn", F.lit(0).cast("long")).alias("turn"), F.coalesce("text", F.lit("")).alias("text")).withColumn("seg", F.floor(F.col("turn") / span))
-    levels = [written(rows.groupBy("conv_id", "seg").applyInPandas(lambda key, frame: _segment_matrix(key, frame, model), _MATRIX), "chat-level")]
-    while (levels[-1].agg(F.max(F.abs("seg"))).first()[0] or 0) > 0:
-        parents = levels[-1].withColumn("g", F.floor(F.col("seg") / fan)).groupBy("conv_id", "g").applyInPandas(_product, _MATRIX)
-        levels.append(written(parents, "chat-level"))
-    first = F.array(*[F.lit(float(x)) for x in opening()])
-    given = levels.pop().select("conv_id", "seg", first.alias("entry"), F.lit(-1).alias("exit_state"), "matrix")
-    given = given.withColumn("parent", F.col("seg")).groupBy("conv_id", "parent").applyInPandas(_top, _ENTRY)
-    while levels:
-        children = levels.pop().withColumn("g", F.floor(F.col("seg") / fan))
-        given = children.groupBy("conv_id", "g").cogroup(given.withColumn("g", F.col("seg")).groupBy("conv_id", "g")).applyInPandas(_hand_down, _ENTRY)
-    return rows.groupBy("conv_id", "seg").cogroup(given.groupBy("conv_id", "seg")).applyInPandas(lambda key, frame, given: _decode_segment(key, frame, given, model), _TURNS)
-
-
-def _top(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """The best end of a whole conversation."""
-    matrix = np.array(frame["matrix"].iloc[0]).reshape(START + 1, START + 1)
-    entry = np.array(frame["entry"].iloc[0], dtype=float)
-    return pd.DataFrame([(key[0], key[1], entry, int((entry[:, None] + matrix).max(axis=0).argmax()))], columns=["conv_id", "seg", "entry", "exit_state"])
+    spark = blocks.sparkSession
+    ship(spark)
+    blocks = blocks if "n" in blocks.columns else ordered(blocks)
+    size = blocks.agg(F.max("n").alias("last"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    packs = max(shuffle_partitions(spark), -(-(size["bytes"] or 0) // group_bytes))
+    pack = F.pmod(F.xxhash64("conv", "seg"), F.lit(packs)).alias("pack")
+    rows = blocks.withColumn("seg", F.floor(F.col("n") / span)).select("conv", "conv_id", "n", "seg", "turn", "text").select("*", pack)
+    several = size["last"] is not None and size["last"] >= span  # some conversation has more than one segment
+    given = spark.createDataFrame([], _ENTRY)
+    if several:
+        longer = rows.filter(F.col("n") == span).select("conv")
+        cut = rows.filter("seg > 0").unionByName(rows.filter("seg = 0").join(longer, "conv", "left_semi").select(*rows.columns))
+        levels = [written(cut.groupBy("pack").applyInPandas(lambda frame: _segment_matrices(frame, model), _MATRIX), "chat-level")]
+        top = size["last"] // span
+        while top:
+            top //= fan
+            parents = levels[-1].withColumn("g", F.floor(F.col("seg") / fan)).groupBy("conv", "g").applyInPandas(_product, _MATRIX)
+            levels.append(written(parents, "chat-level"))
+        given = levels.pop().groupBy("conv").applyInPandas(_top, _ENTRY)
+        while levels:
+            children = levels.pop().withColumn("g", F.floor(F.col("seg") / fan))
+            given = children.groupBy("conv", "g").cogroup(given.withColumn("g", F.col("seg")).groupBy("conv", "g")).applyInPandas(_hand_down, _ENTRY)
+    given = given.select("*", pack)
+    pieces = rows.groupBy("pack").cogroup(given.groupBy("pack")).applyInPandas(lambda frame, given: _decode_segments(frame, given, model), _PIECES)
+    turns = _whole_turns(written(pieces, "chat-pieces"), fan) if several else pieces
+    text = F.regexp_replace("text", r"^\n+", "")
+    return turns.select("conv_id", "turn", "line", "role", "n_lines", text.alias("text"), rendered(F.col("role"), text).alias("rendered"))
+
+
+def rendered(role: Column, text: Column) -> Column:
+    """The canonical form of a turn."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n<|end|>\n"))

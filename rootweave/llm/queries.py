@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rootweave.llm import chat, language
 from rootweave.llm.common import table
 from rootweave.llm.decontam import contaminated
-from rootweave.llm.fingerprints import hashes, likeness, printed, winnow, with_next
+from rootweave.llm.fingerprints import hashes, likeness, printed, printed_positions, winnow, with_next
 from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.near_dups import near_duplicates
 from rootweave.llm.packing import pack
@@ -36,7 +36,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("fingerprint")).alias("fingerprint"), printed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(own, new).alias("near_edited"), likeness(own, later).alias("near_next"),
+        likeness(own, new).alias("near_edited"), likeness(own, later).alias("near_next"), printed_positions(F.col("fingerprint")).alias("positions"),
     )
 
 
@@ -55,11 +55,11 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns recovered from raw transcripts of all conversations; learned where crc32(conv_id) mod 4 is not 2."""
-    blocks = chat.raw_blocks(table(spark, sf_dir, "conversations"))
+    blocks = chat.ordered(chat.raw_blocks(table(spark, sf_dir, "conversations")))
     held = language.held_out(F.col("conv_id"))
     found = chat.parse_transcripts(blocks, chat.fit(blocks, ~held))
     return found.select(
-        "conv_id", held.alias("held_out"), "turn", "line", "role", "continued", "n_lines",
+        "conv_id", held.alias("held_out"), "turn", "line", "role", "n_lines",
         F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
     )
 
