@@ -14,26 +14,29 @@ gram hash, and nothing else needs to meet.
    position, so they are streamed in text order from the samples. Where the longer one reaches `length`,
    a window is repeated.
 4. Grams with more than `crowd` classes (the edge of a passage that very many documents hold) would
-   outgrow a block: their windows are hashed to 128 bits, one by one, and counted with partial aggregates.
+   outgrow a block. Their windows are parted by where the gram lies in them: those of a range of offsets share a
+   longer core around the gram, and equal windows have equal cores. So each range is a gram group of its own
+   with a longer seed, again counted, indexed in a block, or parted further while it is crowded;
+   a range of one offset holds one window, which is its class.
 5. Repeated windows go back to every place of their class; documents drop the bytes that are covered.
 
-Digests and window hashes have 128 bits. Null and empty texts have no bytes; texts shorter than `length`
+Digests have 128 bits. Null and empty texts have no bytes; texts shorter than `length`
 lose nothing. Rows are documents: repeated rows repeat each other whatever their ids; null ids are
-allowed. Extra columns are ignored. Long texts are cut in overlapping slices, which only splits
-stretches.
+allowed. Empty tables give no rows. Extra columns are ignored. Long texts are cut in overlapping slices,
+which only splits stretches.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import batches_of_rows, shuffle_partitions, texts, written
+from rootweave.llm.common import batches_of_rows, joined_by_key, shuffle_partitions, texts, written
 from rootweave.llm.near_dups import _mixed
 
 #: Places (about 40 bytes each) that may be sent to all tasks; more are joined by shuffles.
@@ -212,23 +215,32 @@ class RunIndex:
 
 
 def _block_marks(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Repeated windows of the strings of a block, as places in the stretches that they were cut from."""
     strings = frame["bytes"].tolist()
     statistics = RunIndex(strings).matching_statistics()
     repeated = statistics >= length
     rows, at = [], 0
-    for digest, string in zip(frame["digest"], strings, strict=True):
-        hit = np.flatnonzero(repeated[at : at + len(string)])
-        if len(hit):
+    for digest, single, shift, string in zip(frame["digest"], frame["single"], frame["shift"], strings, strict=True):
+        hit = np.flatnonzero(repeated[at : at + len(string)]) + shift
+        if single and len(hit):
             cut = np.flatnonzero(np.diff(hit) > 1)
             rows.append((digest, hit[np.append(0, cut + 1)].tolist(), (hit[np.append(cut, len(hit) - 1)] + length).tolist()))
         at += len(string) + 1
     return pd.DataFrame(rows, columns=["digest", "low", "high"])
 
 
-def _cut(batches, kind: str, length: int = 0):
-    """Bytes of places from the texts that they were listed with; for "windows", hashes of all their windows."""
-    from xxhash import xxh3_128_digest
+def _anchor(raw: bytes, length: int, seed: int) -> int:
+    """Where the least gram of a stretch begins, as `stretches` chose it."""
+    bits = np.uint64(22)
+    hashed = _grams(np.frombuffer(raw, dtype=np.uint8)[:length], seed)
+    return int((hashed >> bits << bits | np.arange(len(hashed), dtype=np.uint64)).argmin())
+
+
+_CUT = "gram long, digest binary, single boolean, n_classes long, anchor int, bytes binary"
 
+
+def _cut(batches, length: int, seed: int, crowd: int):
+    """Bytes of places from the texts that they were listed with; for crowded grams, where the gram lies in them."""
     for batch in batches:
         for group, lists in batches_of_rows(batch, ["text", "places"], 256):
             rows = []
@@ -236,14 +248,49 @@ def _cut(batches, kind: str, length: int = 0):
                 raw = text.encode("utf-8")
                 for p in places:
                     piece = raw[p["start"] : p["start"] + p["size"]]
-                    if kind == "windows":
-                        rows += [(xxh3_128_digest(piece[i : i + length]), p["digest"], i) for i in range(len(piece) - length + 1)]
-                    else:
-                        rows.append((p["gram"], p["digest"], piece))
-            names = ["window", "digest", "offset"] if kind == "windows" else ["gram", "digest", "bytes"]
-            kinds = [pa.binary(), pa.binary(), pa.int32()] if kind == "windows" else [pa.int64(), pa.binary(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                    rows.append((p["gram"], p["digest"], p["single"], p["n_classes"], _anchor(piece, length, seed) if p["n_classes"] > crowd else 0, piece))
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "digest", "single", "n_classes", "anchor", "bytes"])
+
+
+def _hashed(*parts) -> Column:
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def _parted(crowded: DataFrame, length: int, seed: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(marks, rows for blocks) of crowded stretches, by ranges of the gram's offset in a window.
+
+    In a round, every range is parted in four. What has the same bytes in a range is one class: a class of
+    several stretches is repeated as a whole, and one stretch stands for it from there on.
+    """
+    marks, calm = [], []
+    level = crowded.select("gram", "digest", "single", "bytes", "anchor", F.lit(0).alias("a"), F.lit(length - seed).alias("b"))
+    while True:
+        step = F.ceil((F.col("b") - F.col("a") + 1) / 4).cast("int")
+        rows = level.withColumn("step", step).withColumn("ca", F.explode(F.sequence("a", "b", "step")))
+        rows = rows.withColumn("cb", F.least(F.col("ca") + F.col("step") - 1, F.col("b")))
+        low = F.greatest(F.col("anchor") - F.octet_length("bytes") + length, F.col("ca"))
+        rows = rows.withColumn("low", low).withColumn("high", F.least("anchor", "cb")).filter("low <= high")
+        core = F.substring("bytes", F.col("anchor") - F.col("ca") + 1, length - F.col("cb") + F.col("ca"))
+        shift, size = F.col("anchor") - F.col("high"), length + F.col("high") - F.col("low")
+        key = _hashed(F.concat_ws(":", "gram", "ca", "cb", F.lit("")).cast("binary"), core)
+        rows = rows.select("gram", "digest", "single", "bytes", "anchor", F.col("ca").alias("a"), F.col("cb").alias("b"), key.alias("key"), shift.alias("shift"), size.alias("size"))
+        rows = written(rows.withColumn("part", _hashed("key", F.substring("bytes", F.col("shift") + 1, F.col("size")))), "repeat-ranges")
+        parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("stands"), F.first("key").alias("k"))
+        parts = written(parts, "repeat-parts")
+        n_rows, n_parts = rows.count(), parts.count()
+        joined = joined_by_key(rows, parts.select("part", "n", "stands"), "part", "n", n_rows)
+        marks.append(joined.filter("single AND n > 1").select("digest", F.array("shift").alias("low"), F.array(F.col("shift") + F.col("size")).alias("high")))
+        counted = parts.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
+        standing = joined.filter(F.col("digest") == F.col("stands")).withColumn("single", F.col("single") & (F.col("n") == 1)).drop("n", "stands", "part")
+        standing = written(joined_by_key(standing, counted, "key", "n_parts", n_parts), "repeat-standing")
+        few = standing.filter(F.col("n_parts") <= crowd)
+        calm.append(few.select(F.xxhash64("key").alias("gram"), "digest", "single", "shift", F.substring("bytes", F.col("shift") + 1, F.col("size")).alias("bytes")))
+        level = standing.filter(F.col("n_parts") > crowd)
+        if level.isEmpty():
+            return marks, calm
+        level = level.select("gram", "digest", "single", "bytes", "anchor", "a", "b")
 
 
 def _drop(batches):
@@ -277,37 +324,42 @@ def without_repeats(docs: DataFrame, length: int = 400, seed: int = 40, crowd: i
     spark = docs.sparkSession
     plain = texts(docs)
     places = written(plain.mapInArrow(partial(_places, length=length, seed=seed), _PLACES), "repeat-places")
-    shared = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    met = written(places.join(shared, "gram"), "repeat-met")
+    counted = places.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
+    met = written(joined_by_key(places, counted, "gram", "places", places.count()).drop("places"), "repeat-met")
     example = F.min(F.struct("doc_id", "row_hash", "start", "size")).alias("example")
     classes = written(met.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), example), "repeat-classes")
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1")
-    open_classes = written(classes.join(several, "gram").select("gram", "digest", "n_classes", "example.*"), "repeat-open")
-    sizes = open_classes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.sum((F.col("n_classes") > crowd).cast("int")).alias("crowded")).first()
+    open_classes = joined_by_key(classes, several, "gram", "n_classes", classes.count())
+    open_classes = written(open_classes.select("gram", "digest", (F.col("n") == 1).alias("single"), "n_classes", "example.*"), "repeat-open")
+    sizes = open_classes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("n_classes").alias("most")).first()
 
     keyed = plain.mapInArrow(_with_row_hash, "doc_id long, row_hash long, text string")
 
     def texts_with(chosen: DataFrame, rows: int) -> DataFrame:
-        lists = chosen.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("gram", "digest", "start", "size")).alias("places"))
+        lists = chosen.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("gram", "digest", "single", "n_classes", "start", "size")).alias("places"))
         lists = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("row_hash", "h")
         joined = keyed.join(_small(lists, rows), (F.col("h") == F.col("row_hash")) & F.col("d").eqNullSafe(F.col("doc_id")))
         return joined.dropDuplicates(["d", "h"]).select("text", "places") if rows > BROADCAST_PLACES else joined.select("text", "places")
 
-    marks = classes.filter("n > 1").select("digest", F.array(F.lit(0)).alias("low"), F.array("example.size").alias("high"))
-    calm = open_classes.filter(F.col("n_classes") <= crowd)
     blocks = max(shuffle_partitions(spark), -(-int(sizes["bytes"] or 0) // block_bytes))
-    cut = texts_with(calm, sizes["n"]).mapInArrow(partial(_cut, kind="bytes"), "gram long, digest binary, bytes binary").dropDuplicates(["digest"])
-    blocked = cut.withColumn("block", F.pmod("gram", F.lit(blocks)))
-    found = blocked.groupBy("block").applyInPandas(lambda frame: _block_marks(frame, length), "digest binary, low array<int>, high array<int>")
-    marks = marks.unionByName(found)
-    if sizes["crowded"]:
-        windows = texts_with(open_classes.filter(F.col("n_classes") > crowd), sizes["crowded"]).mapInArrow(partial(_cut, kind="windows", length=length), "window binary, digest binary, offset int").distinct()
-        windows = written(windows, "repeat-windows")
-        twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-        hit = windows.join(twice, "window").select("digest", F.array("offset").alias("low"), F.array(F.col("offset") + length).alias("high"))
-        marks = marks.unionByName(hit)
-
-    spans = met.join(marks, "digest").select("doc_id", "row_hash", "start", F.explode(F.arrays_zip("low", "high")).alias("m"))
+    cut = texts_with(open_classes, sizes["n"]).mapInArrow(partial(_cut, length=length, seed=seed, crowd=crowd), _CUT).dropDuplicates(["digest"])
+    marks = []
+    if (sizes["most"] or 0) > crowd:
+        cut = written(cut, "repeat-cut")
+        marks, calm = _parted(cut.filter(F.col("n_classes") > crowd), length, seed, crowd)
+    else:
+        calm = []
+    calm.append(cut.filter(F.col("n_classes") <= crowd).select("gram", "digest", "single", F.lit(0).alias("shift"), "bytes"))
+    blocked = reduce(DataFrame.unionByName, calm).withColumn("block", F.pmod("gram", F.lit(blocks)))
+    marks.append(blocked.groupBy("block").applyInPandas(lambda frame: _block_marks(frame, length), "digest binary, low array<int>, high array<int>"))
+
+    # a class seen twice is marked whole at all its places; the others have one place each
+    whole = classes.filter("n > 1").select("digest", "n", F.col("example.size").alias("high"))
+    spans = joined_by_key(met.select("digest", "doc_id", "row_hash", "start"), whole, "digest", "n", places.count())
+    spans = spans.select("doc_id", "row_hash", "start", F.struct(F.lit(0).alias("low"), "high").alias("m"))
+    alone = classes.filter("n = 1").select("digest", "example.doc_id", "example.row_hash", "example.start")
+    found = alone.join(reduce(DataFrame.unionByName, marks), "digest")
+    spans = spans.unionByName(found.select("doc_id", "row_hash", "start", F.explode(F.arrays_zip("low", "high")).alias("m")))
     spans = spans.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("m.low")).alias("low"), (F.col("start") + F.col("m.high")).alias("high"))).alias("spans"))
     spans = written(spans, "repeat-spans").withColumnRenamed("doc_id", "d").withColumnRenamed("row_hash", "h")
     # a sort-merge join: texts move once, however few documents lose bytes
