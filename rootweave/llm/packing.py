@@ -1,17 +1,18 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Documents are dealt to bins by a hash of id and text, so every bin draws on all sources and a hot
-source is spread over all bins. In a bin each source has a queue of documents. Every window takes
-turns: a source is owed its target share of each token packed; in a round every non-empty queue
-earns a quantum of its share and sends as much as its credit allows, the most underpaid first,
-until the window holds `size` tokens. Credit that is left is carried to the next window, and
+Documents are dealt to bins by a hash of id and place in the input, so every bin draws on all sources; a hot
+source, id or text is spread over all bins. In a bin each source has a queue of documents. Every window takes
+turns: a source is owed its target share of each token packed; for a window every non-empty queue
+earns its share, and the most underpaid one sends what it is owed, a quantum of `size / 16` tokens at least,
+until the window holds `size` tokens. Credit or debt that is left is carried to the next window, and
 the credit of all earlier bins (what their mixture owed less what they held) opens the next bin.
 Documents are cut at window ends, so only a bin's last window is short; it is split at powers of
 two, which need no padding. Sequence numbers run on from bin to bin without gaps.
 
 The default target is the corpus's own proportion of tokens. Null text is empty and gives the end
-id alone; a null source is a queue of its own; rows with equal ids each keep their own pieces
-(ordered by length and checksum). Empty tables give no rows. Extra columns are ignored.
+id alone; a null source is a queue of its own; rows with equal or null ids each keep their own pieces
+(ordered by length and checksum). A very long text is cut like any other; its bin is as large as it is.
+Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,63 +23,46 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm.common import shuffle_partitions, ship, written
+from rootweave.llm.vocab import batch_slices
 from rootweave.llm.vocab import encoder as encoder_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 def _tokenise(batches, path: str, end_id: int):
-    import pyarrow as pa
-
-    from rootweave.llm.common import batches_of_rows
-
     encoder = encoder_of(path)
-    end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
     for batch in batches:
-        for bins, ids, sources, group in batches_of_rows(batch, ["bin", "doc_id", "source", "text"], 1024):
-            rows = [x + end for x in encoder.encode(group)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bins, pa.int32()), pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array([len(r) // encoder.width for r in rows], pa.int64()), pa.array(rows, pa.binary())],
-                names=["bin", "doc_id", "source", "n_tokens", "ids"],
-            )
+        for part in batch_slices(batch):
+            ids, counts = encoder.encode(part.column("text"), end_id)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bin", "doc_id", "source")), pa.array(counts), ids], names=["bin", "doc_id", "source", "n_tokens", "ids"])
 
 
-def deficit_round_robin(queues: dict, share: dict, credit: dict, size: int):
+def deficit_round_robin(queues: dict, share: dict, credit: dict, size: int, quantum: int = 1):
     """Yield (window, key, take) turns until all queues are empty.
 
-    queues: key -> deque of document lengths, consumed from the left; share: key -> target
-    proportion; credit: key -> tokens owed at the start, updated in place.
+    queues: key -> deque of document lengths; share: key -> target proportion; credit: key -> tokens owed
+    at the start, updated in place. A turn sends at least `quantum` tokens where the queue and the window
+    have them, so a window is cut to few pieces and no key is ahead by more than that.
     """
     left = {k: sum(q) for k, q in queues.items()}
     window = 0
-    while any(left.values()):
+    while left := {k: n for k, n in left.items() if n}:
         room = min(size, sum(left.values()))
+        weight = sum(share[k] for k in left)
+        for k in left:
+            credit[k] += room * (share[k] / weight if weight else 1 / len(left))
         while room:
-            live = [k for k, n in left.items() if n]
-            weight = sum(share[k] for k in live)
-            for k in live:
-                credit[k] += room * (share[k] / weight if weight else 1 / len(live))
-            live.sort(key=lambda k: -credit[k])
-            before = room
-            for k in live:
-                take = min(room, left[k], max(0, round(credit[k])))
-                if take:
-                    credit[k] -= take
-                    left[k] -= take
-                    room -= take
-                    yield window, k, take
-            if room and (room < len(live) or room == before):  # what rounding left goes to the most underpaid
-                k = max((k for k in live if left[k]), key=lambda k: credit[k], default=None)
-                if k is not None:
-                    take = min(room, left[k])
-                    credit[k] -= take
-                    left[k] -= take
-                    room -= take
-                    yield window, k, take
+            k = max((k for k, n in left.items() if n), key=credit.__getitem__)
+            take = min(room, left[k], max(quantum, round(credit[k])))
+            credit[k] -= take
+            left[k] -= take
+            room -= take
+            yield window, k, take
         window += 1
 
 
@@ -93,7 +77,7 @@ def _spans(total: int, size: int) -> list[tuple[int, int]]:
     return spans
 
 
-def _fill(frame: pd.DataFrame, opening: pd.DataFrame, size: int, width: int, share: dict) -> pd.DataFrame:
+def _fill(frame: pd.DataFrame, opening: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
     if frame.empty:
         return pd.DataFrame({c.split()[0]: [] for c in PIECES.split(", ")})
     frame = frame.assign(crc=[zlib.crc32(x) for x in frame["ids"]])
@@ -101,13 +85,13 @@ def _fill(frame: pd.DataFrame, opening: pd.DataFrame, size: int, width: int, sha
     keys = frame["source_key"].to_numpy()
     queues = {k: deque(frame["n_tokens"][keys == k]) for k in dict.fromkeys(keys)}
     rows = {k: deque(np.flatnonzero(keys == k)) for k in queues}
-    owed = dict(zip(opening["source_key"], opening["owed"], strict=True))
-    credit = {k: float(owed.get(k, 0.0)) for k in queues}
+    credit = dict(zip(opening["source_key"], opening["owed"], strict=True))
+    share = dict(zip(opening["source_key"], opening["share"], strict=True))
     starts = np.zeros(len(frame), dtype=np.int64)
     spans = _spans(int(frame["n_tokens"].sum()), size)
     ids, lengths, doc_ids = frame["ids"].to_numpy(), frame["n_tokens"].to_numpy(), frame["doc_id"].to_numpy()
     out, sequence, offset = [], 0, 0
-    for _, key, take in deficit_round_robin(queues, share, credit, size):
+    for _, key, take in deficit_round_robin(queues, share, credit, size, max(1, size // 16)):
         while take:
             row = rows[key][0]
             n = int(min(take, lengths[row] - starts[row], spans[sequence][1] - offset))
@@ -140,6 +124,31 @@ def _bin_count(docs: DataFrame, bin_chars: int) -> int:
     return max(1, -(-int(chars) // bin_chars))
 
 
+def _before(rows: DataFrame, keys: list[str], values: dict[str, str], per_group: int = 4096) -> DataFrame:
+    """The rows with sums of columns over the earlier bins of their keys.
+
+    Bins are summed in groups first, so no task holds more than a group of bins, or one row for each group.
+    """
+    grouped = rows.withColumn("group", F.floor(F.col("bin") / per_group))
+    totals = grouped.groupBy(*keys, "group").agg(*[F.sum(c).alias(f"total_{c}") for c in values])
+    over_groups = Window.partitionBy(*keys).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "group", *[F.coalesce(F.sum(f"total_{c}").over(over_groups), F.lit(0)).alias(f"before_{c}") for c in values])
+    inside = Window.partitionBy(*keys, "group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    found = grouped.join(totals, [*keys, "group"])
+    return found.select(*rows.columns, *[(F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for c, name in values.items()])
+
+
+def _shares(per_bin: DataFrame, target: dict | None) -> DataFrame:
+    """source_key, share: a row for each source."""
+    weight = F.sum("n").cast("double")
+    if target is not None:
+        wanted = F.create_map(*[F.lit(x) for k, v in target.items() for x in ("" if k is None else f"={k}", float(v))]) if target else F.create_map().cast("map<string,double>")
+        weight = F.coalesce(F.try_element_at(wanted, F.col("source_key")), F.lit(0.0))
+    by_source = per_bin.groupBy("source_key").agg(weight.alias("weight"))
+    total = by_source.agg(F.sum("weight").alias("total"))
+    return by_source.crossJoin(F.broadcast(total)).select("source_key", F.coalesce(F.try_divide("weight", "total"), F.lit(0.0)).alias("share"))  # by one row
+
+
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, target: dict | None = None, bin_chars: int = 4_000_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
@@ -154,22 +163,16 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, ta
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     bins = _bin_count(plain, bin_chars)
     width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
-    dealt = plain.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(bins)).cast("int"))
+    # equal rows differ by their place, which the written spool fixes
+    dealt = plain.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
     spool = written(dealt.mapInArrow(partial(_tokenise, path=vocabulary, end_id=end_id), "bin int, doc_id long, source string, n_tokens long, ids binary"), "packing-spool")
     spool = spool.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     per_bin = written(spool.groupBy("bin", "source_key").agg(F.sum("n_tokens").alias("n")), "packing-counts")
-    totals = {r["source_key"]: r["n"] for r in per_bin.groupBy("source_key").agg(F.sum("n").alias("n")).collect()}  # a row for each source
-    weight = totals if target is None else {k: float(target.get(k[1:] if k else None, 0.0)) for k in totals}
-    scale = sum(weight.values()) or 1
-    share = {k: v / scale for k, v in weight.items()}
 
     sizes = per_bin.groupBy("bin").agg(F.sum("n").alias("n_bin"))
-    sequences = (F.col("n_bin") / size).cast("long") + F.bit_count(F.col("n_bin") % size)
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
-    bases = sizes.select("bin", F.coalesce(F.sum(sequences).over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n_bin").over(before), F.lit(0)).alias("packed"))
-    shares = F.array(*[F.struct(F.lit(k).alias("source_key"), F.lit(float(v)).alias("share")) for k, v in share.items()] or [F.struct(F.lit("").alias("source_key"), F.lit(0.0).alias("share"))])
-    grid = bases.select("*", F.inline(shares)).join(per_bin, ["bin", "source_key"], "left")  # bins times sources
-    of_source = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(of_source), F.lit(0))
-    opening = grid.select("bin", "base", "source_key", (F.col("share") * F.col("packed") - held).alias("owed"))
-    return spool.groupBy("bin").cogroup(opening.groupBy("bin")).applyInPandas(lambda frame, opening: _fill(frame, opening, size, width, share), PIECES)
+    sizes = sizes.withColumn("sequences", (F.col("n_bin") / size).cast("long") + F.bit_count(F.col("n_bin") % size))
+    bases = _before(sizes, [], {"sequences": "base", "n_bin": "packed"}).select("bin", "base", "packed")
+    held = _before(per_bin, ["source_key"], {"n": "held"})
+    opening = held.join(bases, "bin").join(_shares(per_bin, target), "source_key")
+    opening = opening.select("bin", "base", "source_key", "share", (F.col("share") * F.col("packed") - F.col("held")).alias("owed"))
+    return spool.groupBy("bin").cogroup(opening.groupBy("bin")).applyInPandas(lambda frame, opening: _fill(frame, opening, size, width), PIECES)
