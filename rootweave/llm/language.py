@@ -14,8 +14,9 @@ below it, where that is less. Short or monotonous texts are so judged by others
 and neither one odd text nor a wrongly labelled minority moves a limit far.
 
 The fit is on a bounded sample: for each label about `per_language` rows, those of least hash of id
-and text, so that a hot label or source brings no more rows than any other. Twice that number for
-each label is the bound of what reaches the driver. Null text, or text without a letter, is `und` with score 0 and rejected.
+and text, so that a hot label or source brings no more rows than any other. Grams are counted where the
+rows are; what reaches the driver is counts of `2^bits` buckets at most for each text and each of its starts, of
+twice `per_language` rows for each label at most, whatever the length of texts. Null text, or text without a letter, is `und` with score 0 and rejected.
 Where no labelled text has a letter, `fit` raises; `fit_any` gives a model that predicts `und` with score
 0 and rejects only texts without letters, as there is nothing to judge others by.
 Rows with null labels are never learned. Ties between centroids go to the first label in order.
@@ -62,6 +63,21 @@ def counts(text: str, bits: int) -> np.ndarray:
     return total
 
 
+def sparse(text: str, bits: int) -> bytes:
+    """Term frequencies as bytes: buckets, then counts."""
+    total = counts(text, bits)
+    at = np.flatnonzero(total)
+    return at.astype("<u4").tobytes() + total[at].astype("<f4").tobytes()
+
+
+def dense(rows: list[bytes], bits: int) -> np.ndarray:
+    out = np.zeros((len(rows), 1 << bits), dtype=np.float32)
+    for i, row in enumerate(rows):
+        half = len(row) // 2
+        out[i, np.frombuffer(row[:half], dtype="<u4")] = np.frombuffer(row[half:], dtype="<f4")
+    return out
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -75,7 +91,11 @@ class CentroidModel:
     limits: np.ndarray  # for each centroid, by power of two of different grams
 
     def vectors(self, group: list[str]) -> np.ndarray:
-        found = np.stack([np.log1p(counts(t, self.bits)) for t in group]) * self.idf
+        return self.weighted(np.stack([counts(t, self.bits) for t in group]))
+
+    def weighted(self, frequencies: np.ndarray) -> np.ndarray:
+        """Unit vectors of sub-linear term frequency times inverse document frequency."""
+        found = np.log1p(frequencies) * self.idf
         norm = np.linalg.norm(found, axis=1, keepdims=True)
         return (found / np.where(norm == 0, 1, norm)).astype(np.float32)
 
@@ -125,16 +145,28 @@ def _starts(text: str) -> list[str]:
     return [t for t in [*starts, text] if has_letter(t)]
 
 
-def _limits(model: CentroidModel, folds: dict[str, list[str]]) -> np.ndarray:
-    """Limits for each label's centroids from texts that none was learned from."""
+def _sampled(batches, bits: int):
+    """lang, h, held and the frequencies of each text; of held texts also those of their starts, before them."""
+    for batch in batches:
+        for langs, hashes, group in batches_of_rows(batch, ["lang", "h", "text"], 256):
+            rows = []
+            for lang, h, text in zip(langs, hashes, group, strict=True):
+                if has_letter(text):
+                    held = crc32(text.encode()) % 4 == 3
+                    rows.append((lang, h, held, [sparse(t, bits) for t in (_starts(text) if held else [text])]))
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["lang", "h", "held", "frequencies"])
+
+
+def _limits(model: CentroidModel, folds: dict[str, list[bytes]]) -> np.ndarray:
+    """Limits for each label's centroids from texts, and starts of texts, that none was learned from."""
     of_label: dict[str, list[list[float]]] = {}
     pooled: list[list[float]] = [[] for _ in range(model.bits + 1)]
-    for label, texts in folds.items():
+    for label, starts in folds.items():
         own = of_label[label] = [[] for _ in pooled]
         centres = model.centroids[[x == label for x in model.labels]]
-        starts = [t for text in texts for t in _starts(text)]
         for at in range(0, len(starts), 256):
-            vectors = model.vectors(starts[at : at + 256])
+            vectors = model.weighted(dense(starts[at : at + 256], model.bits))
             for size, cosine in zip(model.sizes(vectors).tolist(), (vectors @ centres.T).max(axis=1).tolist(), strict=True):
                 own[size].append(cosine)
                 pooled[size].append(cosine)
@@ -174,26 +206,29 @@ def fit_any(docs: DataFrame, training: Column, per_language: int = 1500, centroi
     # a hash below the label's threshold: about `per_language` rows, found where they are
     thresholds = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_language / sizes[k]))])
     chance = (F.col("h").cast("double") / 2.0**64) + 0.5
-    chosen = rows.filter(chance <= thresholds[F.col("lang")]).limit(2 * per_language * len(labels)).collect()
-    chosen.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    sample = [(r["lang"], r["text"], crc32(r["text"].encode()) % 4 == 3) for r in chosen if has_letter(r["text"])]
-    learning = {label: [t for name, t, held in sample if name == label and not held] or [t for name, t, _ in sample if name == label] for label in labels}
+    chosen = rows.filter(chance <= thresholds[F.col("lang")]).mapInArrow(partial(_sampled, bits=bits), "lang string, h long, held boolean, frequencies array<binary>")
+    sample = chosen.limit(2 * per_language * len(labels)).collect()
+    sample.sort(key=lambda r: (r["lang"], r["h"], r["frequencies"]))
     if not sample:
         return model
+    learning: dict[str, list[bytes]] = {}
+    for label in labels:
+        own = [r for r in sample if r["lang"] == label]
+        learning[label] = [r["frequencies"][-1] for r in own if not r["held"]] or [r["frequencies"][-1] for r in own]
     seen = np.zeros(1 << bits)
     for own in learning.values():
-        for text in own:
-            seen += counts(text, bits) > 0
+        for row in own:
+            seen[np.frombuffer(row[: len(row) // 2], dtype="<u4")] += 1
     model.idf = np.log((1 + sum(map(len, learning.values()))) / (1 + seen)).astype(np.float32) + 1
     kept = []
     for label, own in learning.items():
         if not own:
             continue
-        centres = _clustered(model.vectors(own), centroids, rounds, seed)
+        centres = _clustered(model.weighted(dense(own, bits)), centroids, rounds, seed)
         kept.append(centres)
         model.labels += [label] * len(centres)
     model.centroids = np.vstack(kept)
-    model.limits = _limits(model, {label: [t for name, t, held in sample if name == label and held] for label in labels})
+    model.limits = _limits(model, {label: [x for r in sample if r["lang"] == label and r["held"] for x in r["frequencies"]] for label in labels})
     return model
 
 

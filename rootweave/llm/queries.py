@@ -77,7 +77,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
     model = language.fit_any(docs, ~held)
-    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
