@@ -8,8 +8,8 @@ proportion. A passage reaches as far from its hits as an alignment at the thresh
 out only where it has too few of the item's words for one, so all pairs at the threshold that share
 `n` adjacent words in their alignment are found. Copies that keep no `n` adjacent words are not.
 
-The test set is taken in blocks of at most `block_items` items: only a block's words and seeds,
-whose size that parameter bounds, are sent to tasks, and each block is one more pass. Documents
+The test set is taken in blocks of about `block_items` items and `block_bytes` bytes: only a block's
+words and seeds, whose size these parameters bound, are sent to tasks, and each block is one more pass. Documents
 are never shuffled. Null or empty texts and items match nothing; an item of fewer than `n` words is
 one gram, all its words, and so found whole. Repeated items and documents are each reported. Rows with null
 ids are reported with null ids. Texts are read whole.
@@ -35,8 +35,16 @@ MATCHES = "doc_id long, item_id long, score double, first_word long, last_word l
 _MARKS = string.punctuation + "“”‘’«»¿¡…–—"
 
 
+def _split(group: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, list[str]]:
+    """White-space tokens of all texts as codes, where each text starts, and the word of each code ("" for none)."""
+    split = pc.utf8_split_whitespace(pa.array(group, pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), split.offsets.to_numpy(), [w.lower().strip(_MARKS) for w in coded.dictionary.to_pylist()]
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(_MARKS) for x in text.lower().split()) if w]
+    codes, _, words = _split([text])
+    return [words[c] for c in codes.tolist() if words[c]]
 
 
 @dataclass
@@ -48,18 +56,16 @@ class Block:
     vocabulary: dict[str, int]
     n: int
     grams: np.ndarray  # sorted keys of all grams
-    holders: list[list[int]]  # items that hold each gram
+    first: np.ndarray  # where the items that hold each gram begin in `held`
+    held: np.ndarray
     widths: list[int]  # words of a gram: n, and fewer for shorter items
 
     def coded(self, group: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row (-1: not in the block), and where each text starts."""
-        split = pc.utf8_split_whitespace(pa.array(group, pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        known = self.vocabulary.get
-        number = np.array([known(w.lower().strip(_MARKS), -1) if w else -2 for w in coded.dictionary.to_pylist()] or [0], dtype=np.int64)
-        words, starts = number[coded.indices.to_numpy()], split.offsets.to_numpy()
-        kept = words > -2  # empty tokens at either end of a text
-        return words[kept], np.concatenate([[0], np.cumsum(kept)])[starts]
+        codes, starts, words = _split(group)
+        number = np.array([self.vocabulary.get(w, -1) if w else -2 for w in words] or [0], dtype=np.int64)[codes]
+        kept = number > -2  # empty tokens and bare marks are no words
+        return number[kept], np.concatenate([[0], np.cumsum(kept)])[starts]
 
     def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and gram indices of the block's grams, none across texts."""
@@ -97,17 +103,16 @@ def block_of(rows: list[tuple], n: int) -> Block:
             ids.append(item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64))
     size = len(vocabulary) + 1  # words count from 1, so that grams of different widths differ
-    if size**n >= 1 << 63:
-        raise ValueError("a block of test items has too many words; lower block_items")
-    held: dict[int, list[int]] = {}
-    for k, item in enumerate(items):
-        for key in dict.fromkeys(_keys(item, min(n, len(item)), size).tolist()):
-            held.setdefault(key, []).append(k)
-    grams = np.array(sorted(held), dtype=np.int64)
-    return Block(ids, items, vocabulary, n, grams, [held[g] for g in grams.tolist()], sorted({min(n, len(item)) for item in items}))
+    keys = [np.unique(_keys(item, min(n, len(item)), size)) for item in items]
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    item = np.repeat(np.arange(len(items)), [len(k) for k in keys])
+    order = np.lexsort((item, key))
+    grams, first = np.unique(key[order], return_index=True)
+    return Block(ids, items, vocabulary, n, grams, np.append(first, len(key)), item[order], sorted({min(n, len(item)) for item in items}))
 
 
 def _keys(item: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Keys of all grams; in very large blocks they wrap, and two grams of one key are told apart by alignment."""
     count = len(item) - n + 1
     key = np.zeros(count, dtype=np.int64)
     for j in range(n):
@@ -135,7 +140,7 @@ def _aligned(block: Block, words: np.ndarray, at: np.ndarray, gram: np.ndarray,
     """Best alignment for each item of one text, by item index."""
     places: dict[int, list[int]] = {}
     for position, g in zip(at.tolist(), gram.tolist(), strict=True):
-        for k in block.holders[g]:
+        for k in block.held[block.first[g] : block.first[g + 1]].tolist():
             places.setdefault(k, []).append(position)
     found: dict[int, tuple] = {}
     for k, hits in places.items():
@@ -203,11 +208,12 @@ def _clean(batches, block: Block, threshold: float):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 5000):
+def blocks(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_items: int = 20_000, block_bytes: int = 8_000_000):
     """Blocks of the test set; each costs a pass over the documents."""
     ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    parts = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // block_items), -(-size["bytes"] // block_bytes))
     for part in range(parts):
         rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         yield block_of(sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0], r[1])), n)
