@@ -1,13 +1,18 @@
 """Each operator on odd rows (nulls, empty and long texts, ties, repeats, clashing columns, empty tables), against
 brute force, exact round trips or held-out accuracy."""
 
+import functools
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from rootweave.llm import chat, decontam, fingerprints, language, line_runs, near_dups, packing, queries, run_index, token_counts, token_files
@@ -69,6 +74,48 @@ def test_winnowing_equals_a_plain_loop(spark, docs, rows, none):
     assert found == {d: texts[n] for d, n in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def _fingerprint(text, k=5, window=5):
+    """(hash, position) pairs by a plain loop over units, grams and windows."""
+    mixed = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed), (x for x in xs if x is not None), 42)
+    units = [xxhash.xxh64_intdigest(u.encode(), 42) for u in regex.findall(fingerprints.UNIT, text)]
+    at = lambda row, i: row[i] if i < len(row) else None
+    two = [mixed(units[i], at(units, i + 1)) for i in range(len(units))]
+    four = [mixed(two[i], at(two, i + 2)) for i in range(len(units))]
+    grams = [mixed(four[i], at(units, i + 4)) >> 32 for i in range(len(units))][: max(len(units) - k + 1, min(1, len(units)))]
+    chosen = {}
+    for i in range(max(len(grams) - window + 1, min(1, len(grams)))):
+        part = grams[i : i + window]
+        j = max(j for j, x in enumerate(part) if x == min(part))
+        chosen[i + j] = part[j]
+    return sorted((p, h) for p, h in chosen.items())
+
+
+def test_fingerprint_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    ids = [*{rng.randrange(-(1 << 62), 1 << 62) for _ in range(30)}, *range(40)]
+    rows = [(d, rng.choice([None, "", "x y", "  ", _text(rng, 3), _text(rng, rng.randrange(5, 120)), "same " * 30, "日本語 ß"])) for d in ids]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = _by_id(queries.op1_fingerprints(spark, str(tmp_path)))
+    ordered = sorted(((d, t or "") for d, t in rows), reverse=True)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sets = lambda f: {h for _, h in f}
+    for (d, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        r, third = got[d], len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, new, later = map(_fingerprint, (text, edited, after))
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == "".join(f"{h:08x}" for _, h in own) and r["edited_fingerprint"] == "".join(f"{h:08x}" for _, h in new)
+        assert r["positions"] == ",".join(str(p) for p, _ in own)
+        assert abs(r["near_edited"] - alike(sets(own), sets(new))) < 1e-12 and abs(r["near_next"] - alike(sets(own), sets(later))) < 1e-12
+
+
+def test_documents_without_ids_have_neighbours_too(spark, rows):
+    frame = spark.createDataFrame([(None if i % 3 else i, f"text {i % 7}") for i in range(60)], "doc_id long, text string").repartition(4)
+    found = fingerprints.with_next(frame, bits=2).collect()
+    assert len(found) == 60 and all(r["next_text"] is not None for r in found)
+    assert sorted(r["next_text"] for r in found) == sorted(r["text"] for r in found)  # one cycle through all
+
+
 def test_ties_take_the_rightmost(spark):
     df = spark.createDataFrame([(" ".join(["same"] * 12),)], "text string")
     f = df.select(fingerprints.positions(fingerprints.winnow(F.col("text"), 2, 4)).alias("p")).first()["p"]
@@ -93,11 +140,18 @@ def test_pieces_encode_as_whole_texts(name):
     texts = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(150)] + ["", " ", "  a b", "a  b ", "x <|endoftext|> y"]
     path = default_vocabulary(name)
     library = tokenizers.Tokenizer.from_file(path)
-    for text, ids in zip(texts, PieceEncoder(path, 20).encode(texts), strict=True):
-        assert np.frombuffer(ids, dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids
-
-
-@pytest.mark.parametrize("crowd", [1, 1000])
+    texts += [" ".join(rng.choice(["ab", "Ab.", "été,", "x<|endoftext|>y", "3", "a\nb", "--", "l'été"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    encoder, merger = PieceEncoder(path, 20), token_counts.HeapMerger(path, 20) if name.startswith("word") else None
+    for at in range(0, len(texts), 25):  # more pieces than the memo holds
+        part = texts[at : at + 25]
+        column, counts = encoder.encode(pa.array(part), 7)
+        expected = [library.encode(text, add_special_tokens=False).ids for text in part]
+        assert [np.frombuffer(ids, dtype="<u2").tolist() for ids in column.to_pylist()] == [[*ids, 7] for ids in expected]
+        assert counts.tolist() == [len(ids) + 1 for ids in expected]
+        assert merger is None or merger.count(pa.array(part)).tolist() == [len(ids) for ids in expected]
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 1000])
 def test_repeats_equal_brute_force(docs, rows, none, crowd):
     length = 60
     got = run_index.without_repeats(docs, length, 12, crowd, 3000).collect()
@@ -117,6 +171,28 @@ def test_repeats_equal_brute_force(docs, rows, none, crowd):
         assert run_index.without_repeats(none, length, 12).count() == 0
 
 
+def test_the_edges_of_a_common_passage(spark):
+    """Many documents hold a passage between texts of their own: its edges make crowded grams."""
+    rng = random.Random(19)
+    letters = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage = letters(90)
+    raws = [letters(rng.randrange(80)) + passage + letters(rng.randrange(80)) for _ in range(60)] + [letters(150) for _ in range(5)]
+    raws += [raws[0][: len(raws[0]) // 2] + letters(50), raws[3]]
+    length, seen = 60, {}
+    for k, raw in enumerate(raws):
+        for i in range(len(raw) - length + 1):
+            seen.setdefault(raw[i : i + length], []).append((k, i))
+    gone = [[False] * len(raw) for raw in raws]
+    for places in seen.values():
+        for k, i in places if len(places) > 1 else ():
+            gone[k][i : i + length] = [True] * length
+    expected = [(k, "".join(c for c, x in zip(raw, gone[k], strict=True) if not x)) for k, raw in enumerate(raws)]
+    docs = spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string").repartition(3)
+    for crowd in (2, 10):
+        got = run_index.without_repeats(docs, length, 12, crowd, 3000).collect()
+        assert sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in got) == expected
+
+
 def test_suffix_array_and_streamed_matches():
     rng = random.Random(4)
     strings = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 60))) for _ in range(12)})
@@ -165,6 +241,15 @@ def test_near_duplicates_equal_all_pairs(spark, docs, rows, none, monkeypatch, b
         assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_share_their_links(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{k}{rng.randrange(400)}" for _ in range(120)) for k in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (4, c), (5, c), (6, "lone words"), (None, a), (7, None)]
+    got = near_dups.near_duplicates(spark.createDataFrame([(*r, *[None] * 8) for r in rows], SCHEMA).repartition(3))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, None: None}
+    assert got.count() == len(rows)
+
+
 def test_chains_of_copies_need_the_second_round(spark):
     words = [f"w{i}" for i in range(100)]
     chain = []
@@ -181,31 +266,98 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(10), 0), **dict.fromkeys(range(100, 120), 100)}
 
 
+def test_hubs_are_joined_like_other_nodes(spark, monkeypatch):
+    from rootweave.llm import components as module
+
+    monkeypatch.setattr(module, "HUBS", 8)
+    rng = random.Random(3)
+    edges = [(500, j) for j in range(400)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)] + [(399, 600)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        parent[max(top(x), top(y))] = min(top(x), top(y))
+    looped = {x for x in parent if all(x not in e or e[0] == e[1] for e in edges)}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in parent if x not in looped}
+
+
+def _viterbi(model, observations):
+    """The best path of one sequence, by the recurrence."""
+    at, came = chat.opening(), []
+    for row in model.scores(np.array(observations, dtype=int).reshape(-1, 4)):
+        options = at[:, None] + model.move
+        came.append(options.argmax(axis=0))
+        at = options.max(axis=0)
+        at[: chat.STATES] += row
+    state, path = int(at.argmax()), []
+    for back in reversed(came):
+        path.append(state)
+        state = int(back[state])
+    return path[::-1]
+
+
+def _expected_turns(model, blocks):
+    """Turns of one conversation, [(turn, text)] in order, from the whole path."""
+    lines = [(turn, i, line, blanks) for turn, text in blocks for i, line, blanks in chat.observed(text)]
+    path = _viterbi(model, [chat.features(line, blanks > 0) for _, _, line, blanks in lines])
+    turns = []
+    for (turn, i, line, blanks), state in zip(lines, path, strict=True):
+        if state % 2 == 0:
+            turns.append([turn, i, chat.ROLES[state // 2], chat.without_marker(line), 1])
+        else:
+            turns[-1][3] += "\n" * (blanks + 1) + line
+            turns[-1][4] += 1
+    return [(t, i, role, text.lstrip("\n"), f"<|{role}|>\n" + text.lstrip("\n") + "\n<|end|>\n") for t, i, role, text, _ in turns]
+
+
 def test_roles_are_recovered(spark, none):
     if not os.path.isdir(SMALL):
         pytest.skip("no test tables")
     turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
-    blocks = chat.raw_blocks(turns)
+    blocks = chat.ordered(chat.raw_blocks(turns))
     held = language.held_out(F.col("conv_id"))
     model = chat.fit(blocks, ~held)
-    found = chat.parse_transcripts(blocks, model, span=3, fan=2).filter(~F.col("continued"))
-    truth = turns.select("conv_id", "turn", F.col("role").alias("true_role"))
-    both = truth.join(found.dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"], "left").filter(held)
-    right = both.agg(F.avg((F.coalesce("role", F.lit("")) == F.col("true_role")).cast("double"))).first()[0]
-    assert right > 0.9
-    long = blocks.groupBy("conv_id").count().orderBy(F.desc("count"), "conv_id").first()["conv_id"]
-    places, lines = [], []
-    for r in blocks.filter(F.col("conv_id") == long).orderBy("turn").collect():
-        for i, line, gap in chat.observed(r["text"]):
-            places.append((r["turn"], i))
-            lines.append((line, gap))
-    path = model.decode(lines, chat.opening())  # Viterbi over the whole conversation
-    starts = [(*place, chat.ROLES[state // 2]) for place, state in zip(places, path, strict=True) if state % 2 == 0]
-    got = found.filter(F.col("conv_id") == long).orderBy("turn", "line").collect()
-    assert [(r["turn"], r["line"], r["role"]) for r in got] == starts
-    odd = spark.createDataFrame([(None, 0, "user", None), (1, None, "user", "hi"), (1, 1, None, "hello")], "conv_id long, turn long, role string, text string")
-    assert chat.parse_transcripts(chat.raw_blocks(odd), model).count() >= 1
-    assert chat.parse_transcripts(blocks.limit(0), model).count() == 0
+    found = chat.parse_transcripts(blocks, model).collect()
+    truth = {(r["conv_id"], r["turn"]): r["role"] for r in turns.filter(held).collect()}
+    got = {}
+    for r in found:
+        got.setdefault((r["conv_id"], r["turn"]), r["role"])
+    assert np.mean([got.get(k) == role for k, role in truth.items()]) > 0.9
+    # every conversation as by Viterbi over the whole of it, whatever the segments
+    of_conv = {}
+    for r in blocks.orderBy("n").collect():
+        of_conv.setdefault(r["conv_id"], []).append((r["turn"], r["text"]))
+    expected = sorted((c, *t) for c, own in of_conv.items() for t in _expected_turns(model, own))
+    assert sorted((r["conv_id"], r["turn"], r["line"], r["role"], r["text"], r["rendered"]) for r in found) == expected
+    small = chat.parse_transcripts(blocks, model, span=2, fan=2, group_bytes=3000).collect()
+    assert sorted((r["conv_id"], r["turn"], r["line"], r["role"], r["text"], r["rendered"]) for r in small) == expected
+    by_query = queries.op5_chat_roles(spark, SMALL).collect()
+    assert sorted((r["conv_id"], r["turn"], r["line"], r["role"], r["rendered_sha256"]) for r in by_query) == sorted((c, t, i, role, hashlib.sha256(x.encode()).hexdigest()) for c, t, i, role, _, x in expected)
+
+
+def test_odd_transcripts(spark):
+    log = lambda rows: np.log(np.array(rows, dtype=float))
+    with np.errstate(divide="ignore"):
+        move = log([[0.2, 0.4, 0.2, 0, 0.2, 0, 0], [0.2, 0.4, 0.2, 0, 0.2, 0, 0], [0.2, 0, 0.2, 0.4, 0.2, 0, 0], [0.2, 0, 0.2, 0.4, 0.2, 0, 0], [0.2, 0, 0.2, 0, 0.2, 0.4, 0], [0.2, 0, 0.2, 0, 0.2, 0.4, 0], [1 / 3, 0, 1 / 3, 0, 1 / 3, 0, 0]])
+        marker = log([[0.1 if m == 0 else 0.8 if m == s // 2 + 1 and s % 2 == 0 else 0.02 for m in range(5)] if s % 2 == 0 else [0.9, 0.025, 0.025, 0.025, 0.025] for s in range(6)])
+    model = chat.TurnModel(move, [marker, *(np.zeros((6, n)) for n in chat.FEATURES[1:])])
+    rows = [(1, -5, "User: first para\n\nsecond para\n"), (1, -2, "Assistant:\n\nan answer\n\n\nits end"), (1, None, "System: before all"), (2, 0, ""), (2, 1, None), (3, 0, "User: a"), (3, 0, "User: a"), (3, 0, "User: b"), (None, 0, "User: alone"), (None, 0, "Assistant: alone too"), (4, 0, "User: x"), (4, 1, "more " * 3000 + "\n" + "line\n" * 2000), (4, 2, "\ntail of it"), (4, 3, "Assistant: y")]
+    frame = spark.createDataFrame([(*r, "x", 7) for r in rows], "conv_id long, turn long, text string, seg string, n_lines int").repartition(3)
+    results = []
+    for span, fan in ((1024, 256), (1, 2), (2, 2)):
+        found = chat.parse_transcripts(frame.select("conv_id", "turn", "text"), model, span, fan).collect()
+        results.append(sorted((str(r["conv_id"]), -99 if r["turn"] is None else r["turn"], r["line"], r["role"], r["text"]) for r in found))
+    assert results[0] == results[1] == results[2]
+    texts = {(c, t): text for c, t, _, _, text in results[0]}
+    assert texts["1", -5] == "first para\n\nsecond para" and texts["1", -2] == "an answer\n\n\nits end" and texts["1", -99] == "before all"
+    assert sorted(t for c, _, _, _, t in results[0] if c in ("3", "None")) == ["a", "a", "alone", "alone too", "b"]
+    assert texts["4", 0].startswith("x\nmore more") and texts["4", 0].endswith("line\n\ntail of it") and not any(c == "2" for c, *_ in results[0])
+    assert chat.parse_transcripts(frame.limit(0).select("conv_id", "turn", "text"), model).count() == 0
 
 
 def test_rank_codes_round_trip():
@@ -219,7 +371,8 @@ def test_rank_codes_round_trip():
 def test_token_files_round_trip(docs, rows, none):
     path = default_vocabulary("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    got = token_files.write_token_files(docs, path, 0).index().collect()
+    files = token_files.write_token_files(docs, path, 0)
+    got = files.index().collect()
     assert len(got) == len(rows)
     ids = {r[0]: np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4") for r in rows}
     ordered = sorted(got, key=lambda r: r["start"])
@@ -231,6 +384,25 @@ def test_token_files_round_trip(docs, rows, none):
     assert token_files.write_token_files(none, path).index().count() == 0
 
 
+def test_starts_are_places_in_the_files_for_repeated_ids(spark):
+    path = default_vocabulary("byte_bpe_50k.json")
+    rng = random.Random(8)
+    rows = [(d, _text(rng, rng.randrange(12)), *[None] * 8) for d in [3] * 40 + [1, 2, 4] + [None] * 5]
+    files = token_files.write_token_files(spark.createDataFrame(rows, SCHEMA).repartition(4), path, 0)
+    of_rank, stream = files.id_of(), []
+    stored = sorted(files.read().collect(), key=lambda r: (r["part"], r["start"]))
+    for r in stored:
+        stream.append(of_rank[token_files.unpack_ranks(r["control"], r["data"], r["n_tokens"])])
+    ids = [r["doc_id"] for r in stored]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    whole = np.concatenate(stream)
+    for r in files.index().collect():
+        assert zlib.crc32(whole[r["start"] : r["start"] + r["n_tokens"]].tobytes()) == r["ids_crc32"]
+    library = tokenizers.Tokenizer.from_file(path)
+    expected = sorted((str(r[0]), [*library.encode(r[1], add_special_tokens=False).ids, 0]) for r in rows)
+    assert sorted((str(d), x.tolist()) for d, x in zip(ids, stream, strict=True)) == expected
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_line_dedup_equals_brute_force(docs, rows, none, batches):
     blanks = " \t\n\x0b\f\r"
@@ -271,6 +443,41 @@ def test_language_by_centroids(spark, docs):
         language.fit(table, F.lit(False))
 
 
+def test_vectors_and_choice_equal_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))), lang) for lang, words in (("x", WORDS[:12]), ("y", WORDS[12:])) for i in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True), bits=10)
+    learned = [t for _, t, _ in rows if zlib.crc32(t.encode()) % 4 != 3]
+    bag = lambda t: {g: n for g, n in zip(*np.unique(language.grams(t, 10), return_counts=True), strict=True)}
+    holders = {}
+    for t in learned:
+        for g in bag(t):
+            holders[g] = holders.get(g, 0) + 1
+    idf = {g: np.log((1 + len(learned)) / (1 + holders.get(g, 0))) + 1 for g in range(1 << 10)}
+
+    def vector(t):
+        raw = {g: np.log1p(n) * idf[g] for g, n in bag(t).items()}
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        return {g: x / norm for g, x in raw.items()}
+
+    texts = [t for _, t, _ in rows[::7]] + ["alpha omega", "neither of them", "Zeta, ETA!"]
+    labels, scores, _ = model.predict(texts)
+    for t, label, score in zip(texts, labels, scores, strict=True):
+        cosines = [sum(x * c[g] for g, x in vector(t).items()) for c in model.centroids]
+        assert abs(score - min(1, max(cosines))) < 1e-4
+        assert label == model.labels[int(np.argmax(cosines))]
+    for label in ("x", "y"):  # a centroid is the unit sum of the texts nearest to it
+        own = [t for _, t, lang in rows if lang == label and t in learned]
+        centres = [c for c, name in zip(model.centroids, model.labels, strict=True) if name == label]
+        near = [int(np.argmax([sum(x * c[g] for g, x in vector(t).items()) for c in centres])) for t in own]
+        for j, c in enumerate(centres):
+            total = np.zeros(1 << 10)
+            for t, k in zip(own, near, strict=True):
+                for g, x in vector(t).items() if k == j else ():
+                    total[g] += x
+            assert float(total @ c / np.linalg.norm(total)) > 0.99
+
+
 @pytest.mark.parametrize("times", [1, 3])
 def test_wrongly_labelled_garbage_is_rejected_and_short_documents_stay(spark, times):
     import corpus_pipeline as cp
@@ -411,6 +618,35 @@ def test_windows_keep_the_mixture():
         assert sum(parts.values()) in (256, total % 256)
 
 
+def test_a_quantum_bounds_turns_and_deviation():
+    rng = random.Random(21)
+    queues = {k: packing.deque(rng.randrange(1, 900) for _ in range(rng.randrange(5, 60))) for k in range(20)}
+    total = {k: sum(q) for k, q in queues.items()}
+    share = {k: n / sum(total.values()) for k, n in total.items()}
+    turns = list(packing.deficit_round_robin(queues, share, dict.fromkeys(queues, 0.0), 1024, 64))
+    so_far, filled = dict.fromkeys(queues, 0), 0
+    for window in range(turns[-1][0] + 1):
+        own = [(k, n) for w, k, n in turns if w == window]
+        assert len(own) <= 1024 // 64 + len(queues) and (sum(n for _, n in own) == 1024 or window == turns[-1][0])
+        for k, n in own:
+            so_far[k] += n
+            filled += n
+        assert all(abs(so_far[k] - share[k] * filled) <= 2 * 64 for k in queues)
+    assert so_far == total
+
+
+def test_a_target_mixture_and_repeated_rows(spark):
+    path = default_vocabulary("word_bpe_49k.json")
+    rng = random.Random(30)
+    rows = [(d, _text(rng, 60), s) for d, s in enumerate(["a", "b", None] * 40)] + [(7, "same text again", "a")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(docs, path, 1, 128, target={"a": 1.0, None: 3.0}, bin_chars=3000).collect()
+    library = tokenizers.Tokenizer.from_file(path)
+    ids = [len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows]
+    assert sum(p["length"] for p in got) == sum(ids) and sum(p["start"] == 0 for p in got) == len(rows)
+    assert sorted({p["sequence_id"] for p in got}) == list(range(max(p["sequence_id"] for p in got) + 1))
+
+
 def test_pipeline_on_whole_tables(spark):
     if not os.path.isdir(SMALL):
         pytest.skip("no test tables")
