@@ -665,3 +665,139 @@ def test_pipeline_on_whole_tables(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
     shas = {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.filter("text <> ''").collect()}
     assert len(shas) == docs.filter("text <> ''").count()
+
+
+def _planted(rng):
+    """Clean documents in two languages with copies, edited copies, shared lines, benchmark passages, and odd rows."""
+    stems = {"en": "the of ing ton ware light sea wind".split(), "de": "sch ung lich kraft zeit bau werk tag".split()}
+    word = lambda lang: "".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4)))
+    prose = lambda lang, n: [word(lang) for _ in range(n)]
+    items = {k: " ".join(f"quiz{rng.randrange(90)}" if i % 2 else word("en") for i in range(25)) for k in range(3)}
+    texts = [(" ".join(prose(lang, rng.randrange(60, 200))), lang) for lang in stems for _ in range(120)]
+    footer = "All rights to this page are reserved by its owner"
+    texts += [(t + "\n" + footer, lang) for t, lang in texts[:5]]
+    texts[0] = (texts[0][0] + "\n" + footer, "en")
+    for t, lang in texts[10:20]:
+        words = t.split(" ")
+        texts += [(t, lang), (" ".join([*words[:30], "changed", *words[31:]]), lang)]
+    for k, item in items.items():
+        texts += [(" ".join(prose("en", 40)) + " " + item + " " + " ".join(prose("en", 40)), "en"), (item.replace("quiz", "Quiz", 3), "en")]
+    texts += [(None, "en"), ("", None), ("12 34 !", "en"), ("日本語の文章はここにありますから認識されません" * 4, "en")]
+    rows = [(i, t, lang, rng.choice(["web", "web", "book", None]), len(t or ""), "x") for i, (t, lang) in enumerate(texts)]
+    return rows, items
+
+
+def test_every_stage_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(41)
+    rows, items = _planted(rng)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, state = spark.read.parquet(f"{tmp_path}/documents.parquet"), {r[0]: r[1] for r in rows}
+    stages = dict(cp.STAGES)
+
+    def step(name):
+        nonlocal docs
+        docs = cp.written(stages[name](spark, docs, str(tmp_path)), f"test-{name}")
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    state = {d: t for d, t in state.items() if t and any(map(str.isalpha, t)) and "日" not in t}
+    assert step("language_id") == state
+
+    holders = {}
+    fold = lambda line: line.strip(" \t\n\x0b\f\r").lower()
+    for d, t in state.items():
+        for line in t.split("\n"):
+            holders.setdefault(fold(line), set()).add(d)
+    gone = lambda d, line: len(fold(line)) >= 20 and len(holders[fold(line)]) >= 3 and d != max(holders[fold(line)])
+    state = {d: "\n".join(x for x in t.split("\n") if not gone(d, x)) for d, t in state.items()}
+    assert step("line_dedup") == state
+    assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+
+    groups = _near_expected([(d, t) for d, t in state.items()], 5, 80)
+    before = len(state)
+    state = {d: t for d, t in state.items() if groups[d][1] == d}
+    assert step("near_dedup") == state and len(state) <= before - 20
+
+    found = _held({d: t for d, t in state.items()}, items)
+    assert len({d for d, _ in found}) == 6
+    state = {d: t for d, t in state.items() if d not in {d for d, _ in found}}
+    assert step("decontamination") == state
+
+    library = tokenizers.Tokenizer.from_file(default_vocabulary("word_bpe_49k.json"))
+    ids = {d: np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for d, t in state.items()}
+    pieces = cp.packing(spark, docs, str(tmp_path)).collect()
+    for p in pieces:
+        assert p["ids_crc32"] == zlib.crc32(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes())
+    for d, own in ids.items():
+        parts = sorted((p["start"], p["length"]) for p in pieces if p["doc_id"] == d)
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts]).tolist()[:-1]] and sum(n for _, n in parts) == len(own)
+    again = cp.run(spark, str(tmp_path))
+    assert sum(r["length"] for r in again.collect()) == sum(map(len, ids.values()))
+
+
+def test_an_empty_corpus_goes_through_all_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    spark.createDataFrame([(1, None, None, None, None), (None, "some words here", None, None, None)], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", ["op4_near_dups", "op7_line_dedup"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    expected = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in expected.description]
+    found = queries.queries()[name](spark, SMALL).select(*columns).collect()
+    assert sorted(map(tuple, found)) == sorted(expected.fetchall())
+
+
+def test_token_queries_equal_the_library(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    byte, word = (tokenizers.Tokenizer.from_file(default_vocabulary(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k"))
+    counts, files, at = _by_id(queries.op2_token_counts(spark, SMALL)), _by_id(queries.op6_token_files(spark, SMALL)), 0
+    pieces = {}
+    for p in queries.op10_packing(spark, SMALL).collect():
+        pieces.setdefault(p["doc_id"], []).append(p)
+    for r in rows:
+        text = r["text"] or ""
+        n = len(word.encode(text, add_special_tokens=False).ids)
+        assert (counts[r["doc_id"]]["n_tokens"], counts[r["doc_id"]]["over_limit"]) == (n, n > 2048)
+        ids = np.array([*byte.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        f = files[r["doc_id"]]
+        assert (f["start"], f["n_tokens"], f["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+        assert sum(p["length"] for p in pieces[r["doc_id"]]) == n + 1
+
+
+def test_repeats_query_equals_brute_force(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    raws = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    seen = {}
+    for d, raw in raws.items():
+        for i in range(len(raw) - 399):
+            seen.setdefault(hash(raw[i : i + 400]), []).append((d, i))
+    gone = {d: np.zeros(len(raw), dtype=bool) for d, raw in raws.items()}
+    for places in seen.values():
+        for d, i in places if len(places) > 1 else ():
+            gone[d][i : i + 400] = True
+    for r in queries.op3_repeats(spark, SMALL).collect():
+        g = gone[r["doc_id"]]
+        spans = int((np.diff(np.append(0, g.astype(int))) == 1).sum())
+        left = np.frombuffer(raws[r["doc_id"]], np.uint8)[~g].tobytes()
+        assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (int(g.sum()), spans, hashlib.sha256(left).hexdigest())
