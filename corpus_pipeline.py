@@ -1,7 +1,14 @@
 """Corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage takes all that the stage before it kept. A stage is written as Parquet in the shared folder and
-read again; all but the last return the columns of documents.
+read again; all but the last return the columns of documents, and of any further columns that they came with.
+
+Odd rows. A null or empty text has no letter, so language_id lets it go, and no later stage meets one but as
+what line_dedup has left of a document; such an empty rest stays, is near to nothing, holds no benchmark item and is
+packed as the end id alone. Rows of one doc_id count as one document in near_dedup: all stay or all go. Rows with a null
+doc_id are never near duplicates and go through the other stages like any row. Repeated rows are rows.
+An empty table, or one without labels, benchmark items or letters, gives empty or unchanged stages, never an
+error. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -54,7 +61,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Tokenisers and centroids are beyond SQL; tests compare the stages with brute force.
+#: Tokenisers and centroids are beyond SQL; tests compare each stage with brute force on a small fixture.
 ORACLE_SQL = None
 
 
