@@ -203,21 +203,38 @@ def _two_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def _sets_of(nodes: DataFrame, classes: DataFrame, plain: DataFrame, width: int, name: str) -> DataFrame:
-    """node, shingles: whole sets of some classes, made again from one document of each."""
-    heads = written(nodes.join(classes.select("node", "head", "digest"), "node"), "near-nodes")
-    wanted = heads.select(F.col("head").alias("doc_id"), "node")
-    chosen = plain.join(F.broadcast(wanted) if heads.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
-    sets = chosen.mapInArrow(partial(_set_rows, width=width), "node long, digest binary, shingles binary")
-    own = heads.select("node", "digest")  # a document that shares its id with the one meant has another set
-    return written(sets.join(own, ["node", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), name)
+def _sets_of(nodes: DataFrame, classes: DataFrame, repeated: DataFrame, plain: DataFrame, width: int, name: str) -> DataFrame:
+    """node, shingles: whole sets of some classes, made again from one document of each.
+
+    Only where a document's id is repeated are sets told apart by their digest and made one.
+    """
+    many = repeated.select(F.col("doc_id").alias("head"), F.lit(True).alias("many"))
+    heads = nodes.join(classes.select("node", "head", "digest"), "node").join(many, "head", "left")
+    heads = written(heads.withColumn("many", F.coalesce("many", F.lit(False))), "near-nodes")
+
+    def sets(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select(F.col("head").alias("doc_id"), "node")
+        rows = plain.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
+        return rows.mapInArrow(partial(_set_rows, width=width), "node long, digest binary, shingles binary")
+
+    found = sets(heads.filter("NOT many")).select("node", "shingles")
+    several = heads.filter("many")
+    if not several.isEmpty():
+        own = several.select("node", "digest")
+        found = found.unionByName(sets(several).join(own, ["node", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
+    return written(found, name)
+
+
+def _repeated(member: DataFrame) -> DataFrame:
+    """Ids of several rows, with the least of their classes and the greatest."""
+    rows = member.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).filter("n > 1")
 
 
-def _same_document(member: DataFrame) -> DataFrame:
+def _same_document(member: DataFrame, repeated: DataFrame) -> DataFrame:
     """Links between classes whose documents share an id."""
-    rows = member.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    ends = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    return ends.select("doc_id", "a").join(rows.select("doc_id", F.col("node").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
+    ends = repeated.filter("a < z").select("doc_id", "a")
+    return ends.join(member.select("doc_id", F.col("node").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -233,6 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: i
     heads = written(heads.dropDuplicates(["node"]), "near-heads")
     member = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     member = written(member.select("doc_id", "n_shingles", "node", "head"), "near-members")
+    repeated = written(_repeated(member), "near-repeated")
 
     entries = heads.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -242,15 +260,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, bands: i
     stars = entries.join(centre, "key").filter(F.col("node") != F.col("centre"))
     stars = stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     close = written(_two_sides(stars, heads, "signature").mapInArrow(partial(_close, least=least), "a long, b long").distinct(), "near-close")
-    sets = _sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, plain, width, "near-sets")
+    sets = _sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, repeated, plain, width, "near-sets")
     alike = _two_sides(close, sets, "shingles").mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct()
-    links = written(alike.unionByName(_same_document(member)), "near-links")
+    links = written(alike.unionByName(_same_document(member, repeated)), "near-links")
     roots = written(components(links), "near-roots")
 
     labelled = written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "n", "node", "root"), "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     open_rows = written(labelled.join(mixed, "key"), "near-open")
-    sets = _sets_of(open_rows.select("node").distinct(), classes, plain, width, "near-sets")
+    sets = _sets_of(open_rows.select("node").distinct(), classes, repeated, plain, width, "near-sets")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "key"), parts.cast("long")).cast("int")
     blocked = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "node")
