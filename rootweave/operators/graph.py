@@ -1,4 +1,4 @@
-"""Property graphs as node and edge tables; `ord` carries insertion order."""
+"""Property graphs as node and edge tables; `ord`, a number or a struct of path and place, carries insertion order."""
 
 from __future__ import annotations
 
@@ -58,6 +58,6 @@ def mapped_kind(kind: Column, pairs: dict[str, str]) -> Column:
 def merged(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """Union of tagged tables; insertion order is source order, then order inside the source."""
     def tag(name: str, df: DataFrame) -> DataFrame:
-        return df.withColumn("ord", F.struct(F.lit(SOURCES.index(name)).alias("source_rank"), F.col("ord").cast("long").alias("place"))).withColumn("origin", F.lit(name))
+        return df.withColumn("ord", F.struct(F.lit(SOURCES.index(name)).alias("source_rank"), F.col("ord").alias("place"))).withColumn("origin", F.lit(name))
 
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tag(n, df) for n, df in parts])

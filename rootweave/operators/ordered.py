@@ -50,17 +50,20 @@ class Runs:
         within = F.lag(column).over(self.inside())
         return self._joined(df, carried).withColumn(name, F.when(first, F.col("_carried")).otherwise(within)).drop("_carried")
 
-    def floored_sum(self, df: DataFrame, delta: Column, name: str) -> DataFrame:
+    def floored_sum(self, df: DataFrame, delta: Column, name: str, carried: dict[str, Column] | None = None) -> DataFrame:
         """Sum of `delta` over all rows before, clamped at zero after every row.
 
-        With prefix sums S, the clamped sum is S - min(0, least S so far).
+        With prefix sums S, the clamped sum is S - min(0, least S so far). `carried` names sums of whole runs
+        that ride along: {name: column summed over the run}.
         """
         work = df.withColumn("_d", delta.cast("long"))
         work = work.withColumn("_s", F.sum("_d").over(self.inside().rowsBetween(Window.unboundedPreceding, 0)))
-        totals = work.groupBy(self.run, self.bucket).agg(F.sum("_d").alias("_total"), F.min("_s").alias("_low"))
+        carried = carried or {}
+        totals = work.groupBy(self.run, self.bucket).agg(F.sum("_d").alias("_total"), F.min("_s").alias("_low"), *[F.sum(c).alias(k) for k, c in carried.items()])
+        totals = totals.withColumns({k: F.sum(k).over(Window.partitionBy(self.run)) for k in carried})
         totals = totals.withColumn("_base", F.coalesce(F.sum("_total").over(self.earlier_buckets()), F.lit(0)))
         totals = totals.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_base") + F.col("_low")).over(self.earlier_buckets()), F.lit(0))))
-        work = self._joined(work, totals.select(self.run, self.bucket, "_base", "_floor"))
+        work = self._joined(work, totals.select(self.run, self.bucket, "_base", "_floor", *carried))
         so_far = F.col("_base") + F.coalesce(F.sum("_d").over(self.before()), F.lit(0))
         least = F.least(F.col("_floor"), F.coalesce(F.col("_base") + F.min("_s").over(self.before()), F.lit(0)))
         return work.withColumn(name, (so_far - least).cast("long")).drop("_d", "_s", "_base", "_floor")

@@ -39,23 +39,24 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def resolve_longest_prefix(refs: DataFrame, index: DataFrame, ref: str = "ref", separator: str = "/") -> DataFrame:
-    """Add `target`: the longest prefix (whole segments) of each reference that `index`(path) holds; null if none."""
+    """Add `target`: the longest prefix (whole segments, joined by slashes) of each reference that `index`(path) holds; null if none."""
     parts = F.split(F.col(ref), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")))
     keyed = refs.withColumn("_row", F.col(ref))
     distinct = keyed.select("_row", parts.alias("_parts")).distinct()
     prefixes = distinct.select("_row", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("_n"), "_parts")
-    prefixes = prefixes.select("_row", "_n", F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), separator).alias("path"))
+    prefixes = prefixes.select("_row", "_n", F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), "/").alias("path"))
     best = prefixes.join(index.select("path").distinct(), "path").groupBy("_row").agg(F.max_by("path", "_n").alias("target"))
     return keyed.join(best, "_row", "left").drop("_row")
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """Add `target` path to imports(path, module): the longest dotted prefix that is a file, as such or with .py removed."""
+    """Add `target` path to imports(path, module): the file of that name, else that of the longest dotted prefix; .py may be left out."""
     index = modules.select(F.col("path").alias("target_path"), F.regexp_replace("path", r"\.py$", "").alias("path"))
     index = index.unionByName(modules.select(F.col("path").alias("target_path"), "path")).groupBy("path").agg(F.max("target_path").alias("target_path"))
-    slashed = imports.withColumn("ref", F.when(F.col("module").contains("/") | F.col("module").rlike(r"\.(h|hh|hpp|hxx)$"), F.col("module")).otherwise(F.replace("module", F.lit("."), F.lit("/"))))
-    found = resolve_longest_prefix(slashed, index).withColumnRenamed("target", "_key")
-    return found.join(index.withColumnRenamed("path", "_key"), "_key", "left").select(*imports.columns, F.col("target_path").alias("target"))
+    exact = index.select(F.col("path").alias("module"), F.col("target_path").alias("_exact"))
+    found = resolve_longest_prefix(imports, index, "module", ".").withColumnRenamed("target", "_key")
+    found = found.join(index.withColumnRenamed("path", "_key"), "_key", "left").join(exact, "module", "left")
+    return found.select(*imports.columns, F.coalesce("_exact", "target_path").alias("target"))
 
 
 def link_runtime(refs: DataFrame, functions: DataFrame) -> DataFrame:

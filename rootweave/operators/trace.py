@@ -6,7 +6,7 @@ filename, and what else the caller carries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.functions.text import exception_message, exception_type
@@ -21,16 +21,15 @@ def bucketed(events: DataFrame, span: int = 4096) -> DataFrame:
     return events.withColumn("bucket", F.floor(F.col("seq") / span))
 
 
-def stack_depths(events: DataFrame) -> DataFrame:
+def stack_depths(events: DataFrame, **carried) -> DataFrame:
     """stack_depth before each event takes effect: calls open a frame, returns close one, never below zero."""
     delta = F.when(F.col("type") == CALL, 1).when(F.col("type") == RETURN, -1).otherwise(0)
-    return RUNS.floored_sum(events, delta, "stack_depth")
+    return RUNS.floored_sum(events, delta, "stack_depth", carried)
 
 
 def replay_steps(events: DataFrame) -> DataFrame:
-    """Depth, position, total and the neighbours' indexes of every event."""
-    totals = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    steps = stack_depths(events).join(totals, "run_id")
+    """Depth, position, total and the neighbours' indexes of every event; the total comes with the row of its bucket."""
+    steps = stack_depths(events, total=F.lit(1))
     index = F.col("seq")
     return steps.select(
         *[c for c in steps.columns if c != "total"], index.alias("index"), (index + 1).alias("position"), "total",
@@ -90,3 +89,14 @@ def executes_after(calls: DataFrame, node: str = "node_id") -> DataFrame:
 def executed_order(calls: DataFrame, node: str = "node_id") -> DataFrame:
     """Nodes of each run by first occurrence."""
     return calls.groupBy("run_id", node).agg(F.min("seq").alias("first_seq"))
+
+
+def function_order(events: DataFrame) -> DataFrame:
+    """Functions of call events in order, repeats kept: a row for each, as a run may hold any number of calls."""
+    return RUNS.numbered(matching(events, CALL), "place").select("run_id", "place", "function")
+
+
+def without_leading(frames: Column, owner: str) -> Column:
+    """An array of frames without those at its start that lie in the file `owner`."""
+    other = F.array_position(F.transform(frames, lambda f: f["file"] != owner), F.lit(True))
+    return F.when(other > 0, F.slice(frames, other.cast("int"), F.greatest(F.size(frames), F.lit(1)))).otherwise(F.slice(frames, F.lit(1), F.lit(0)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 def reverse_depths(edges: DataFrame, start: DataFrame, kind: str | None = None, limit: int = 3) -> DataFrame:
     """node, depth of what reaches `start`(id) in at most `limit` steps, start excluded; an unrolled plan."""
     chosen = (edges if kind is None else edges.filter(F.col("kind") == kind)).select("source", "target").distinct()
+    chosen = kept(chosen, "edges") if limit > 1 else chosen  # read once for each step
     seen = start.select(F.col("id").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, limit + 1):
@@ -21,7 +24,7 @@ def reverse_depths(edges: DataFrame, start: DataFrame, kind: str | None = None,
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """A small table that several plans read: written in the cluster's checkpoint folder, else checkpointed eagerly."""
+    """A table that several plans read: written in the cluster's checkpoint folder, else (in local mode) checkpointed eagerly."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -29,21 +32,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     if context.getCheckpointDir() is None:
-        import tempfile
-
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Nodes that `start`(id) reaches, start included. Cycles end because seen nodes leave the frontier."""
-    chosen = edges.select("source", "target").distinct()
-    seen = kept(start.select(F.col("id").alias("node")).distinct(), "seen")
-    frontier = seen
-    for _ in range(rounds):
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes that `start`(id) reaches, start included. Cycles end because seen nodes leave the frontier.
+
+    The edges and each frontier are written once; what was seen is the union of the frontiers, itself
+    written again after every sixteen of them.
+    """
+    chosen = kept(edges.select("source", "target").distinct(), "edges")
+    frontier = kept(start.select(F.col("id").alias("node")).distinct(), "frontier")
+    seen = [frontier]
+    while True:
         step = chosen.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        frontier = kept(step.join(seen, "node", "left_anti"), "frontier")
+        frontier = kept(step.join(reduce(DataFrame.unionByName, seen), "node", "left_anti"), "frontier")
         if frontier.isEmpty():
-            return seen
-        seen = kept(seen.unionByName(frontier), "seen")
-    raise RuntimeError("reachability did not settle")
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(frontier)
+        if len(seen) > 16:
+            seen = [kept(reduce(DataFrame.unionByName, seen), "seen")]

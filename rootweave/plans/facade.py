@@ -1,17 +1,15 @@
 """Query entry points of the engine, one for each request that the service answers.
 
-A project is a folder; records live in tables that the caller keeps. Results are DataFrames; statuses follow
-queued -> running -> ready or failed.
+A project is a folder; records and results live in the tables of a `Registry`. Results are DataFrames; statuses
+follow queued -> running -> ready or failed.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.functions.text import language_rank
+from rootweave.functions.text import LANGUAGES, language_rank
 from rootweave.operators import graph as G
 from rootweave.operators import listing as L
 from rootweave.operators import trace as X
@@ -19,65 +17,17 @@ from rootweave.operators.traverse import kept
 from rootweave.plans import knowledge as K
 from rootweave.plans.explain import explain
 from rootweave.plans.localize import localize
+from rootweave.plans.records import Missing, NotReady, Registry
 from rootweave.sources import files as S
 from rootweave.sources import parsers as P
 
-RUNS = "kind string, id string, project_id string, status string, created_at timestamp, updated_at timestamp, error string, ord long"
 GRAPHS = {"dependency": K.dependency_graph, "call": K.call_graph, "cfg": K.control_flow, "dataflow": K.data_flow}
 
 
-class NotReady(ValueError):
-    """The record exists, but its result does not (yet)."""
-
-
-class Missing(KeyError):
-    """There is no such record, language or graph."""
-
-
 def health() -> dict:
     return {"status": "ok"}
 
 
-class Registry:
-    """Run records; each change is one appended row, the last of an id counts."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.rows = spark, []
-
-    def put(self, kind: str, id: str, project_id: str, status: str = "queued", error: str | None = None) -> None:
-        now = datetime.now(timezone.utc)
-        created = next((r[4] for r in self.rows if r[1] == id), now)
-        self.rows.append((kind, id, project_id, status, created, now, error, len(self.rows)))
-
-    def table(self) -> DataFrame:
-        history = self.spark.createDataFrame(self.rows, RUNS)
-        rest = [c for c in history.columns if c != "id"]
-        last = history.groupBy("id").agg(F.max_by(F.struct(*rest), "ord").alias("r"))
-        return last.select("id", *[F.col("r")[c].alias(c) for c in rest])
-
-    def listed(self, kind: str, limit: int = 1000) -> DataFrame:
-        return L.newest_first(self.table().filter(F.col("kind") == kind), limit)
-
-    def ready(self, id: str) -> None:
-        found = [r for r in self.rows if r[1] == id]
-        if not found:
-            raise Missing(id)
-        if found[-1][3] != "ready":
-            raise NotReady(f"{id} is {found[-1][3]}")
-
-    def run(self, kind: str, id: str, project_id: str, job):
-        """queued, running, then ready with the job's result or failed with its error."""
-        self.put(kind, id, project_id)
-        self.put(kind, id, project_id, "running")
-        try:
-            result = job()
-        except Exception as problem:
-            self.put(kind, id, project_id, "failed", str(problem))
-            raise
-        self.put(kind, id, project_id, "ready")
-        return result
-
-
 def project(spark: SparkSession, root: str, **options) -> DataFrame:
     return S.scan(spark, root, **options)
 
@@ -93,8 +43,24 @@ def analysis(files: DataFrame) -> DataFrame:
     return kept(P.modules(files), "modules")
 
 
+def project_archive(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The files table of an uploaded zip archive."""
+    return S.listed(S.zipped_files(spark, path), **options)
+
+
 def analysis_summary(modules: DataFrame) -> DataFrame:
-    return modules.agg(F.count_if(F.col("parse_error").isNull()).alias("parsed_file_count"), F.count_if(F.col("parse_error").isNotNull()).alias("failed_file_count"))
+    """One row: files parsed and failed, and how many nodes and edges each graph has."""
+    row = modules.agg(F.count_if(F.col("parse_error").isNull()).alias("parsed_file_count"), F.count_if(F.col("parse_error").isNotNull()).alias("failed_file_count"))
+    for kind, build in GRAPHS.items():
+        nodes, edges = build(modules.filter("parse_error IS NULL"))
+        row = row.withColumn(f"{kind}_node_count", nodes.agg(F.count(F.lit(1))).scalar()).withColumn(f"{kind}_edge_count", edges.agg(F.count(F.lit(1))).scalar())
+    return row
+
+
+def cache_counts(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row: files whose parse is known, and files that need one."""
+    hits, misses = S.unchanged(files, parsed)
+    return hits.agg(F.count(F.lit(1)).alias("hits")).withColumn("misses", misses.agg(F.count(F.lit(1))).scalar())
 
 
 def analysis_graph(modules: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -125,10 +91,25 @@ def test_summary(cases: DataFrame) -> DataFrame:
     return L.suites_summary(L.suite_counts(cases, ["language"]))
 
 
+def result_of(results: DataFrame, run_id: str, language: str) -> DataFrame:
+    """The result of a run in one language."""
+    if language not in LANGUAGES:
+        raise Missing(language)
+    found = results.filter((F.col("run_id") == run_id) & (F.col("language") == language))
+    if found.isEmpty():
+        raise Missing(f"{run_id} has no {language} result")
+    return found
+
+
+def executions(results: DataFrame) -> DataFrame:
+    """executed_count and succeeded of each run."""
+    return L.executions_summary(results, ["run_id"])
+
+
 def knowledge(project_id: str, modules: DataFrame | None, events: DataFrame | None = None) -> K.KnowledgeGraph:
     parsed = modules.filter("parse_error IS NULL") if modules is not None else None
     graph = K.build(project_id, parsed, events, K.errors_from_events(events) if events is not None else None)
-    return K.KnowledgeGraph(kept(graph.nodes.drop("ord"), "nodes").withColumn("ord", F.xxhash64("id")), kept(graph.edges.drop("ord"), "graph-edges"), graph.sources)
+    return K.KnowledgeGraph(kept(graph.nodes, "nodes"), kept(graph.edges, "graph-edges"), graph.sources)
 
 
 def knowledge_summary(graph: K.KnowledgeGraph) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Source trees as a files table: scan, ignore rules, language, size, lines, text; and driver-side staging."""
+"""Source trees and archives as a files table: scan, ignore rules, language, size, lines, text."""
 
 from __future__ import annotations
 
+import io
 import re
-import subprocess
 import zipfile
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +15,14 @@ from rootweave.functions.text import content_key, defines_main, detect_language,
 
 # What is never source code.
 IGNORED_SUFFIXES = (
-    ".exe .dll .so .dylib .a .lib .o .obj .class .jar .bin .dat .db .sqlite .sqlite3 .pyc .pyo .whl .zip .tar .gz .xz .bz2 .7z .rar"
-    " .pdf .png .jpg .jpeg .gif .svg .ico .bmp .tiff .webp .mp3 .mp4 .wav .ogg .woff .woff2 .ttf .eot"
-).split()
+    ".exe", ".dll", ".so", ".dylib", ".a", ".lib", ".o", ".obj", ".class", ".jar", ".bin", ".dat", ".db", ".sqlite", ".sqlite3", ".pyc", ".pyo",
+    ".whl", ".zip", ".tar", ".gz", ".xz", ".bz2", ".7z", ".rar", ".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".bmp", ".tiff", ".webp",
+    ".mp3", ".mp4", ".wav", ".ogg", ".woff", ".woff2", ".ttf", ".eot",
+)
 IGNORED_DIRECTORIES = (
-    ".git .hg .svn .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox node_modules bower_components dist build"
-    " .next .nuxt .output target out bin obj .idea .vscode .gradle"
-).split()
+    ".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "node_modules",
+    "bower_components", "dist", "build", ".next", ".nuxt", ".output", "target", "out", "bin", "obj", ".idea", ".vscode", ".gradle",
+)
 IGNORED_FILES = (".DS_Store", "Thumbs.db")
 
 
@@ -87,47 +87,50 @@ def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
 
 
 def scan(spark: SparkSession, root: str, max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
-    """The files table, in path order: path, language, size_bytes, lines, text."""
-    raw = raw_files(spark, root)
-    kept = raw.filter(~is_ignored(F.col("path"), ignore_patterns(spark, root)))
+    """The files table: path, language, size_bytes, text, lines. `root` is a folder; see `listed` for archives."""
+    return listed(raw_files(spark, root), ignore_patterns(spark, root), max_bytes)
+
+
+def listed(raw: DataFrame, patterns: list[str] = (), max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+    """The files table of raw(path, size_bytes, content), without what is ignored."""
+    kept = raw.filter(~is_ignored(F.col("path"), patterns))
     total = kept.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     if total > max_bytes:
         raise ValueError(f"the tree holds {total} bytes; the limit is {max_bytes}")
-    text = decoded("content")
-    files = kept.select("path", detect_language(F.col("path")).alias("language"), "size_bytes", text.alias("text"))
-    return files.withColumn("lines", line_count(F.col("text"))).orderBy("path")
-
-
-def single_root(folder: Path) -> Path:
-    """The only child folder, where there is nothing else."""
-    children = list(folder.iterdir())
-    return children[0] if len(children) == 1 and children[0].is_dir() else folder
-
-
-def stage_zip(filename: str, content: bytes, into: Path, max_bytes: int = 200 * 1024 * 1024) -> Path:
-    """Unpack an uploaded archive on the driver; archives that climb out of their folder are refused."""
-    if not filename.lower().endswith(".zip"):
-        raise ValueError("a .zip archive is expected")
-    if len(content) > max_bytes:
-        raise ValueError("the archive is too large")
-    into.mkdir(parents=True, exist_ok=True)
-    staged = into / "upload.zip"
-    staged.write_bytes(content)
-    if not zipfile.is_zipfile(staged):
-        raise ValueError("not a valid archive")
-    with zipfile.ZipFile(staged) as archive:
-        if any(".." in re.split(r"[\\/]", name) for name in archive.namelist()):
-            raise ValueError("the archive has a member outside its folder")
-        archive.extractall(into / "tree")
-    return single_root(into / "tree")
-
-
-def stage_clone(url: str, into: Path, timeout: float = 120) -> Path:
-    """A shallow clone on the driver."""
-    done = subprocess.run(["git", "clone", "--depth", "1", "--single-branch", url, str(into)], capture_output=True, text=True, timeout=timeout, check=False)
-    if done.returncode:
-        raise ValueError(f"clone failed: {done.stderr.strip()}")
-    return into
+    files = kept.select("path", detect_language(F.col("path")).alias("language"), "size_bytes", decoded("content").alias("text"))
+    return files.withColumn("lines", line_count(F.col("text")))
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """Paths in order; texts do not move."""
+    return files.drop("text", "content").orderBy("path")
+
+
+def zipped_files(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+    """archive, path, size_bytes and content of the members of zip archives; a single top folder is left out.
+
+    Archives are unpacked in tasks, member by member. One that is too large, is no archive, or has a member
+    outside its folder fails the read.
+    """
+
+    def members(frames):
+        for frame in frames:
+            for archive, size, content in zip(frame["path"], frame["length"], frame["content"], strict=True):
+                if size > max_bytes:
+                    raise ValueError(f"{archive} is too large")
+                with zipfile.ZipFile(io.BytesIO(content)) as opened:
+                    names = [n for n in opened.namelist() if not n.endswith("/")]
+                    if any(n.startswith("/") or ".." in re.split(r"[\\/]", n) for n in names):
+                        raise ValueError(f"{archive} has a member outside its folder")
+                    tops = {n.partition("/")[0] for n in names}
+                    shared = len(tops) == 1 and all("/" in n for n in names)
+                    for name in names:
+                        raw = opened.read(name)
+                        short = name.partition("/")[2] if shared else name
+                        yield pd.DataFrame({"archive": [archive], "path": [short], "size_bytes": [len(raw)], "content": [raw]})
+
+    found = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return found.mapInPandas(members, "archive string, path string, size_bytes long, content binary")
 
 
 def entry_points(files: DataFrame) -> DataFrame:

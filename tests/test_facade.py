@@ -1,9 +1,13 @@
 """From source files and a recorded crash to the report, and the live form of replay."""
 
 import json
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from rootweave.functions import text as T
+from rootweave.operators import trace as X
 from rootweave.plans import facade as A
 from rootweave.streaming.replay import DEPTHS, event_stream, live_depths
 
@@ -14,14 +18,17 @@ def test_crash_end_to_end(spark, tmp_path):
     files = A.project(spark, str(tmp_path))
     summary = A.project_summary(files).first()
     assert (summary["file_count"], summary["languages"]) == (2, ["Python"])
-    registry = A.Registry(spark)
+    registry = A.Registry(spark, str(tmp_path / "store"))
     modules = registry.run("analysis", "a1", "p", lambda: A.analysis(files))
-    assert A.analysis_summary(modules).first()["parsed_file_count"] == 2
+    counts = A.analysis_summary(modules).first()
+    assert counts["parsed_file_count"] == 2 and (counts["dependency_edge_count"], counts["call_edge_count"], counts["dataflow_node_count"]) == (1, 1, 4)
     with pytest.raises(ZeroDivisionError):
         registry.run("analysis", "a2", "p", lambda: 1 / 0)
     with pytest.raises(A.NotReady):
         registry.ready("a2")
     assert [r["id"] for r in registry.listed("analysis").collect()] == ["a2", "a1"]
+    with pytest.raises(A.Missing):
+        registry.ready("a3")
     nodes, edges = A.analysis_graph(modules, "call")
     assert ("main.py::main", "compute.py::compute") in {(r["source"], r["target"]) for r in edges.collect()}
     with pytest.raises(A.Missing):
@@ -29,6 +36,18 @@ def test_crash_end_to_end(spark, tmp_path):
     events = [("call", "main", "main.py", None), ("call", "compute", "compute.py", None), ("exception", "compute", "compute.py", "ZeroDivisionError: division by zero")]
     events = spark.createDataFrame([("r", "Python", i, t, f, p, {"x": "0"}, e) for i, (t, f, p, e) in enumerate(events)], "run_id string, language string, seq long, type string, function string, filename string, variables map<string,string>, exception string")
     graph = A.knowledge("p", modules, events)
+    summary = A.knowledge_summary(graph).first()
+    assert summary["node_count"] == graph.nodes.count() and summary["missing_sources"] == []
+    registry.run("graph", "g1", "p", lambda: {"nodes": graph.nodes, "edges": graph.edges}, write=True)
+    assert registry.last("graph", "p", "nodes").count() == summary["node_count"]
+    with pytest.raises(ZeroDivisionError):
+        registry.run("graph", "g2", "p", lambda: {"nodes": 1 / 0}, write=True)
+    with pytest.raises(A.NotReady):
+        registry.last("graph", "p", "nodes")
+    registry.run("graph", "g3", "p", lambda: {"nodes": graph.nodes.limit(1)}, write=True)
+    assert registry.last("graph", "p", "nodes").count() == 1
+    with pytest.raises(A.Missing):
+        registry.last("graph", "q", "nodes")
     stderr = 'Traceback (most recent call last):\n  File "main.py", line 4, in main\n  File "compute.py", line 2, in compute\nZeroDivisionError: division by zero\n'
     run = spark.createDataFrame([("Python", stderr, "ZeroDivisionError", "division by zero")], "language string, stderr string, exception_type string, exception_message string")
     ranked, result = A.localization(graph, run, events)
@@ -37,6 +56,41 @@ def test_crash_end_to_end(spark, tmp_path):
     assert report["error_summary"].startswith("ZeroDivisionError")
 
 
+def test_replay_requests(spark):
+    rows = [("r", i, t, f, "m.py", e) for i, (t, f, e) in enumerate([("call", "a", None), ("call", "b", None), ("exception", "b", "E: x"), ("return", "b", None), ("call", "b", None)])]
+    events = X.bucketed(spark.createDataFrame(rows, "run_id string, seq long, type string, function string, filename string, exception string"), 2)
+    summary = A.replay_summary(events).first()
+    assert (summary["max_depth"], summary["first_index"], summary["last_index"], summary["total"], summary["exception_type"]) == (2, 0, 4, 5, "E")
+    page = A.replay_steps(events, "call", None, 1, 5).orderBy("index").collect()
+    assert [(r["index"], r["stack_depth"], r["total_matched"]) for r in page] == [(1, 1, 3), (4, 1, 3)]
+    assert A.replay_step(events, 2).first()["previous_index"] == 1
+    for bad in (lambda: A.replay_steps(events, limit=1001), lambda: A.replay_step(events, -1)):
+        with pytest.raises(ValueError):
+            bad()
+    results = spark.createDataFrame([("r", "Python", "ready", None), ("r", "C", "ready", "E"), ("s", "C", "failed", None)], "run_id string, language string, status string, exception_type string")
+    assert A.result_of(results, "r", "C").first()["exception_type"] == "E"
+    for run, language in (("r", "Java"), ("s", "Python")):
+        with pytest.raises(A.Missing):
+            A.result_of(results, run, language)
+    assert {(r["run_id"], r["executed_count"], r["succeeded"]) for r in A.executions(results).collect()} == {("r", 2, True), ("s", 1, False)}
+    assert A.picked_run(results.withColumn("ord", F.monotonically_increasing_id())).first()["language"] == "C"
+    cases = spark.createDataFrame([("Python", "passed", 1.0, None), ("C", "passed", 1.0, "did not link")], "language string, outcome string, duration_seconds double, suite_error string")
+    assert not A.test_summary(cases).first()["succeeded"] and A.test_summary(cases.filter("language = 'Python'")).first()["succeeded"]
+
+
+def test_archives_are_read_in_tasks(spark, tmp_path):
+    for name, members in (("good", {"tree/a.py": "x = 1\n", "tree/sub/b.c": "int main;", "tree/.git/c.py": "y"}), ("bad", {"../a.py": "x"})):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+            for path, text in members.items():
+                archive.writestr(path, text)
+    files = A.project_archive(spark, str(tmp_path / "good.zip"))
+    assert {(r["path"], r["language"], r["lines"]) for r in files.collect()} == {("a.py", "Python", 1), ("sub/b.c", "C", 1)}
+    parsed = A.analysis(files).select("language", "path").join(files.select("path", T.content_key(F.col("text")).alias("content_key")), "path")
+    assert A.cache_counts(files, parsed.filter("path = 'a.py'")).first().asDict() == {"hits": 1, "misses": 1}
+    with pytest.raises(Exception, match="outside its folder"):
+        A.project_archive(spark, str(tmp_path / "bad.zip")).count()
+
+
 def test_live_depths_keep_state_between_batches(spark, tmp_path):
     rows = [("call", 0), ("call", 1), ("return", 2), ("return", 3), ("return", 4), ("call", 5)]
     source = tmp_path / "in"

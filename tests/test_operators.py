@@ -80,6 +80,10 @@ def test_imports_take_the_longest_prefix(spark):
     imports = spark.createDataFrame([("m.py", "pkg.sub.mod"), ("m.py", "pkg.sub.other"), ("m.py", "requests"), ("m.c", "mylib.h"), ("m.c", "stdio.h")], "path string, module string")
     got = {r["module"]: r["target"] for r in R.resolve_imports(imports, modules).collect()}
     assert got == {"pkg.sub.mod": "pkg/sub/mod.py", "pkg.sub.other": "pkg/sub.py", "requests": None, "mylib.h": "mylib.h", "stdio.h": None}
+    modules = spark.createDataFrame([("impl.c",), ("dir/part.h",), ("dir.py",), ("x/y.py",)], "path string")
+    imports = spark.createDataFrame([("m.c", "impl.c"), ("m.c", "dir/part.h"), ("m.c", "dir/none.h"), ("m.py", "x.y.z")], "path string, module string")
+    got = {r["module"]: r["target"] for r in R.resolve_imports(imports, modules).collect()}
+    assert got == {"impl.c": "impl.c", "dir/part.h": "dir/part.h", "dir/none.h": None, "x.y.z": "x/y.py"}
 
 
 def test_runtime_links_need_one_match(spark):
@@ -94,6 +98,21 @@ def test_traversals_end_on_cycles(spark):
     start = spark.createDataFrame([("a",)], "id string")
     assert {(r["node"], r["depth"]) for r in V.reverse_depths(edges, start).collect()} == {("c", 1), ("d", 1), ("b", 2), ("e", 2), ("f", 3)}
     assert {r["node"] for r in V.reachable(edges, start).collect()} == {"a", "b", "c"}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "source long, target long")
+    assert V.reachable(chain, spark.createDataFrame([(0,)], "id long")).count() == 21  # more rounds than tables are kept apart
+
+
+def test_order_of_functions_and_own_frames(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["call", "line"]), f"f{rng.randrange(3)}") for _ in range(60)]
+    got = X.function_order(_events(spark, rows, 8)).orderBy("place").collect()
+    assert [r["function"] for r in got] == [f for kind, f in rows if kind == "call"] and [r["place"] for r in got] == list(range(len(got)))
+    df = spark.createDataFrame([([("h", 1), ("h", 2), ("m", 3), ("h", 4)],), ([("h", 1)],), ([("m", 1)],), ([],)], "f array<struct<file:string,line:int>>")
+    assert [[x["line"] for x in r[0]] for r in df.select(X.without_leading(F.col("f"), "h")).collect()] == [[3, 4], [], [1], []]
+    scores = spark.createDataFrame([("r", n, round(rng.random(), 2)) for n in range(80)], "run_id string, node long, score double")
+    ranked = {r["node"]: r["rank"] for r in L.ranked(scores).collect()}
+    best = sorted(scores.collect(), key=lambda r: (-r["score"], r["node"]))
+    assert [ranked[r["node"]] for r in best] == list(range(1, 81))
 
 
 def test_graph_first_wins_and_fusion(spark):
@@ -111,4 +130,7 @@ def test_latest_ready_and_suites(spark):
     row = L.suite_counts(cases, ["suite"]).first()
     assert (row["passed"], row["failed"], row["skipped"], row["total"]) == (1, 1, 1, 3)
     assert not L.suites_summary(L.suite_counts(cases, ["suite"])).first()["succeeded"]
+    fine = cases.filter("outcome = 'passed'")
+    assert L.suites_summary(L.suite_counts(fine, ["suite"])).first()["succeeded"]
+    assert not L.suites_summary(L.suite_counts(fine.withColumn("suite_error", F.lit("no link")), ["suite"])).first()["succeeded"]
     assert not L.suites_summary(L.suite_counts(cases.limit(0), ["suite"])).first()["succeeded"]

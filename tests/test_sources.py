@@ -10,32 +10,32 @@ from rootweave.sources import files as S
 from rootweave.sources import parsers as P
 from rootweave.sources import recordings as D
 
-UTILS = "class HelperBase:\n    def helper(self):\n        return 1\n"
-MAIN = '''import utils
-from utils import HelperBase
-import requests
-
-LIMIT, (OTHER, _) = 1, (2, 3)
-
-class Greeter(HelperBase):
-    def greet(self, name):
-        message = "hi " + name
-        return message
-
-    def run(self):
-        self.greet("x")
-        while True:
-            if LIMIT:
-                break
+SHAPES = "class Shape:\n    def area(self):\n        return 0\n"
+DRAW = '''import shapes
+from shapes import Shape
+import numpy
+
+SCALE, (DEPTH, _) = 2, (3, 4)
+
+class Square(Shape):
+    def area(self, side):
+        size = side * SCALE
+        return size
+
+    def show(self):
+        self.area(3)
+        for step in range(DEPTH):
+            if step:
+                continue
         try:
             pass
-        except ValueError:
+        except OSError:
             return None
-        return len([])
+        return print(step)
 
-def main():
-    greeter = Greeter()
-    greeter.run()
+def start():
+    square = Square()
+    square.show()
 '''
 
 
@@ -57,38 +57,81 @@ def test_scan_ignores_and_counts(spark, tmp_path):
 
 
 def test_python_modules_and_merged_graph(spark):
-    files = _files(spark, {"utils.py": UTILS, "main.py": MAIN, "bad.py": "def ("})
+    files = _files(spark, {"shapes.py": SHAPES, "draw.py": DRAW, "bad.py": "def ("})
     modules = P.modules(files)
     assert modules.filter("parse_error IS NOT NULL").count() == 1
     modules = modules.filter("parse_error IS NULL")
-    row = modules.filter("path = 'main.py'").first()
-    assert [v["name"] for v in row["variables"]] == ["LIMIT", "OTHER", "_"]
-    assert row["functions"][0]["calls"] == ["Greeter", "greeter.run"] and row["classes"][0]["bases"] == ["HelperBase"]
-    events = [("call", "main"), ("call", "run"), ("call", "greet"), ("return", "greet"), ("exception", "greet")]
-    events = spark.createDataFrame([("r", "Python", i, t, f, "/w/main.py", "ValueError: no" if t == "exception" else None) for i, (t, f) in enumerate(events)], "run_id string, language string, seq long, type string, function string, filename string, exception string")
+    row = modules.filter("path = 'draw.py'").first()
+    assert [v["name"] for v in row["variables"]] == ["SCALE", "DEPTH", "_"]
+    assert row["functions"][0]["calls"] == ["Square", "square.show"] and row["classes"][0]["bases"] == ["Shape"]
+    events = [("call", "start"), ("call", "show"), ("call", "area"), ("return", "area"), ("exception", "area")]
+    events = spark.createDataFrame([("r", "Python", i, t, f, "/w/draw.py", "OSError: no" if t == "exception" else None) for i, (t, f) in enumerate(events)], "run_id string, language string, seq long, type string, function string, filename string, exception string")
     graph = K.build("p", modules, events, K.errors_from_events(events))
     edges = {(r["source"], r["target"], r["kind"]) for r in graph.edges.collect()}
     nodes = {r["id"]: r for r in graph.nodes.collect()}
     assert graph.missing_sources == []
-    assert ("main.py", "utils.py", "imports") in edges and ("main.py::Greeter", "utils.py::HelperBase", "inherits") in edges
-    assert ("main.py::Greeter.run", "main.py::Greeter.greet", "calls") in edges and ("main.py::main", "external::greeter.run", "calls") in edges
-    assert ("main.py::Greeter.greet", "main.py::Greeter.greet::message", "writes") in edges
-    assert ("main.py::main", "main.py::Greeter.run", "executes_after") in edges
-    assert ("main.py::Greeter.greet", "exception::Python::ValueError", "throws") in edges
-    assert nodes["main.py::Greeter.run"]["executed"] and nodes["main.py::Greeter.run"]["kind"] == "method"
-    assert nodes["project::p"]["kind"] == "project" and nodes["external::len"]["kind"] == "external"
+    assert ("draw.py", "shapes.py", "imports") in edges and ("draw.py::Square", "shapes.py::Shape", "inherits") in edges
+    assert ("draw.py::Square.show", "draw.py::Square.area", "calls") in edges and ("draw.py::start", "external::square.show", "calls") in edges
+    assert ("draw.py::Square.area", "draw.py::Square.area::size", "writes") in edges
+    assert ("draw.py::start", "draw.py::Square.show", "executes_after") in edges
+    assert ("draw.py::Square.area", "exception::Python::OSError", "throws") in edges
+    assert nodes["draw.py::Square.show"]["executed"] and nodes["draw.py::Square.show"]["kind"] == "method"
+    assert nodes["project::p"]["kind"] == "project" and nodes["external::print"]["kind"] == "external"
     with pytest.raises(ValueError):
         K.build("p", None)
 
 
-def test_control_flow_kinds():
-    kinds = lambda body: {f["kind"] for f in P.parse_python("def f(x):\n" + body, "m.py")["flows"]}
-    assert kinds("    y = 1\n    z = 2\n") == {"next", "fallthrough"}
-    assert {"branch", "true", "false", "join"} <= kinds("    if x:\n        y = 1\n    else:\n        y = 2\n")
-    assert {"loop", "true", "back-edge"} <= kinds("    while x:\n        y = 1\n")
-    assert {"loop", "body", "done", "back-edge"} <= kinds("    for i in x:\n        y = i\n")
-    assert {"exception", "join"} <= kinds("    try:\n        y = 1\n    except ValueError:\n        y = 2\n")
-    assert "return" in kinds("    return x\n")
+def _flows(text, unique=False):
+    parsed = P.parse_python(text, "m.py", unique)
+    short = lambda x: x.rpartition(":")[2]
+    return [(short(b["id"]), b["label"], b["stmt"]) for b in parsed["blocks"]], {(short(f["source"]), short(f["target"]), f["kind"]) for f in parsed["flows"]}
+
+
+def test_control_flow_edges():
+    blocks, edges = _flows("def f(x):\n    y = 1\n    return y\n")
+    assert blocks == [("start", "f()", None), ("block0", "assign", None), ("block1", "return", "return"), ("end", "end", None)]
+    assert edges == {("start", "block0", "next"), ("block0", "block1", "return"), ("block0", "end", "fallthrough")}
+    assert _flows("def f():\n    return 1\n")[1] == {("start", "block0", "return")}
+    loop = "def f(x):\n    for i in x:\n        g(i)\n    while x:\n        pass\n"
+    assert _flows(loop, True)[1] == {
+        ("start", "block0", "loop"), ("block0", "block1", "next"), ("block0", "block1", "body"), ("block0", "block0", "done"), ("block1", "block0", "back-edge"), ("block0", "block2", "join"),
+        ("block2", "block3", "loop"), ("block3", "block4", "next"), ("block3", "block4", "true"), ("block3", "block3", "false"), ("block4", "block3", "back-edge"), ("block3", "block5", "join"),
+        ("block1", "end", "fallthrough"), ("block2", "end", "fallthrough"), ("block4", "end", "fallthrough"), ("block5", "end", "fallthrough"),
+    }
+
+
+def test_block_numbers_start_again_in_every_body():
+    text = "def f(x):\n    if x:\n        y = 1\n    else:\n        z = 2\n    return y\n"
+    blocks, edges = _flows(text)
+    assert [b[0] for b in blocks] == ["start", "block0", "block0", "block0", "block1", "block2", "end"]
+    assert edges == {("start", "block0", "branch"), ("block0", "block0", "next"), ("block0", "block0", "true"), ("block0", "block0", "false"), ("block0", "block1", "join"), ("block1", "block2", "return"), ("block0", "end", "fallthrough"), ("block1", "end", "fallthrough")}
+    blocks, edges = _flows(text, True)
+    assert [b[0] for b in blocks] == ["start", "block0", "block1", "block2", "block3", "block4", "end"]
+    assert {("block1", "block3", "join"), ("block2", "block3", "join"), ("block0", "block1", "true"), ("block0", "block2", "false"), ("block3", "block4", "return")} <= edges
+
+
+def test_exception_flow():
+    text = "def f():\n    try:\n        a()\n    except (KeyError, OSError):\n        pass\n    except:\n        b()\n        c()\n    else:\n        d()\n"
+    blocks, edges = _flows(text, True)
+    assert [(b[0], b[1]) for b in blocks if b[2]] == [("block1", "join"), ("block2", "except (KeyError, OSError)"), ("block4", "except Exception")]
+    assert edges == {
+        ("start", "block0", "next"), ("block0", "block1", "join"), ("start", "block2", "exception"), ("block2", "block3", "next"), ("block3", "block1", "join"),
+        ("start", "block4", "exception"), ("block4", "block5", "next"), ("block5", "block6", "next"), ("block6", "block1", "join"), ("block1", "block7", "next"),
+    } | {(f"block{i}", "end", "fallthrough") for i in (0, 1, 3, 5, 6, 7)} | ({("block7", "block1", "next")} & edges | {("block7", "block1", "next")})
+
+
+def test_first_and_last_of_equal_names(spark):
+    texts = {
+        "a.py": "class Base:\n    pass\n\ndef twice():\n    pass\n\ndef twice():\n    one()\n\nname = 1\ndef name():\n    pass\n",
+        "b.py": "class Base:\n    pass\n\nclass Child(Base):\n    def twice(self):\n        pass\n",
+        "c.py": "class Other(Base):\n    pass\n",
+    }
+    graph = K.build("p", P.modules(_files(spark, texts)))
+    nodes = {r["id"]: r for r in graph.nodes.collect()}
+    inherits = {(r["source"], r["target"]) for r in graph.edges.filter("kind = 'inherits'").collect()}
+    assert inherits == {("b.py::Child", "b.py::Base"), ("c.py::Other", "b.py::Base")}  # the class read last
+    assert nodes["a.py::twice"]["line"] == 4 and nodes["a.py::name"]["kind"] == "function"
+    assert nodes["a.py::twice:start"]["file"] == "a.py" and nodes["a.py::twice:start"]["label"] == "twice()"
 
 
 def test_c_family():
@@ -107,7 +150,10 @@ def test_trace_json(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     rows = D.read_traces(spark, str(tmp_path), 3)
     assert [r["seq"] for r in rows.orderBy("seq").collect()] == [0, 2]
-    assert json.loads(D.trace_documents(rows).first()["document"])["events"][0]["function"] == "main"
+    document = json.loads(D.trace_documents(rows).first()["document"])
+    assert document["events"][0]["function"] == "main" and document["last_exception"] is None
+    failed = rows.withColumn("type", F.lit("exception")).withColumn("exception", F.concat(F.lit("OSError: at "), F.col("seq").cast("string")))
+    assert json.loads(D.trace_documents(failed).first()["document"])["last_exception"] == {"type": "OSError", "message": "at 2"}
 
 
 def test_junit(spark, tmp_path):
@@ -123,19 +169,3 @@ def test_unchanged_files_need_no_parse(spark):
     parsed = files.filter("path = 'a.py'").withColumn("content_key", content_key(F.col("text")))
     hits, misses = S.unchanged(files, parsed)
     assert [r["path"] for r in hits.collect()] == ["a.py"] and [r["path"] for r in misses.collect()] == ["b.py"]
-
-
-def test_staged_archives(tmp_path):
-    import io
-    import zipfile
-
-    def packed(name):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr(name, "x = 1")
-        return out.getvalue()
-
-    assert S.stage_zip("p.zip", packed("top/a.py"), tmp_path / "one").name == "top"
-    for name, content in (("p.tar", b""), ("p.zip", b"no"), ("p.zip", packed("../a.py"))):
-        with pytest.raises(ValueError):
-            S.stage_zip(name, content, tmp_path / "two")
