@@ -5,9 +5,6 @@ Each query applies one operator (or a few) to a view of whole tables; the SQL st
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions import text as T
@@ -17,11 +14,9 @@ from rootweave.operators import listing as L
 from rootweave.operators import resolve as R
 from rootweave.operators import trace as X
 from rootweave.operators import traverse as V
+from rootweave.plans import project_queries  # noqa: F401  (registers its queries)
 from rootweave.plans import views as S
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from rootweave.plans.register import QUERIES, SQL, Query, query
 
 #: Event types as evidence sources, with weights that sum to one.
 EVENT_WEIGHTS = {"error": "0.30", "purchase": "0.25", "signup": "0.20", "click": "0.15", "view": "0.10"}
@@ -41,23 +36,10 @@ _DEPTH = """
     s AS (SELECT *, sum(delta) OVER (PARTITION BY run_id ORDER BY seq) AS s FROM d),
     a AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY run_id ORDER BY seq)) AS after FROM s),
     steps AS (SELECT *, CAST(coalesce(lag(after) OVER (PARTITION BY run_id ORDER BY seq), 0) AS BIGINT) AS stack_depth FROM a)"""
-_CALLS = """
-    steps AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem),
-    edges AS (SELECT DISTINCT source, target FROM steps WHERE target IS NOT NULL AND source <> target)"""
-_START = "start AS (SELECT target AS id FROM edges GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+_CALLS, _START = project_queries.CALLS, project_queries.START
 _EVIDENCE = "ev AS (SELECT user_id AS node, event_type AS source, CAST(least(1.0, greatest(0.0, max(value) / 100)) AS DECIMAL(5,4)) AS score FROM events GROUP BY ALL)"
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query(f"WITH {_TRACE}, {_DEPTH} SELECT run_id, event_id, type, seq AS index, seq + 1 AS position, count(*) OVER (PARTITION BY run_id) AS total, stack_depth, lag(seq) OVER (PARTITION BY run_id ORDER BY seq) AS previous_index, lead(seq) OVER (PARTITION BY run_id ORDER BY seq) AS next_index FROM steps")
 def replay_steps(spark, sf_dir):
     """Stack depth and links of every event."""
@@ -91,6 +73,12 @@ def executed_order(spark, sf_dir):
     return X.executed_order(X.matching(S.trace(spark, sf_dir), "call"))
 
 
+@query(f"WITH {_TRACE} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS place, function FROM trace WHERE type = 'call'")
+def function_order(spark, sf_dir):
+    """Functions in order of their calls, repeats kept."""
+    return X.function_order(S.trace(spark, sf_dir))
+
+
 @query(f"WITH {_TRACE}, c AS (SELECT *, lag(node_id) OVER (PARTITION BY run_id ORDER BY seq) AS b FROM trace WHERE type = 'call') SELECT run_id, seq AS index, node_id FROM c WHERE node_id IS DISTINCT FROM b")
 def execution_sequence(spark, sf_dir):
     return X.execution_sequence(X.matching(S.trace(spark, sf_dir), "call")).select("run_id", F.col("seq").alias("index"), "node_id")
@@ -252,15 +240,6 @@ def missing_sources(spark, sf_dir):
     return E.missing_sources(night, known, ["node"])
 
 
-@query("SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey FROM lineitem WHERE l_discount > 0.08 UNION SELECT p_partkey FROM part WHERE p_size > 45")
-def candidate_union(spark, sf_dir):
-    items = S.table(spark, sf_dir, "lineitem")
-    returned = items.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("node"))
-    cheap = items.filter("l_discount > 0.08").select(F.col("l_partkey").alias("node"))
-    large = S.table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("node"))
-    return returned.union(cheap).union(large).distinct()
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F')
     SELECT o_custkey AS project_id, o_orderkey AS id, o_orderdate AS updated_at FROM r WHERE n = 1""")
 def latest_ready(spark, sf_dir):
@@ -278,19 +257,19 @@ def active_jobs(spark, sf_dir):
     return L.active(S.runs(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CASES = """c AS (SELECT lang AS language, n_chars / 1000 AS seconds,
+_CASES = """c AS (SELECT lang AS language, n_chars AS chars, CASE WHEN quality = 1 AND doc_id % 29 = 3 THEN 'no link for ' || lang END AS suite_error,
         CASE WHEN quality = 1 AND toxic = 0 THEN 'passed' WHEN quality = 1 AND toxic = 1 THEN 'skipped' WHEN toxic = 1 THEN 'error' ELSE 'failed' END AS outcome
     FROM labels JOIN documents USING (doc_id)),
     s AS (SELECT language, count(*) FILTER (WHERE outcome = 'passed') AS passed, count(*) FILTER (WHERE outcome IN ('failed', 'error')) AS failed,
-        count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) AS total FROM c GROUP BY language)"""
+        count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) AS total, CAST(sum(chars) AS DOUBLE) / 1000 AS duration_seconds, max(suite_error) AS error FROM c GROUP BY language)"""
 
 
 @query(f"WITH {_CASES} SELECT * FROM s")
 def suite_counts(spark, sf_dir):
-    return L.suite_counts(S.cases(spark, sf_dir), ["language"]).drop("duration_seconds")
+    return L.suite_counts(S.cases(spark, sf_dir), ["language"]).withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
 
 
-@query(f"WITH {_CASES} SELECT CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(total) AS BIGINT) AS total, count(*) > 0 AND bool_and(failed = 0) AS succeeded FROM s")
+@query(f"WITH {_CASES} SELECT CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(total) AS BIGINT) AS total, count(*) > 0 AND bool_and(failed = 0 AND error IS NULL) AS succeeded FROM s")
 def suite_summary(spark, sf_dir):
     return L.suites_summary(L.suite_counts(S.cases(spark, sf_dir), ["language"]))
 
@@ -302,14 +281,6 @@ def language_stats(spark, sf_dir):
     return L.file_statistics(S.files(spark, sf_dir), ["language"])
 
 
-@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-    SELECT page_id, href, count(*) AS n FROM l GROUP BY ALL""")
-def link_extract(spark, sf_dir):
-    pages = S.table(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    return links.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT sha256(text) AS content_key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL")
 def parse_cache_keys(spark, sf_dir):
     """Content keys: how many files share one parse."""
@@ -331,8 +302,8 @@ def identifier_parts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

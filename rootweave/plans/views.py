@@ -66,6 +66,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as test cases."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), (F.col("n_chars") / 1000).alias("duration_seconds"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), (F.col("n_chars").cast("decimal(18,3)") / 1000).cast("decimal(18,3)").alias("duration_seconds"))
     outcome = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "passed").when((F.col("quality") == 1) & (F.col("toxic") == 1), "skipped").when(F.col("toxic") == 1, "error").otherwise("failed")
-    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "language", outcome.alias("outcome"), "duration_seconds")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "doc_id", "language", outcome.alias("outcome"), "duration_seconds",
+        F.when((F.col("quality") == 1) & (F.col("doc_id") % 29 == 3), F.concat(F.lit("no link for "), "language")).alias("suite_error"),
+    )
