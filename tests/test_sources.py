@@ -137,11 +137,18 @@ def test_first_and_last_of_equal_names(spark):
 def test_c_family():
     c = P.parse_c_family('#include <stdio.h>\n#include "util.h"\nint count = 0;\nstruct Point { int x; };\nstatic int add(int a, int *b) {\n  // skip(1)\n  printf("x(");\n  return helper(a);\n}\n', "a.c")
     assert [i["module"] for i in c["imports"]] == ["stdio.h", "util.h"] and [v["name"] for v in c["variables"]] == ["count"]
-    assert [(f["name"], f["params"], f["calls"]) for f in c["functions"]] == [("add", ["a", "b"], ["printf", "helper"])]
+    assert [(f["name"], f["params"], f["calls"]) for f in c["functions"]] == [("add", ["a", "*b"], ["printf", "helper"])]
     assert [(k["name"], k["bases"], k["methods"]) for k in c["classes"]] == [("Point", [], [])]
     cpp = P.parse_c_family("class Dog : public Animal {\npublic:\n  void bark() { speak(); }\n  int age() const;\n};\nint main() { Dog d; d.bark(); return 0; }\n", "a.cpp")
     assert cpp["classes"][0]["bases"] == ["Animal"] and [m["name"] for m in cpp["classes"][0]["methods"]] == ["bark", "age"]
-    assert [(f["name"], f["calls"]) for f in cpp["functions"]] == [("main", ["d.bark"])]
+    assert [(f["name"], f["calls"]) for f in cpp["functions"]] == [("main", ["bark"])]
+
+
+def test_c_parameters_bases_and_calls():
+    found = P.parse_c_family("class Box : public Holder<int, char>, private Plain, std::Other {\n  void put(const char *name, int v[3], T &r, int d = 1);\n};\nint run(struct Box *b, void) {\n  b->put(0); a::b::go(); first().second();\n  return 0;\n}\n", "a.hpp")
+    assert found["classes"][0]["bases"] == ["Holder<int, char>", "Plain"]
+    assert [(m["name"], m["params"]) for m in found["classes"][0]["methods"]] == [("put", ["*name", "v[3]", "&r"])]
+    assert [(f["name"], f["params"], f["calls"]) for f in found["functions"]] == [("run", ["*b"], ["put", "go", "first", "second"])]
 
 
 def test_trace_json(spark, tmp_path):
