@@ -14,10 +14,12 @@ PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset, in local mode (tests), a new temporary one."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_rootweave_shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext._rootweave_shared = folder
     return folder.rstrip("/")

@@ -67,10 +67,10 @@ def shingle_sets(group: list[str], width: int = 2) -> list[np.ndarray]:
             if high - low >= width:
                 out.append(np.unique(rolled[low : high - width + 1]))
             elif high > low:  # fewer words than a shingle has: all of them as one
-                value = np.uint64(high - low)
-                for w in words[low:high]:
-                    value = _mixed(np.array([value * np.uint64(3) + w], dtype=np.uint64))[0]
-                out.append(np.array([value], dtype=np.uint64))
+                value = np.array([high - low], dtype=np.uint64)
+                for at in range(low, high):
+                    value = _mixed(value * np.uint64(3) + words[at : at + 1])
+                out.append(value)
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
     return out

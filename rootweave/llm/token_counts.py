@@ -32,7 +32,9 @@ class HeapMerger:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model = spec["model"]
+        model, steps = spec["model"], (spec["normalizer"] or {}).get("normalizers", [])
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": "\\s+"}:
+            raise ValueError("a vocabulary with other normalisation than NFC, single blanks and lower case")
         self.end = model["end_of_word_suffix"] or ""
         self.symbols: dict[str, int] = {}
         self.pairs: dict[int, tuple[int, int]] = {}

@@ -250,6 +250,26 @@ def test_rows_of_one_id_share_their_links(spark):
     assert got.count() == len(rows)
 
 
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Every pair of similarity 0.8 to 0.86 is linked: none of 240 is lost to the bands."""
+    rng = random.Random(77)
+    rows, alike = [], []
+    for i in range(240):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(60, 300))]
+        copy, pairs = list(words), lambda w: {tuple(w[j : j + 2]) for j in range(len(w) - 1)}
+        while True:
+            edited = list(copy)
+            edited[rng.randrange(len(edited))] = f"e{rng.randrange(100_000)}"
+            if 100 * len(pairs(edited) & pairs(words)) < 80 * len(pairs(edited) | pairs(words)):
+                break
+            copy = edited
+        similarity = len(pairs(copy) & pairs(words)) / len(pairs(copy) | pairs(words))
+        assert 0.8 <= similarity < 0.86
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = near_dups.near_duplicates(spark.createDataFrame([(*r, *[None] * 8) for r in rows], SCHEMA).repartition(4))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_chains_of_copies_need_the_second_round(spark):
     words = [f"w{i}" for i in range(100)]
     chain = []
