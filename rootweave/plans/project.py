@@ -72,6 +72,27 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "language", "parse_error", *[c.alias(n) for n, c in {**filled, **flat}.items()])
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language, text: the program written out, with imports in order of their names and entities in order of their part."""
+    items = entities(spark, sf_dir)
+    wide = modules(spark, sf_dir).select("path", F.explode("imports.module").alias("module"))
+    python, k, name = F.col("path").endswith(".py"), F.col("k"), F.col("name")
+    module = F.when(python, F.replace("module", F.lit("/"), F.lit("."))).otherwise(F.col("module"))
+    heads = wide.select("path", module.alias("module")).distinct()
+    heads = heads.groupBy("path").agg(F.array_sort(F.collect_list("module")).alias("ms"), F.first(python).alias("python"))
+    heads = heads.select("path", F.array_join(F.transform("ms", lambda m: F.when(F.col("python"), F.concat(F.lit("import "), m)).otherwise(F.concat(F.lit('#include "'), m, F.lit('"')))), "\n").alias("head"))
+    x, called = _text("x", k % 6), _text("fn", (k * 3) % 40)
+    call = F.when(k % 4 == 0, F.concat(F.lit("self."), called)).otherwise(called)
+    what = F.col("what")
+    in_python = F.when(what == "function", _text("def ", name, "(a, b):\n    ", x, " = a\n    if ", x, ":\n        ", call, "(b)\n    return ", x, "\n")).when(
+        what == "class", _text("class ", name, "(Cls", (k * 7) % 45, "):\n    def fn", k % 7, "(self):\n        return self.size\n")
+    ).otherwise(_text(name, " = ", F.col("line"), "\n"))
+    in_c = F.when(what == "function", _text("int ", name, "(int a, char *b) {\n    return ", called, "(a);\n}\n")).when(what == "class", _text("struct ", name, " {\n    int size;\n};\n")).otherwise(_text("int ", name, " = ", F.col("line"), ";\n"))
+    bodies = _listed(items, F.when(python, in_python).otherwise(in_c), "parts").join(heads, "path", "left")
+    text = F.concat(F.coalesce(F.concat("head", F.lit("\n")), F.lit("")), F.array_join("parts", "\n"))
+    return bodies.select("path", F.when(python, "Python").otherwise("C").alias("language"), text.alias("text"))
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(events, errors): every hundredth order as a run, its lines as calls, its costliest orders failing in their last call."""
     items = entities(spark, sf_dir)

@@ -16,6 +16,7 @@ from rootweave.plans import project as P
 from rootweave.plans import views as S
 from rootweave.plans.register import query
 from rootweave.sources import files as SF
+from rootweave.sources import recordings
 from rootweave.sources.recordings import traceback_frames as frames_of
 
 CALLS = r"""
@@ -79,6 +80,46 @@ RUNTIME = r"""
     after AS (SELECT DISTINCT b AS source, node AS target FROM stepped WHERE b IS NOT NULL AND b <> node)"""
 
 
+SOURCES = rf"""{ENTITIES}, {IMPORTS},
+    heads AS (SELECT path, module, row_number() OVER (PARTITION BY path ORDER BY module) AS line FROM (SELECT DISTINCT path, CASE WHEN ends_with(path, '.py') THEN replace(module, '/', '.') ELSE module END AS module FROM imp)),
+    sized AS (SELECT e.* EXCLUDE line, ends_with(e.path, '.py') AS python, CASE what WHEN 'function' THEN CASE WHEN python THEN 6 ELSE 4 END WHEN 'class' THEN 4 ELSE 2 END AS n,
+        coalesce((SELECT count(*) FROM heads WHERE heads.path = e.path), 0) AS before FROM e),
+    placed AS (SELECT *, CAST(before + sum(n) OVER (PARTITION BY path ORDER BY k) - n + 1 AS INTEGER) AS line, 'x' || (k % 6) AS x, CASE WHEN python AND k % 4 = 0 THEN 'self.' ELSE '' END || 'fn' || ((k * 3) % 40) AS call FROM sized)"""
+
+
+@query(f"""WITH {SOURCES}
+    SELECT path, 'import' AS what, module AS name, CAST(line AS INTEGER) AS line, '' AS detail FROM heads
+    UNION ALL SELECT path, 'function', name, line, CASE WHEN python THEN 'a,b' ELSE 'a,*b' END || ' ' || call FROM placed WHERE what = 'function'
+    UNION ALL SELECT path, 'class', name, line, CASE WHEN python THEN 'Cls' || ((k * 7) % 45) ELSE '' END FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'method', name || '.fn' || (k % 7), line + 1, 'self ' FROM placed WHERE what = 'class' AND python
+    UNION ALL SELECT path, 'variable', name, line, '' FROM placed WHERE what = 'variable'""")
+def parsed_symbols(spark, sf_dir):
+    """What the parsers find in the written program."""
+    found = facade.analysis(P.sources(spark, sf_dir))
+    functions = K.functions_of(found).select("path", F.when(F.col("owner").isNull(), "function").otherwise("method").alias("what"), F.col("qualname").alias("name"), "line", F.concat_ws(" ", F.array_join("params", ","), F.array_join("calls", ",")).alias("detail"))
+    classes = K.classes_of(found).select("path", F.lit("class").alias("what"), "name", "line", F.array_join("bases", ",").alias("detail"))
+    variables = K.variables_of(found).select("path", F.lit("variable").alias("what"), "name", "line", F.lit("").alias("detail"))
+    imports = found.select("path", F.inline("imports")).select("path", F.lit("import").alias("what"), F.col("module").alias("name"), "line", F.lit("").alias("detail"))
+    return functions.unionByName(classes).unionByName(variables).unionByName(imports)
+
+
+@query(f"""WITH {SOURCES}, f AS (SELECT path || '::' || name AS id FROM placed WHERE what = 'function' AND python), m AS (SELECT path || '::fn' || (k % 7) AS id FROM placed WHERE what = 'class' AND python),
+    v(s, t, kind) AS (VALUES ('start', 'block0', 'next'), ('block0', 'block1', 'branch'), ('block1', 'block0', 'next'), ('block1', 'block0', 'true'), ('block1', 'block1', 'false'), ('block0', 'block2', 'join'), ('block1', 'block2', 'join'),
+        ('block2', 'block3', 'return'), ('block0', 'end', 'fallthrough'), ('block2', 'end', 'fallthrough'))
+    SELECT id || ':' || s AS source, id || ':' || t AS target, kind FROM f, v UNION SELECT id || ':start', id || ':block0', 'return' FROM m""")
+def parsed_flows(spark, sf_dir):
+    """Control flow of every Python function of the written program; block numbers start again in nested bodies."""
+    return K.control_flow(facade.analysis(P.sources(spark, sf_dir)))[1].select("source", "target", "kind")
+
+
+@query(f"""WITH {SOURCES}, f AS (SELECT path || '::' || name AS fid, * FROM placed WHERE what = 'function' AND python), m AS (SELECT path || '::fn' || (k % 7) AS fid FROM placed WHERE what = 'class' AND python)
+    SELECT fid AS source, fid || '::' || unnest(['a', 'b']) AS target, 'parameter' AS kind FROM f UNION SELECT fid, fid || '::' || x, 'defines' FROM f UNION SELECT fid, fid || '::' || x, 'returns' FROM f
+    UNION SELECT fid, fid || '::' || unnest(['a', 'b', x, split_part(call, '.', 1)]), 'reads' FROM f UNION SELECT fid, fid || '::self', unnest(['parameter', 'reads']) FROM m""")
+def parsed_uses(spark, sf_dir):
+    """Parameters, definitions, reads and returned names of every Python function of the written program."""
+    return K.data_flow(facade.analysis(P.sources(spark, sf_dir)))[1].select("source", "target", "kind")
+
+
 def _graph(spark, sf_dir):
     events, errors = P.recorded(spark, sf_dir)
     return K.build("p", facade.kept(P.modules(spark, sf_dir), "modules"), events, errors)
@@ -379,3 +420,38 @@ def text_functions(spark, sf_dir):
         T.linear_score(col("page_id") % 9, "0.2", "0.2").cast("double").alias("linear"), T.step_score(col("page_id") % 5, Z.CALLER_SCORES).cast("double").alias("stepped"), T.artifact_name(col("source")).alias("artifact"),
         T.format_bytes(col("page_id")).alias("size"), T.truncated(col("url"), 20).alias("cut"), T.is_python_test(col("path")).alias("python_test"), T.is_compiled_test(col("path")).alias("compiled_test"),
     )
+
+
+@query(f"""WITH {SOURCES}
+    SELECT count(*) AS file_count, count(*) AS source_file_count, CAST(sum(bytes) AS BIGINT) AS total_size_bytes, 'Python,C' AS languages FROM (
+        SELECT path, sum(b) + sum(gap) AS bytes FROM (
+            SELECT path, length(module) + CASE WHEN ends_with(path, '.py') THEN 7 ELSE 11 END AS b, 1 AS gap FROM heads
+            UNION ALL SELECT path, CASE WHEN python AND what = 'function' THEN length(name) + 3 * length(x) + length(call) + 54 WHEN python AND what = 'class' THEN length(name || ((k * 7) % 45) || (k % 7)) + 56
+                WHEN python THEN length(name || e2.line) + 4 WHEN what = 'function' THEN length(name || 'fn' || ((k * 3) % 40)) + 41 WHEN what = 'class' THEN length(name) + 27 ELSE length(name || e2.line) + 9 END,
+                CASE WHEN k = max(k) OVER (PARTITION BY path) THEN 0 ELSE 1 END FROM placed JOIN (SELECT p_partkey AS k, p_size AS line FROM part) e2 USING (k))
+        GROUP BY path)""")
+def project_summary(spark, sf_dir):
+    """Files, bytes and languages of the written program."""
+    files = P.sources(spark, sf_dir).withColumn("size_bytes", F.octet_length("text").cast("long"))
+    return facade.project_summary(files).withColumn("languages", F.array_join("languages", ","))
+
+
+@query(f"""WITH {BASE}, {RUNTIME}
+    SELECT (SELECT count(*) FROM (SELECT id FROM base UNION SELECT node FROM lk UNION SELECT 'exception::' || language || '::Error' || (k % 3) FROM thrown)) AS node_count,
+        'ast,dependency,callgraph,cfg,dataflow,runtime' AS sources, '' AS missing_sources""")
+def knowledge_summary(spark, sf_dir):
+    found = facade.knowledge_summary(_graph(spark, sf_dir))
+    return found.select("node_count", F.array_join("sources", ",").alias("sources"), F.array_join("missing_sources", ",").alias("missing_sources"))
+
+
+@query(f"""WITH {ENTITIES},
+    ev AS (SELECT DISTINCT l_orderkey || CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS run_id, CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS language,
+        l_linenumber * 1048576 + k AS seq, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE l_orderkey % 100 = 0 AND what = 'function'),
+    la AS (SELECT run_id, max(seq) AS seq FROM ev GROUP BY run_id), x AS (SELECT ev.* FROM ev JOIN la USING (run_id, seq) WHERE k % 5 = 0),
+    j AS (SELECT run_id, seq, '{{"language":"' || language || '","type":"call","function":"' || function || '","filename":"' || filename || '"}}' AS t FROM ev
+        UNION ALL SELECT run_id, seq + 1, '{{"language":"' || language || '","type":"exception","function":"' || function || '","filename":"' || filename || '","exception":"Error' || (k % 3) || ': part ' || k || '"}}' FROM x)
+    SELECT j.run_id, '{{"events":[' || string_agg(t, ',' ORDER BY j.seq) || '],"last_exception":' || coalesce(max('{{"type":"Error' || (x.k % 3) || '","message":"part ' || x.k || '"}}'), 'null') || '}}' AS document
+    FROM j LEFT JOIN x USING (run_id) GROUP BY j.run_id""")
+def trace_documents(spark, sf_dir):
+    """Every recorded run as one JSON document."""
+    return recordings.trace_documents(P.recorded(spark, sf_dir)[0])
