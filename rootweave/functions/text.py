@@ -137,9 +137,36 @@ def artifact_name(source: Column) -> Column:
     return F.coalesce(_mapped(source, ARTIFACTS), F.initcap(F.replace(source, F.lit("_"), F.lit(" "))))
 
 
+_UNKNOWN = "—"
+
+
+def _measured(value: Column, text: Column) -> Column:
+    """The text of a number that is finite and not negative."""
+    return F.when(value.isNull() | F.isnan(value.cast("double")) | (value < 0) | (value.cast("double") == float("inf")), F.lit(_UNKNOWN)).otherwise(text)
+
+
 def format_bytes(size: Column) -> Column:
-    kb, mb = size / 1024, size / (1024 * 1024)
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(kb < 1024, F.format_string("%.1f KB", kb.cast("double"))).otherwise(F.format_string("%.1f MB", mb.cast("double")))
+    """In B, KB, MB or GB; one decimal below ten of a unit, none for bytes."""
+    text = F.format_string("%.0f B", size.cast("double"))
+    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+        value = size / float(1024**power)
+        text = F.when(value >= 1, F.when(value >= 10, F.format_string(f"%.0f {unit}", value)).otherwise(F.format_string(f"%.1f {unit}", value))).otherwise(text)
+    return _measured(size, text)
+
+
+def format_duration(seconds: Column) -> Column:
+    seconds = seconds.cast("double")
+    return _measured(seconds, F.when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).otherwise(F.format_string("%.2f s", seconds)))
+
+
+def format_score(value: Column) -> Column:
+    value = value.cast("double")
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(_UNKNOWN)).otherwise(F.format_string("%.3f", value))
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """At most `limit` characters, the last an ellipsis where some are left out."""
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
 
 
 def is_python_test(path: Column) -> Column:

@@ -394,14 +394,17 @@ def labelled_nodes(spark, sf_dir):
 
 @query(r"""WITH u AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN ' python ' WHEN 1 THEN 'C++' WHEN 2 THEN 'c' ELSE 'java' END AS lang, CASE page_id % 3 WHEN 0 THEN 'a.b.C.run' WHEN 1 THEN 'run' ELSE 'C.run' END AS q,
         CASE page_id % 3 WHEN 0 THEN ' ' || page_id || ' ' WHEN 1 THEN page_id || 'x' ELSE '' END AS num, CASE page_id % 3 WHEN 0 THEN '<dir/x.h>' WHEN 1 THEN '"y.h"' ELSE 'z.h' END AS inc,
-        CASE page_id % 5 WHEN 0 THEN 'tests_a.py' WHEN 1 THEN 'src/A_Test.py' WHEN 2 THEN 'pkg/tests/t.c' WHEN 3 THEN 'test_main.c' ELSE 'src/contest.py' END AS path FROM pages)
+        CASE page_id % 5 WHEN 0 THEN 'tests_a.py' WHEN 1 THEN 'src/A_Test.py' WHEN 2 THEN 'pkg/tests/t.c' WHEN 3 THEN 'test_main.c' ELSE 'src/contest.py' END AS path, CAST(page_id * page_id * page_id * 977 - 976 AS DOUBLE) AS b FROM pages)
     SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'C++' WHEN 2 THEN 'C' END AS language, CASE page_id % 3 WHEN 0 THEN 'a.b.C' WHEN 1 THEN '' ELSE 'C' END AS owner, split_part(q, '.', -1) AS simple,
         CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS INTEGER) END AS number, right(repeat(url, 12), 300) AS short, url = 'http://a' OR starts_with(url, 'http://a/') OR url = regexp_extract(url, '^https?://[^/]+') OR starts_with(url, regexp_extract(url, '^https?://[^/]+') || '/') AS inside,
         regexp_replace(split_part(path || '.ZIP', '/', -1), '(?i)\.zip$', '') AS archive, regexp_replace(split_part(regexp_replace(url || '/x.git//', '/+$', ''), '/', -1), '\.git$', '') AS repository,
         regexp_replace(regexp_replace(inc, '^[<"]', ''), '[>"]$', '') AS include, regexp_full_match(q, '[A-Za-z_]\w*') AS identifier, contains(html, 'int main') AS has_main,
         CAST(greatest(0.2, 1 - 0.2 * (page_id % 9)) AS DOUBLE) AS linear, CAST(CASE page_id % 5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.5 END AS DOUBLE) AS stepped,
         CASE page_id % 3 WHEN 0 THEN 'Call Graph' WHEN 1 THEN 'Stack Trace' ELSE 'Other Thing' END AS artifact,
-        CASE WHEN page_id < 1024 THEN page_id || ' B' WHEN page_id / 1024 < 1024 THEN printf('%.1f KB', page_id / 1024) ELSE printf('%.1f MB', page_id / 1048576) END AS size,
+        CASE WHEN b < 0 THEN '—' WHEN b < 1024 THEN printf('%.0f B', b) WHEN b < 10240 THEN printf('%.1f KB', b / 1024) WHEN b < 1048576 THEN printf('%.0f KB', b / 1024) WHEN b < 10485760 THEN printf('%.1f MB', b / 1048576)
+            WHEN b < 1073741824 THEN printf('%.0f MB', b / 1048576) WHEN b < 10737418240 THEN printf('%.1f GB', b / 1073741824) ELSE printf('%.0f GB', b / 1073741824) END AS size,
+        CASE WHEN page_id % 7 = 6 THEN '—' WHEN page_id % 7 + page_id / 1001 < 1 THEN printf('%.0f ms', page_id / 1001 * 1000) ELSE printf('%.2f s', page_id % 7 + page_id / 1001) END AS duration, printf('%.3f', page_id / 1001) AS score,
+        CASE WHEN length(url) > 18 THEN substr(url, 1, 17) || '…' ELSE url END AS brief,
         CASE WHEN length(url) > 20 THEN substr(url, 1, 20) || chr(10) || '... [truncated]' ELSE url END AS cut, page_id % 5 IN (0, 1, 3) AS python_test, page_id % 5 IN (2, 3) AS compiled_test FROM u JOIN pages USING (page_id, url)""")
 def text_functions(spark, sf_dir):
     """The scalar functions on names, paths and report text, over all pages."""
@@ -418,7 +421,8 @@ def text_functions(spark, sf_dir):
         T.short_path(F.repeat("url", 12)).alias("short"), T.within(col("url"), F.regexp_extract("url", "^https?://[^/]+", 0)).alias("inside"), T.archive_name(F.concat("path", F.lit(".ZIP"))).alias("archive"),
         T.repository_name(F.concat("url", F.lit("/x.git//"))).alias("repository"), T.include_name(col("inc")).alias("include"), T.is_identifier(col("q")).alias("identifier"), T.defines_main(col("html")).alias("has_main"),
         T.linear_score(col("page_id") % 9, "0.2", "0.2").cast("double").alias("linear"), T.step_score(col("page_id") % 5, Z.CALLER_SCORES).cast("double").alias("stepped"), T.artifact_name(col("source")).alias("artifact"),
-        T.format_bytes(col("page_id")).alias("size"), T.truncated(col("url"), 20).alias("cut"), T.is_python_test(col("path")).alias("python_test"), T.is_compiled_test(col("path")).alias("compiled_test"),
+        T.format_bytes(col("page_id") * col("page_id") * col("page_id") * 977 - 976).alias("size"),
+        T.format_duration(F.when(col("page_id") % 7 == 6, -1.0).otherwise(col("page_id") % 7 + col("page_id") / 1001.0)).alias("duration"), T.format_score(col("page_id") / 1001.0).alias("score"), T.shortened(col("url"), 18).alias("brief"), T.truncated(col("url"), 20).alias("cut"), T.is_python_test(col("path")).alias("python_test"), T.is_compiled_test(col("path")).alias("compiled_test"),
     )
 
 
