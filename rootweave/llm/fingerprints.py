@@ -116,7 +116,8 @@ def with_next(docs: DataFrame, k: int = 5, window: int = 5, bits: int = 8) -> Da
     dealt = texts(docs).withColumn("range", F.coalesce(F.shiftright("doc_id", bits), unknown))
     in_range = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
 
-    known = dealt.select("range").distinct().repartitionByRange(shuffle_partitions(spark), F.desc("range"))
+    with_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").select(F.shiftright("doc_id", bits).alias("range"))  # reads ids alone
+    known = with_ids.unionByName(dealt.filter("doc_id IS NULL").select("range")).distinct().repartitionByRange(shuffle_partitions(spark), F.desc("range"))
     known = written(known.select("range", F.spark_partition_id().alias("part")), "ranges")
     ends = known.groupBy("part").agg(F.min("range").alias("bottom"))
     over_parts = Window.orderBy("part")  # a row for each shuffle partition
