@@ -24,6 +24,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def _tokenise(batches, path: str, end_id: int):
     for batch in batches:
         for part in batch_slices(batch):
             ids, counts = encoder.encode(part.column("text"), end_id)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bin", "doc_id", "source")), pa.array(counts), ids], names=["bin", "doc_id", "source", "n_tokens", "ids"])
+            chars = pc.utf8_length(part.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "doc_id", "source")), chars, pa.array(counts), ids], names=["place", "doc_id", "source", "n_chars", "n_tokens", "ids"])
 
 
 def deficit_round_robin(queues: dict, share: dict, credit: dict, size: int, quantum: int = 1):
@@ -119,11 +121,6 @@ def _fill(frame: pd.DataFrame, opening: pd.DataFrame, size: int, width: int) ->
     )
 
 
-def _bin_count(docs: DataFrame, bin_chars: int) -> int:
-    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    return max(1, -(-int(chars) // bin_chars))
-
-
 def _before(rows: DataFrame, keys: list[str], values: dict[str, str], per_group: int = 4096) -> DataFrame:
     """The rows with sums of columns over the earlier bins of their keys.
 
@@ -161,11 +158,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, ta
     spark = docs.sparkSession
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    bins = _bin_count(plain, bin_chars)
     width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
-    # equal rows differ by their place, which the written spool fixes
-    dealt = plain.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
-    spool = written(dealt.mapInArrow(partial(_tokenise, path=vocabulary, end_id=end_id), "bin int, doc_id long, source string, n_tokens long, ids binary"), "packing-spool")
+    placed = plain.withColumn("place", F.monotonically_increasing_id())  # tells equal rows apart; the written spool fixes it
+    spool = written(placed.mapInArrow(partial(_tokenise, path=vocabulary, end_id=end_id), "place long, doc_id long, source string, n_chars long, n_tokens long, ids binary"), "packing-spool")
+    bins = max(1, -(-(spool.agg(F.sum(F.col("n_chars") + 1)).first()[0] or 0) // bin_chars))
+    spool = spool.withColumn("bin", F.pmod(F.xxhash64("doc_id", "place"), F.lit(bins)).cast("int")).drop("place", "n_chars")
     spool = spool.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     per_bin = written(spool.groupBy("bin", "source_key").agg(F.sum("n_tokens").alias("n")), "packing-counts")
 
