@@ -14,9 +14,10 @@ below it, where that is less. Short or monotonous texts are so judged by others
 and neither one odd text nor a wrongly labelled minority moves a limit far.
 
 The fit is on a bounded sample: for each label about `per_language` rows, those of least hash of id
-and text, so that a hot label or source brings no more rows than any other. Grams are counted where the
-rows are; what reaches the driver is counts of `2^bits` buckets at most for each text and each of its starts, of
-twice `per_language` rows for each label at most, whatever the length of texts. Null text, or text without a letter, is `und` with score 0 and rejected.
+and text, so that a hot label or source brings no more rows than any other. The sample is written once in the
+shared folder; grams are counted and held-out cosines computed where its rows are. What reaches the driver is
+counts of `2^bits` buckets at most for each text learned from, twice `per_language` for each label at most, and
+one cosine for each start of a held-out text, whatever the length of texts. Null text, or text without a letter, is `und` with score 0 and rejected.
 Where no labelled text has a letter, `fit` raises; `fit_any` gives a model that predicts `und` with score
 0 and rejects only texts without letters, as there is nothing to judge others by.
 Rows with null labels are never learned. Ties between centroids go to the first label in order.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import batches_of_rows, ship
+from rootweave.llm.common import batches_of_rows, ship, written
 
 UNKNOWN = "und"
 SHARE = 0.05
@@ -67,17 +68,20 @@ def sparse(text: str, bits: int) -> bytes:
     """Term frequencies as bytes: buckets, then counts."""
     total = counts(text, bits)
     at = np.flatnonzero(total)
-    return at.astype("<u4").tobytes() + total[at].astype("<f4").tobytes()
+    return at.astype("<u2").tobytes() + total[at].astype("<f4").tobytes()
 
 
 def dense(rows: list[bytes], bits: int) -> np.ndarray:
     out = np.zeros((len(rows), 1 << bits), dtype=np.float32)
     for i, row in enumerate(rows):
-        half = len(row) // 2
-        out[i, np.frombuffer(row[:half], dtype="<u4")] = np.frombuffer(row[half:], dtype="<f4")
+        out[i, buckets(row)] = np.frombuffer(row[len(row) // 3 :], dtype="<f4")
     return out
 
 
+def buckets(row: bytes) -> np.ndarray:
+    return np.frombuffer(row[: len(row) // 3], dtype="<u2")
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -95,9 +99,11 @@ class CentroidModel:
 
     def weighted(self, frequencies: np.ndarray) -> np.ndarray:
         """Unit vectors of sub-linear term frequency times inverse document frequency."""
-        found = np.log1p(frequencies) * self.idf
+        found = np.log1p(frequencies)
+        found *= self.idf
         norm = np.linalg.norm(found, axis=1, keepdims=True)
-        return (found / np.where(norm == 0, 1, norm)).astype(np.float32)
+        found /= np.where(norm == 0, 1, norm)
+        return found
 
     def sizes(self, vectors: np.ndarray) -> np.ndarray:
         """Power of two of the different grams of each text."""
@@ -145,39 +151,49 @@ def _starts(text: str) -> list[str]:
     return [t for t in [*starts, text] if has_letter(t)]
 
 
-def _sampled(batches, bits: int):
-    """lang, h, held and the frequencies of each text; of held texts also those of their starts, before them."""
+def _is_held(text: str) -> bool:
+    return crc32(text.encode()) % 4 == 3
+
+
+def _learned(batches, bits: int, held_too: bool):
+    """lang, h and the frequencies of the texts to learn from."""
     for batch in batches:
         for langs, hashes, group in batches_of_rows(batch, ["lang", "h", "text"], 256):
-            rows = []
-            for lang, h, text in zip(langs, hashes, group, strict=True):
-                if has_letter(text):
-                    held = crc32(text.encode()) % 4 == 3
-                    rows.append((lang, h, held, [sparse(t, bits) for t in (_starts(text) if held else [text])]))
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["lang", "h", "held", "frequencies"])
+            rows = [(lang, h, sparse(text, bits)) for lang, h, text in zip(langs, hashes, group, strict=True) if has_letter(text) and (held_too or not _is_held(text))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.binary()], strict=True)], names=["lang", "h", "frequencies"])
 
 
-def _limits(model: CentroidModel, folds: dict[str, list[bytes]]) -> np.ndarray:
-    """Limits for each label's centroids from texts, and starts of texts, that none was learned from."""
-    of_label: dict[str, list[list[float]]] = {}
+def _held_cosines(batches, model: CentroidModel):
+    """lang, size and greatest cosine with the language's own centroids, of each start of the held-out texts."""
+    for batch in batches:
+        for langs, group in batches_of_rows(batch, ["lang", "text"], 256):
+            rows = []
+            for lang, text in zip(langs, group, strict=True):
+                starts = _starts(text) if _is_held(text) and lang in model.labels else []
+                if starts:
+                    vectors = model.vectors(starts)
+                    cosine = (vectors @ model.centroids[[x == lang for x in model.labels]].T).max(axis=1)
+                    rows += [(lang, int(n), float(c)) for n, c in zip(model.sizes(vectors), cosine, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.float64()], strict=True)], names=["lang", "size", "cosine"])
+
+
+def _limits(model: CentroidModel, cosines: list[tuple[str, int, float]]) -> np.ndarray:
+    """Limits for each label's centroids from cosines of texts, and starts of texts, that none was learned from."""
     pooled: list[list[float]] = [[] for _ in range(model.bits + 1)]
-    for label, starts in folds.items():
-        own = of_label[label] = [[] for _ in pooled]
-        centres = model.centroids[[x == label for x in model.labels]]
-        for at in range(0, len(starts), 256):
-            vectors = model.weighted(dense(starts[at : at + 256], model.bits))
-            for size, cosine in zip(model.sizes(vectors).tolist(), (vectors @ centres.T).max(axis=1).tolist(), strict=True):
-                own[size].append(cosine)
-                pooled[size].append(cosine)
+    of_label: dict[str, list[list[float]]] = {label: [[] for _ in pooled] for label in model.labels}
+    for label, size, cosine in cosines:
+        of_label[label][size].append(cosine)
+        pooled[size].append(cosine)
     found = np.zeros((len(model.labels), len(pooled)))
     for j, label in enumerate(model.labels):
         for size, own in enumerate(of_label[label]):
-            cosines = next((x for x in (own, pooled[size]) if len(x) >= FEWEST), None)
-            if cosines is None:
+            enough = next((x for x in (own, pooled[size]) if len(x) >= FEWEST), None)
+            if enough is None:
                 found[j, size] = found[j, size - 1] if size else 0.0
                 continue
-            low, middle = np.quantile(cosines, [0.25, 0.5])
+            low, middle = np.quantile(enough, [0.25, 0.5])
             found[j, size] = max(0.0, min(LENIENCE * middle, middle - SPREAD * (middle - low)))
     return found
 
@@ -197,8 +213,9 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1500, centroids:
 def fit_any(docs: DataFrame, training: Column, per_language: int = 1500, centroids: int = 4, bits: int = 13, rounds: int = 8, seed: int = 7) -> CentroidModel:
     """As `fit`, with a model without centroids where there is nothing to learn from."""
     ship(docs.sparkSession)
-    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    labelled = docs.filter(training & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language; reads no text
+    rows = labelled.filter(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     labels = sorted(sizes)
     model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], np.zeros((0, bits + 1)))
     if not labels:
@@ -206,29 +223,35 @@ def fit_any(docs: DataFrame, training: Column, per_language: int = 1500, centroi
     # a hash below the label's threshold: about `per_language` rows, found where they are
     thresholds = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_language / sizes[k]))])
     chance = (F.col("h").cast("double") / 2.0**64) + 0.5
-    chosen = rows.filter(chance <= thresholds[F.col("lang")]).mapInArrow(partial(_sampled, bits=bits), "lang string, h long, held boolean, frequencies array<binary>")
-    sample = chosen.limit(2 * per_language * len(labels)).collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"], r["frequencies"]))
-    if not sample:
-        return model
+    sample = written(rows.filter(chance <= thresholds[F.col("lang")]), "language-sample")
+
+    def learned(chosen: DataFrame, held_too: bool) -> list:
+        found = chosen.mapInArrow(partial(_learned, bits=bits, held_too=held_too), "lang string, h long, frequencies binary")
+        return found.limit(2 * per_language * len(labels)).collect()
+
     learning: dict[str, list[bytes]] = {}
-    for label in labels:
-        own = [r for r in sample if r["lang"] == label]
-        learning[label] = [r["frequencies"][-1] for r in own if not r["held"]] or [r["frequencies"][-1] for r in own]
+    texts = learned(sample, False)
+    without = sorted(set(labels).difference(r["lang"] for r in texts))
+    if without:
+        texts += learned(sample.filter(F.col("lang").isin(without)), True)
+    for r in sorted(texts, key=lambda r: (r["lang"], r["h"], r["frequencies"])):
+        learning.setdefault(r["lang"], []).append(r["frequencies"])
+    del texts
+    if not learning:
+        return model
     seen = np.zeros(1 << bits)
     for own in learning.values():
         for row in own:
-            seen[np.frombuffer(row[: len(row) // 2], dtype="<u4")] += 1
+            seen[buckets(row)] += 1
     model.idf = np.log((1 + sum(map(len, learning.values()))) / (1 + seen)).astype(np.float32) + 1
     kept = []
     for label, own in learning.items():
-        if not own:
-            continue
         centres = _clustered(model.weighted(dense(own, bits)), centroids, rounds, seed)
         kept.append(centres)
         model.labels += [label] * len(centres)
     model.centroids = np.vstack(kept)
-    model.limits = _limits(model, {label: [x for r in sample if r["lang"] == label and r["held"] for x in r["frequencies"]] for label in labels})
+    cosines = sample.mapInArrow(partial(_held_cosines, model=model), "lang string, size int, cosine double").collect()  # a few for each held-out text
+    model.limits = _limits(model, sorted(map(tuple, cosines)))
     return model
 
 
