@@ -15,12 +15,12 @@ BLOCK_KINDS = {"if": "condition", "while": "loop", "for": "loop", "return": "ret
 DATAFLOW_EDGE_KINDS = {"defines": "writes"}
 
 
-def distinct_nodes(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The first inserted row of each id; partial before the shuffle."""
+def distinct_nodes(nodes: DataFrame, keys: list[str] | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """The first inserted row of each id, with `flags` true where any row of the id has them; partial before the shuffle."""
     keys = keys or ["id"]
     rest = [c for c in nodes.columns if c not in keys]
-    first = nodes.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("_first"))
-    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
+    first = nodes.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("_first"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"_{f}") for f in flags])
+    return first.select(*keys, *[(F.col(f"_{c}") if c in flags else F.col("_first")[c]).alias(c) for c in rest])
 
 
 def distinct_edges(edges: DataFrame, extra: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from rootweave.functions.text import exception_message, exception_type
 from rootweave.operators import graph as G
 from rootweave.operators import resolve as R
 from rootweave.operators import trace as X
+from rootweave.operators.traverse import kept
 
 _NODE = {"id": "string", "kind": "string", "label": "string", "file": "string", "line": "int", "stmt": "string", "executed": "boolean", "runtime": "boolean", "message": "string"}
 
@@ -193,13 +194,15 @@ def build(project: str, modules: DataFrame | None, events: DataFrame | None = No
             kinds = F.when(F.col("stmt") == stmt, F.lit(kind)).otherwise(kinds)
         add("cfg", (blocks.withColumn("kind", kinds), flows.withColumn("kind", F.lit("flows_to"))))
         add("dataflow", _reconciled(*data_flow(modules), modules))
-    if events is not None:
-        base = G.distinct_nodes(G.merged(nodes)) if nodes else _nodes(events.limit(0), id="function")
-        add("runtime", runtime_rows(base, events, errors))
-    all_nodes = G.merged(nodes)
-    ran = all_nodes.groupBy("id").agg(F.bool_or("executed").alias("_ran"))
-    final = G.distinct_nodes(all_nodes).join(ran, "id").withColumn("executed", F.coalesce("_ran", F.lit(False))).drop("_ran")
-    return KnowledgeGraph(final, G.distinct_edges(G.merged(edges)), [name for name, _ in nodes])
+    static = kept(G.merged(nodes), "static-nodes") if nodes else None  # read by the links of the run and by the result
+    if events is None:
+        return KnowledgeGraph(G.distinct_nodes(static, flags=("executed",)), G.distinct_edges(G.merged(edges)), [name for name, _ in nodes])
+    base = G.distinct_nodes(static) if static is not None else _nodes(events.limit(0), id="function")
+    run_nodes, run_edges = runtime_rows(base, events, errors)
+    edges.append(("runtime", run_edges))
+    ran = G.merged([("runtime", run_nodes)])
+    whole = static.unionByName(ran) if static is not None else ran
+    return KnowledgeGraph(G.distinct_nodes(whole, flags=("executed",)), G.distinct_edges(G.merged(edges)), [name for name, _ in edges])
 
 
 def errors_from_events(events: DataFrame) -> DataFrame:
