@@ -142,8 +142,8 @@ def _shares(per_bin: DataFrame, target: dict | None) -> DataFrame:
         wanted = F.create_map(*[F.lit(x) for k, v in target.items() for x in ("" if k is None else f"={k}", float(v))]) if target else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(wanted, F.col("source_key")), F.lit(0.0))
     by_source = per_bin.groupBy("source_key").agg(weight.alias("weight"))
-    total = by_source.agg(F.sum("weight").alias("total"))
-    return by_source.crossJoin(F.broadcast(total)).select("source_key", F.coalesce(F.try_divide("weight", "total"), F.lit(0.0)).alias("share"))  # by one row
+    total = by_source.agg(F.sum("weight")).scalar()
+    return by_source.select("source_key", F.coalesce(F.try_divide(F.col("weight"), total), F.lit(0.0)).alias("share"))
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, target: dict | None = None, bin_chars: int = 4_000_000) -> DataFrame:
