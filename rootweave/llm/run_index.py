@@ -119,7 +119,7 @@ def _places(batches, length: int, seed: int):
                 row_hash = xxh3_64_intdigest(raw) - (1 << 63)
                 for offset in range(0, len(raw) - length + 1, SLICE):
                     part = raw[offset : offset + SLICE + length - 1]
-                    if held + len(part) > 2 * SLICE and raws:
+                    if held + len(part) > SLICE and raws:
                         yield emit(pending, raws)
                         pending, raws, held = [], [], 0
                     pending.append((doc_id, row_hash, offset))
@@ -319,7 +319,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_PLACES else df
 
 
-def without_repeats(docs: DataFrame, length: int = 400, seed: int = 40, crowd: int = 1000, block_bytes: int = 2_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, seed: int = 40, crowd: int = 1000, block_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every document."""
     spark = docs.sparkSession
     plain = texts(docs)
