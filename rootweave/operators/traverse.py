@@ -24,18 +24,16 @@ def reverse_depths(edges: DataFrame, start: DataFrame, kind: str | None = None,
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """A table that several plans read: written in the cluster's checkpoint folder, else (in local mode) checkpointed eagerly."""
+    """A table that several plans read: written in the cluster's checkpoint folder (in local mode, where that is unset, in a temporary one)."""
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        path = f"{folder.rstrip('/')}/rootweave-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-    if context.getCheckpointDir() is None:
+    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_rootweave_kept", None)
+    if not folder:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+        folder = context._rootweave_kept = "file://" + tempfile.mkdtemp(prefix="spark-kept-")
+    path = f"{folder.rstrip('/')}/rootweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
