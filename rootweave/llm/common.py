@@ -80,6 +80,20 @@ def joined_by_key(rows: DataFrame, keyed: DataFrame, key: str, weight: str, tota
     return busy.unionByName(rest.join(keyed.filter(~hot), key).select(*rows.columns, *values))
 
 
+def met_by_key(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, hubs: int = 2000) -> DataFrame:
+    """joined_by_key in one pass of the rows; `keyed` should be a written table, as it is read twice.
+
+    Rows that have met a hot key go on to tasks of their own, by salts that no other key has.
+    """
+    hot = F.col(weight) > total // hubs + 1
+    values = F.struct(*[c for c in keyed.columns if c != key])
+    marked = rows.join(F.broadcast(keyed.filter(hot).select(key, values.alias("_hot"))), key, "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1)
+    rest = keyed.filter(~hot).select(key, values.alias("_rest"), F.lit(0).alias("_salt"))
+    met = marked.withColumn("_salt", salt).join(rest, [key, "_salt"], "left").withColumn("_met", F.coalesce("_hot", "_rest"))
+    return met.filter(F.col("_met").isNotNull()).select(*rows.columns, "_met.*")
+
+
 def batches_of_rows(batch, columns: list[str], size: int = 128):
     """Lists of Python values for `columns`, a few rows at a time so that memory follows the slice."""
     for at in range(0, batch.num_rows, size):

@@ -14,6 +14,7 @@ from rootweave.llm import chat, language
 from rootweave.llm.common import table
 from rootweave.llm.decontam import contaminated
 from rootweave.llm.fingerprints import hashes, likeness, printed, printed_positions, winnow, with_next
+from rootweave.llm.jaccard_join import jaccard_components
 from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.near_dups import near_duplicates
 from rootweave.llm.packing import pack
@@ -89,6 +90,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"), 1, 2048)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -139,4 +144,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
             FROM marked GROUP BY doc_id""",
+        "op11_jaccard_join": r"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x20\x09-\x0D]+') AS w
+                FROM documents),
+            shingles AS (
+                SELECT doc_id, unnest(CASE WHEN len(w) >= 4
+                    THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+                FROM words),
+            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            shared AS (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+                FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+            links AS (
+                SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+                WHERE 100 * shared.n >= 85 * (p.n + q.n - shared.n)),
+            edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(doc_id, other) AS (
+                SELECT doc_id, doc_id FROM documents
+                UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+            FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
     }
