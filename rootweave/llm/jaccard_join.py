@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rootweave.llm.common import batches_of_rows, met_by_key, texts, written
 from rootweave.llm.components import components
-from rootweave.llm.near_dups import _mixed, _repeated, _same_document, _sets_of, _two_sides, shingle_sets
+from rootweave.llm.near_dups import BROADCAST_IDS, _mixed, _repeated, _same_document, _sets_of, _two_sides, shingle_sets
 
 BLOCK, BLOCK_BYTES = 1024, 8_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +70,7 @@ def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         most = differing(band, percent)
         if not most:
             continue
-        parts = most + 3 + most // 16
+        parts = most + 2 + most // 32
         # hashes ascend, so those of a part are neighbours
         part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -176,15 +176,16 @@ def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for every document."""
     plain = texts(docs)
-    base = written(plain.mapInArrow(partial(_base, percent=percent, width=width), _BASE), "join-base")
+    base = plain.mapInArrow(partial(_base, percent=percent, width=width), _BASE)
+    base = written(base.withColumn("row", F.monotonically_increasing_id()), "join-base")  # numbers stand once written
     filled = base.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")  # numbers stand once written
-    heads = filled.join(classes, (filled["digest"] == classes["digest"]) & (filled["doc_id"] == classes["head"]))
-    heads = written(heads.select("node", "n_shingles", "n_keys", "sketch", "keys").dropDuplicates(["node"]), "join-heads")
-    member = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    member = written(member.select("doc_id", "n_shingles", "node", "head"), "join-members")
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("h"))
+    classes = written(classes.select("digest", F.col("h.doc_id").alias("head"), F.col("h.row").alias("node")), "join-classes")
+    member = base.select("doc_id", "n_shingles", "row", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    member = written(member.select("doc_id", "n_shingles", "row", "node", "head"), "join-members")
     repeated = written(_repeated(member), "join-repeated")
+    copies = member.filter("row <> node").select("row")
+    heads = filled.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "row", "left_anti").withColumnRenamed("row", "node")
 
     # tiles of several sets, and the links of their members to their centres
     listed = heads.select("node", F.explode("keys").alias("key"))
