@@ -18,9 +18,11 @@ from rootweave.llm.jaccard_join import jaccard_components
 from rootweave.llm.line_runs import dedup_lines
 from rootweave.llm.near_dups import near_duplicates
 from rootweave.llm.packing import pack
+from rootweave.llm.prefix_trie import prefix_trie
 from rootweave.llm.run_index import without_repeats
 from rootweave.llm.token_counts import token_counts
 from rootweave.llm.token_files import write_token_files
+from rootweave.llm.vector_codes import vector_codes
 from rootweave.llm.vocab import default_vocabulary
 
 
@@ -94,6 +96,14 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -168,4 +178,68 @@ def oracle_sql() -> dict[str, str]:
                 UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
             SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
             FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
+        "op12_vector_codes": r"""
+            WITH kept AS (
+                SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            cut AS (SELECT vec_id, label, p, v[p * 4 + 1 : p * 4 + 4] AS s FROM kept, range(16) t(p)),
+            book0 AS (
+                SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s FROM cut QUALIFY e < 64),
+            near0 AS (
+                SELECT cut.p, vec_id, cut.s, min({'d': list_sum(list_transform(list_zip(cut.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+                FROM cut JOIN book0 b ON b.p = cut.p GROUP BY ALL),
+            mean1 AS (
+                SELECT p, m.e AS e, list_transform([sum(s[1]), sum(s[2]), sum(s[3]), sum(s[4])], lambda x: CAST(floor(x / count(*)) AS BIGINT)) AS s
+                FROM near0 GROUP BY p, m.e),
+            book1 AS (SELECT p, e, coalesce(mean1.s, book0.s) AS s FROM book0 LEFT JOIN mean1 USING (p, e)),
+            near1 AS (
+                SELECT cut.p, vec_id, cut.s, min({'d': list_sum(list_transform(list_zip(cut.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+                FROM cut JOIN book1 b ON b.p = cut.p GROUP BY ALL),
+            mean2 AS (
+                SELECT p, m.e AS e, list_transform([sum(s[1]), sum(s[2]), sum(s[3]), sum(s[4])], lambda x: CAST(floor(x / count(*)) AS BIGINT)) AS s
+                FROM near1 GROUP BY p, m.e),
+            book2 AS (SELECT p, e, coalesce(mean2.s, book1.s) AS s FROM book1 LEFT JOIN mean2 USING (p, e)),
+            near2 AS (
+                SELECT cut.p, vec_id, label, min({'d': list_sum(list_transform(list_zip(cut.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+                FROM cut JOIN book2 b ON b.p = cut.p GROUP BY ALL),
+            coded AS (
+                SELECT vec_id, label, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+                FROM near2 GROUP BY vec_id, label),
+            digest AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+            FROM coded, digest""",
+        "op13_prefix_trie": r"""
+            WITH turns AS (
+                SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+                FROM conversations WHERE conv_id IS NOT NULL),
+            lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS ts FROM turns GROUP BY conv_id),
+            hashed AS (
+                SELECT conv_id, ts, CAST(xor(list_reduce([4294967295]::BIGINT[] || list_transform(
+                        range(0, 9 * length(CAST(conv_id AS VARCHAR))),
+                        lambda i: CASE WHEN i % 9 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 9 + 1 AS INT), 1)) ELSE -1 END),
+                    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 4 AS INT) AS h
+                FROM lists),
+            rebuilt AS (
+                SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1 : c.h], c.ts[c.h + 1 :]) AS ts
+                FROM hashed c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 20),
+            prefixes AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM rebuilt),
+            nodes AS (
+                SELECT ts[1 : depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                       sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(ts) = depth), '')) AS ends_sha256
+                FROM prefixes GROUP BY ALL),
+            valued AS (
+                SELECT *, p[1 : depth - 1] AS up,
+                       CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+                FROM nodes),
+            families AS (SELECT up AS p, depth - 1 AS depth, count(*) AS n_children FROM valued WHERE depth > 0 GROUP BY ALL),
+            whole AS (SELECT valued.*, coalesce(n_children, 0) AS n_children FROM valued LEFT JOIN families USING (p, depth)),
+            subtree AS (
+                SELECT a.p, a.depth, sum(b.saved) AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves
+                FROM whole a JOIN whole b ON b.depth >= a.depth AND b.p[1 : a.depth] = a.p GROUP BY a.p, a.depth)
+            SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves,
+                   CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+            FROM whole w JOIN subtree s ON s.p = w.p AND s.depth = w.depth
+                LEFT JOIN nodes u ON w.depth > 0 AND u.depth = w.depth - 1 AND u.p = w.up""",
     }
