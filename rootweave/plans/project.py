@@ -94,9 +94,9 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events, errors): every hundredth order as a run, its lines as calls, its costliest orders failing in their last call."""
+    """(events, errors): every order as a run for each language, its lines as calls; a run whose last part is a multiple of five fails in its last call."""
     items = entities(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 100 = 0").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), "l_quantity")
     joined = lines.join(items.select("k", "path", "what", "name"), "k").filter("what = 'function'")
     seq = F.col("l_linenumber") * (1 << 20) + F.col("k")
     language = F.when(F.col("path").endswith(".c"), "C").otherwise("Python")

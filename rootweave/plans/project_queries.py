@@ -71,7 +71,7 @@ BASE = rf"""{ENTITIES}, {IMPORTS}, {CALLED}, {FLOWS},
     base AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, path, grp, k) AS n FROM n0) WHERE n = 1)"""
 RUNTIME = r"""
     ev AS (SELECT DISTINCT l_orderkey || CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS run_id, CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS language,
-        l_linenumber * 1048576 + k AS seq, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE l_orderkey % 100 = 0 AND what = 'function'),
+        l_linenumber * 1048576 + k AS seq, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE what = 'function'),
     refs AS (SELECT DISTINCT language, filename, function FROM ev),
     hits AS (SELECT language, filename, function, min(id) AS id FROM refs JOIN base ON kind IN ('function', 'method') AND split_part(label, '.', -1) = function AND ends_with(filename, '/' || file) GROUP BY ALL HAVING count(*) = 1),
     lk AS (SELECT ev.*, coalesce(id, 'runtime::' || language || '::' || filename || '::' || function) AS node FROM ev LEFT JOIN hits USING (language, filename, function)),
@@ -450,7 +450,7 @@ def knowledge_summary(spark, sf_dir):
 
 @query(f"""WITH {ENTITIES},
     ev AS (SELECT DISTINCT l_orderkey || CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS run_id, CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS language,
-        l_linenumber * 1048576 + k AS seq, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE l_orderkey % 100 = 0 AND what = 'function'),
+        l_linenumber * 1048576 + k AS seq, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE what = 'function'),
     la AS (SELECT run_id, max(seq) AS seq FROM ev GROUP BY run_id), x AS (SELECT ev.* FROM ev JOIN la USING (run_id, seq) WHERE k % 5 = 0),
     j AS (SELECT run_id, seq, '{{"language":"' || language || '","type":"call","function":"' || function || '","filename":"' || filename || '"}}' AS t FROM ev
         UNION ALL SELECT run_id, seq + 1, '{{"language":"' || language || '","type":"exception","function":"' || function || '","filename":"' || filename || '","exception":"Error' || (k % 3) || ': part ' || k || '"}}' FROM x)
