@@ -11,14 +11,17 @@ hashes is cut to more than k parts, so a linked pair agrees on a whole part: (ba
 shingles) is the key of a tile, and only sets of one tile are compared. Some of the parts that agree may be
 empty ones, so there are spare parts, and a set with too many empty ones is listed under those too.
 
-Inside a tile. Every set has a bitmap of the parity of its hashes' low bits, about one bit for each shingle. The
+Inside a tile. Every set has a bitmap of the parity of its hashes' low bits, four to eight bits for each shingle. The
 bits that differ between two bitmaps are at most the shingles that differ, so their count bounds the
 intersection from above; only pairs whose bound reaches the threshold are intersected, as sorted arrays.
 
 Classes and groups. Documents of equal sets are one class and cost one row. Members of a tile first meet
 only its centre, the one that has most tile mates; links found so are joined to components, and only tiles that
-still hold several components are opened, in blocks of at most 1,024 sets and about 8 MB, which return no more
-links than join components. So no tile is expanded to its pairs, and each pair of a tile is either in one component or compared.
+still hold several components are opened, in blocks of at most 1,024 members and about 8 MB. Bitmaps of all pairs of
+a block are compared, and pairs within the bound are presumed to link: a block returns those that join its components,
+fewer than its members, and these are intersected. Where a presumption was wrong, members that still have a partner
+within the bound in another component meet once more, as whole sets. So no tile is expanded to its pairs, and each pair of a
+tile ends in one component, beyond the bound, or intersected.
 
 Null and empty texts, and texts without words, are empty and linked with nothing. Rows with equal ids are one
 node and share its links, whatever their texts; rows with a null id are linked with nothing and kept, with a null
@@ -83,7 +86,7 @@ def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> bytes:
     """Size, then the bitmap: the parity of the hashes on each value of their low bits."""
-    width = max(128, 1 << (len(shingles) - 1).bit_length())
+    width = max(128, 4 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.int64(len(shingles)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -151,26 +154,68 @@ def _linked(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, dtype=np.int64)[keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
 
+class _Block:
+    """Members of one block, or of two blocks of a tile; `label` names their components."""
+
+    def __init__(self, frame: pd.DataFrame, percent: int):
+        self.nodes, self.own, self.percent = frame["node"].to_numpy(), frame["own"].to_numpy(), percent
+        self.label = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
+        self.across = frame["i"].iloc[0] != frame["j"].iloc[0]
+        self.sizes, self.maps = unpacked(frame["sketch"].tolist())
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later members of other components whose bitmaps leave room for a link; across blocks, of the other block."""
+        both = self.sizes[i] + self.sizes[i + 1 :]
+        need = needed(both, self.percent)
+        apart = np.bitwise_count(self.maps[i + 1 :] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+        near = ((both - apart) // 2 >= need) & (need <= np.minimum(self.sizes[i], self.sizes[i + 1 :])) & (self.label[i + 1 :] != self.label[i])
+        if self.across:
+            near &= self.own[i + 1 :] != self.own[i]
+        return np.flatnonzero(near) + i + 1
+
+    def joined(self, links) -> pd.DataFrame:
+        """Pairs that `links(i, j)` holds for, as many as join components and no more."""
+        found = []
+        for i in range(len(self.nodes) - 1):
+            for j in self.partners(i).tolist():
+                if self.label[i] != self.label[j] and links(i, j):
+                    found.append((min(self.nodes[i], self.nodes[j]), max(self.nodes[i], self.nodes[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def _presumed(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    return _Block(frame, percent).joined(lambda i, j: True)
+
+
 def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between components inside one block or across two blocks of a tile, as many as join them and no more."""
-    nodes, own = frame["node"].to_numpy(), frame["own"].to_numpy()
-    label = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
-    across = own.min() != own.max() or frame["i"].iloc[0] != frame["j"].iloc[0]
-    sizes, maps = unpacked(frame["sketch"].tolist())
+    block = _Block(frame, percent)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
-    found = []
-    for i in range(len(nodes) - 1):
-        both = sizes[i] + sizes[i + 1 :]
-        apart = np.bitwise_count(maps[i + 1 :] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        need = needed(both, percent)
-        open_ = ((both - apart) // 2 >= need) & (need <= np.minimum(sizes[i], sizes[i + 1 :])) & (label[i + 1 :] != label[i])
-        if across:
-            open_ &= own[i + 1 :] != own[i]
-        for j in (np.flatnonzero(open_) + i + 1).tolist():
-            if label[i] != label[j] and shared(sets[i], sets[j]) >= needed(both[j - i - 1], percent):
-                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-                label[label == label[j]] = label[i]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    return block.joined(lambda i, j: shared(sets[i], sets[j]) >= needed(block.sizes[i] + block.sizes[j], percent))
+
+
+def _undecided(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Members with a partner within the bound in another component."""
+    block = _Block(frame, percent)
+    open_ = np.zeros(len(frame), dtype=bool)
+    for i in range(len(frame) - 1):
+        partners = block.partners(i)
+        open_[partners] = True
+        open_[i] |= len(partners) > 0
+    return frame.loc[open_, ["key", "node"]]
+
+
+def _opened(tiles: DataFrame, roots: DataFrame, heads: DataFrame, total: int, weight: int) -> DataFrame:
+    """key, i, j, own, node, root: members of the tiles that hold several components, dealt to blocks; a shingle weighs `weight` bytes."""
+    labelled = tiles.join(roots, "node", "left").join(heads.select("node", "n_shingles"), "node").withColumn("root", F.coalesce("root", "node"))
+    labelled = written(labelled.select("key", "node", "root", "n_shingles"), "join-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(weight * F.col("size") / BLOCK_BYTES)).cast("int")
+    mixed = written(mixed.filter("low < high").select("key", "n", blocks.alias("blocks")), "join-mixed")
+    rows = met_by_key(labelled.select("key", "node", "root"), mixed, "key", "n", total)
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks").cast("long")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
@@ -195,31 +240,37 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     mates = tiles.groupBy("node").agg(F.sum("n").alias("mates"))
     centre = tiles.join(mates, "node").groupBy("key", "n").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("centre"))
     centre = written(centre.withColumnRenamed("n", "held"), "join-centres")
-    stars = met_by_key(tiles.select("node", "key"), centre, "key", "held", total).filter(F.col("node") != F.col("centre"))
+    tiles = tiles.select("node", "key")
+    stars = met_by_key(tiles, centre, "key", "held", total).filter(F.col("node") != F.col("centre"))
     stars = stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     close = _two_sides(stars, heads, "sketch").mapInArrow(partial(_within_bound, percent=percent), "a long, b long")
-    close = written(close, "join-close")
-    sets = _sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, repeated, plain, width, "join-sets")
-    linked = _two_sides(close, sets, "shingles").mapInArrow(partial(_linked, percent=percent), "a long, b long")
-    links = written(linked.unionByName(_same_document(member, repeated)), "join-links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those pairs whose whole sets link."""
+        pairs = written(pairs, "join-pairs")
+        sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, repeated, plain, width, "join-sets")
+        return _two_sides(pairs, sets, "shingles").mapInArrow(partial(_linked, percent=percent), "a long, b long")
+
+    links = written(confirmed(close).unionByName(_same_document(member, repeated)), "join-links")
     roots = written(components(links), "join-roots")
 
     # tiles that still hold several components are opened
-    labelled = tiles.join(roots, "node", "left").join(heads.select("node", "n_shingles"), "node").withColumn("root", F.coalesce("root", "node"))
-    labelled = written(labelled.select("key", "node", "root", "n_shingles"), "join-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("size") / BLOCK_BYTES)).cast("int")
-    mixed = written(mixed.filter("low < high").select("key", "n", blocks.alias("blocks")), "join-mixed")
-    opened = written(met_by_key(labelled.select("key", "node", "root"), mixed, "key", "n", total), "join-open")
-    sets = _sets_of(opened.select("node").distinct(), classes, repeated, plain, width, "join-sets")
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks").cast("long")).cast("int")
-    blocked = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.join(sets, "node").join(heads.select("node", "sketch"), "node")
-    blocked = blocked.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "shingles")
-    rest = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _compared(frame, percent), "a long, b long").distinct()
-    rest = written(rest, "join-rest")
-    if not rest.isEmpty():
-        roots = written(components(links.unionByName(rest)), "join-roots")
+    sketches = heads.select("node", "sketch")
+    blocked = _opened(tiles, roots, heads, total, 1).join(sketches, "node")
+    presumed = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _presumed(frame, percent), "a long, b long").distinct()
+    more = written(confirmed(presumed), "join-more")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = written(components(links), "join-roots")
+        blocked = _opened(tiles, roots, heads, total, 1).join(sketches, "node")
+    undecided = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _undecided(frame, percent), "key long, node long").distinct()
+    undecided = written(undecided, "join-undecided")
+    if not undecided.isEmpty():
+        sets = _sets_of(undecided.select("node").distinct(), classes, repeated, plain, width, "join-sets")
+        whole = _opened(undecided.select("node", "key"), roots, heads, total, 8).join(sketches, "node").join(sets, "node")
+        rest = written(whole.groupBy("key", "i", "j").applyInPandas(lambda frame: _compared(frame, percent), "a long, b long").distinct(), "join-rest")
+        if not rest.isEmpty():
+            roots = written(components(links.unionByName(rest)), "join-roots")
 
     # the least id of a component is the least of its classes' least ids
     least_id = classes.join(roots, "node").groupBy("root").agg(F.min("head").alias("least_id"))
