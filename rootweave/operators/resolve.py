@@ -3,10 +3,10 @@ ambiguous name never fans out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.functions.text import basename, same_source, simple_name
+from rootweave.functions.text import posix, simple_name
 
 
 def unique_index(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -59,16 +59,42 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return found.select(*imports.columns, F.coalesce("_exact", "target_path").alias("target"))
 
 
+def _endings(path: Column) -> Column:
+    """The path itself, then what follows each of its separators."""
+    parts = F.split(posix(path), "/")
+    return F.transform(parts, lambda _, at: F.array_join(F.slice(parts, at + 1, F.size(parts)), "/"))
+
+
+def ending_index(functions: DataFrame) -> DataFrame:
+    """function, path, and how many of functions(id, name, file) have it as their file (n_whole) or as an ending of it (n_part), with the least of their ids."""
+    endings = functions.select("id", simple_name(F.col("name")).alias("function"), F.posexplode(_endings(F.col("file"))).alias("at", "path"))
+    whole = F.col("at") == 0
+    return endings.groupBy("function", "path").agg(
+        F.count_if(whole).alias("n_whole"), F.min(F.when(whole, F.col("id"))).alias("whole_id"), F.count_if(~whole).alias("n_part"), F.min(F.when(~whole, F.col("id"))).alias("part_id"),
+    )
+
+
+def ending_matches(refs: DataFrame, functions: DataFrame) -> DataFrame:
+    """language, filename, function, n, id: for each ending of a reference's path, how many functions it matches and the least of them.
+
+    Two paths agree where one is an ending of the other: a function's file is an ending of the reference's path (n_whole), or the whole
+    reference is an ending of the file (n_part). The index has one row for a key, so there is at most one row for each ending of a reference, however
+    many files share a name.
+    """
+    wanted = refs.select("language", "filename", "function").distinct()
+    wanted = wanted.select("*", F.posexplode(_endings(F.col("filename"))).alias("at", "path"))
+    found = wanted.join(ending_index(functions), ["function", "path"])
+    n = F.col("n_whole") + F.when(F.col("at") == 0, F.col("n_part")).otherwise(0)
+    least = F.when(F.col("at") == 0, F.least("whole_id", "part_id")).otherwise(F.col("whole_id"))
+    return found.select("language", "filename", "function", n.alias("n"), least.alias("id")).filter("n > 0")
+
+
 def link_runtime(refs: DataFrame, functions: DataFrame) -> DataFrame:
     """Add `node_id` to refs(language, filename, function) over functions(id, name, file).
 
-    Equal simple name and paths that agree at a separator; exactly one match, else a runtime id. Both sides
-    meet on (name, basename), which any two agreeing paths share, so only the rest is a residual.
+    Equal simple name and paths that agree at a separator; exactly one match, else a runtime id.
     """
-    wanted = refs.select("language", "filename", "function").distinct().withColumn("_base", basename(F.col("filename")))
-    known = functions.select("id", simple_name(F.col("name")).alias("function"), F.col("file").alias("_file")).withColumn("_base", basename(F.col("_file")))
-    pairs = wanted.join(known, ["function", "_base"]).filter(same_source(F.col("_file"), F.col("filename")))
-    single = pairs.groupBy("language", "filename", "function").agg(F.count(F.lit(1)).alias("_n"), F.first("id").alias("_id")).filter("_n = 1")
+    single = ending_matches(refs, functions).groupBy("language", "filename", "function").agg(F.sum("n").alias("_n"), F.min("id").alias("_id")).filter("_n = 1")
     synthetic = F.concat_ws("::", F.lit("runtime"), "language", "filename", "function")
     found = refs.join(single, ["language", "filename", "function"], "left")
     return found.select(*refs.columns, F.coalesce("_id", synthetic).alias("node_id"))

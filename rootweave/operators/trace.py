@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rootweave.functions.text import exception_message, exception_type
 from rootweave.operators.ordered import Runs
+from rootweave.operators.ranges import in_ranges
 
 CALL, RETURN, LINE, EXCEPTION = "call", "return", "line", "exception"
 RUNS = Runs("run_id", "bucket", ["seq"])
@@ -59,10 +60,16 @@ def matching(events: DataFrame, event_type: str | None = None, function: str | N
     return events
 
 
-def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 100) -> DataFrame:
-    """A slice of the ordered rows; each row carries the total before slicing."""
+def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 100, near: int = 10_000) -> DataFrame:
+    """A slice of the ordered rows; each row carries the total before slicing.
+
+    A page that ends before `near` is a top-k. A later one is found by its offset: rows are dealt to sampled ranges, counts say which
+    ranges hold the page, and only those are read. Who turns many pages keeps the ranges (operators/ranges.py).
+    """
     if offset < 0 or limit < 0:
         raise ValueError("offset and limit must not be negative")
+    if offset + limit > near:
+        return in_ranges(rows, order).page(offset, limit)
     total = rows.agg(F.count(F.lit(1))).scalar()
     return rows.orderBy(*order).offset(offset).limit(limit).withColumn("total_matched", total)
 

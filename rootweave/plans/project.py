@@ -3,7 +3,7 @@ lines of an order are calls, and one order is a run that failed. All of it is de
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.operators import trace as X
@@ -112,8 +112,9 @@ def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return events, errors
 
 
-def crash_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a merged graph in which every part is a function with a name of its own."""
+def crash_graph(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None, labels: int = 50, imports: str = "source % 40 = 0 AND target % 3 = 0") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a merged graph in which every part is a function with a name of its own; steps (source, target) are its calls, which of them import is a condition."""
+    steps = call_edges(spark, sf_dir) if steps is None else steps
     k = F.col("p_partkey")
     label = F.when(k % 7 == 0, _text("C.fn", k)).otherwise(_text("fn", k))
     path = _text("p", F.floor(k / 64), "/m", k % 4, ".py")
@@ -121,7 +122,7 @@ def crash_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     fn = fn.withColumn("id", F.concat_ws("::", "file", "label")).withColumn("kind", F.when(F.col("k") % 7 == 0, "method").otherwise("function"))
     node = lambda df, id, kind, label, file, line: df.select(id.alias("id"), kind.alias("kind"), label.alias("label"), file.cast("string").alias("file"), line.cast("int").alias("line"), F.lit(False).alias("runtime"), F.coalesce(F.col("k") if "k" in df.columns else F.lit(0), F.lit(0)).cast("long").alias("ord"))
     col, none = F.col, F.lit(None)
-    v = _text("v", col("k") % 50)
+    v = _text("v", col("k") % labels)
     variables = fn.filter("k % 5 = 0").select("k", F.concat_ws("::", "id", v).alias("vid"), v.alias("label"))
     branchy = fn.filter("k % 2 = 0")
     block = lambda end, kind, line: node(branchy, F.concat(col("id"), F.lit(f":{end}")), F.lit(kind), F.lit(end), none, line)
@@ -132,13 +133,13 @@ def crash_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     ]
     source = fn.select(col("k").alias("source"), col("id").alias("source_id"), col("file").alias("source_file"))
     target = fn.select(col("k").alias("target"), col("id").alias("target_id"), col("file").alias("target_file"))
-    calls = call_edges(spark, sf_dir).join(source, "source").join(target, "target")
+    calls = steps.join(source, "source").join(target, "target")
     touched = calls.join(variables.select(col("k").alias("target"), "vid"), "target")
     edge = lambda df, a, b, kind: df.select(col(a).alias("source"), col(b).alias("target"), F.lit(kind).alias("kind"))
     at = lambda end: F.concat(col("id"), F.lit(f":{end}"))
     flow = lambda df, a, b: df.select(at(a).alias("source"), at(b).alias("target"), F.lit("flows_to").alias("kind"))
     edges = [
-        edge(calls, "source_id", "target_id", "calls"), edge(calls.filter("source % 40 = 0 AND target % 3 = 0 AND source_file <> target_file"), "source_file", "target_file", "imports"),
+        edge(calls, "source_id", "target_id", "calls"), edge(calls.filter(f"{imports} AND source_file <> target_file"), "source_file", "target_file", "imports"),
         edge(fn.join(variables.select("k", "vid"), "k"), "id", "vid", "reads"), edge(touched.filter("source % 3 = 0"), "source_id", "vid", "reads"), edge(touched.filter("source % 2 = 0"), "source_id", "vid", "writes"),
         flow(branchy, "start", "block0"), flow(branchy.filter("k % 4 = 0"), "block0", "block1"),
     ]
@@ -174,6 +175,45 @@ def crash_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return run, calls.unionByName(thrown)
 
 
+def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target): the part that most often comes next after each, the least of equals."""
+    counted = call_steps(spark, sf_dir).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("source").agg(F.min_by("target", F.struct(-F.col("n"), "target")).alias("target"))
+
+
+def failed_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) in which a part calls its follower, and every fifth part throws an error of its own."""
+    nodes, edges = crash_graph(spark, sf_dir, followers(spark, sf_dir), 1000, "source % 4 = 0")
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0")
+    thrower = F.concat_ws("::", _text("p", F.floor(k / 64), "/m", k % 4, ".py"), F.when(k % 7 == 0, _text("C.fn", k)).otherwise(_text("fn", k)))
+    return nodes, edges.unionByName(part.select(thrower.alias("source"), _text("exception::Python::E", k).alias("target"), F.lit("throws").alias("kind")))
+
+
+def failed_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, events): each order whose last part is a multiple of five failed in it; a third of them left no traceback.
+
+    An order has few lines, so a window and an array hold one.
+    """
+    k = F.col("k")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", F.col("l_partkey").alias("k"))
+    order = Window.partitionBy("run_id").orderBy("l_linenumber", "k")
+    whole = Window.partitionBy("run_id").orderBy("l_linenumber", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = items.withColumns({"seq": (F.row_number().over(order) - 1).cast("long"), "crash": F.last("k").over(whole)}).filter("crash % 5 = 0")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("line"))
+    called = lines.join(part, "k").withColumns({"filename": _text("p", F.floor(k / 64), "/m", k % 4, ".py"), "function": _text("fn", k)})
+    held = lambda shift: F.create_map(_text("v", (k + shift) % 1000), F.lit("1"))
+    calls = called.select("run_id", "seq", F.lit(X.CALL).alias("type"), "function", "filename", held(0).alias("variables"))
+    latest = called.groupBy("run_id").agg(F.max_by(F.struct("seq", "k", "function", "filename"), "seq").alias("e")).select("run_id", "e.*")
+    thrown = latest.select("run_id", (F.col("seq") + 1).alias("seq"), F.lit(X.EXCEPTION).alias("type"), "function", "filename", held(10).alias("variables"))
+    frame = F.concat(F.lit('  File "'), "filename", F.lit('", line '), (F.col("line") + 2).cast("string"), F.lit(", in "), "function")
+    frames = called.groupBy("run_id", "crash").agg(F.array_sort(F.collect_list(F.struct("seq", frame.alias("t")))).alias("fs"))
+    last = F.transform(F.slice("fs", F.greatest(F.size("fs") - 2, F.lit(1)), F.lit(3)), lambda x: x["t"])
+    stderr = F.when(F.col("crash") % 3 != 1, F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(last, "\n"), F.lit("\nE: part\n")))
+    runs = frames.select("run_id", F.lit("Python").alias("language"), stderr.alias("stderr"), _text("E", F.col("crash")).alias("exception_type"), F.lit("part").alias("exception_message"))
+    return runs, calls.unionByName(thrown)
+
+
 def tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id and text: each order as the traceback that its lines would print; an order has few lines."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -190,4 +230,4 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_custkey").alias("run_id"), language.alias("language"), status.alias("status"), F.when(F.col("o_totalprice") > 250000, "Costly").alias("exception_type"), F.col("o_orderkey").alias("ord"))
 
 
-__all__ = ["call_steps", "crash_graph", "crash_run", "entities", "modules", "recorded", "results", "tracebacks"]
+__all__ = ["call_steps", "crash_graph", "crash_run", "entities", "failed_graph", "failed_runs", "modules", "recorded", "results", "tracebacks"]

@@ -9,6 +9,7 @@ from rootweave.operators import graph as G
 from rootweave.operators import listing as L
 from rootweave.operators import resolve as R
 from rootweave.operators import trace as X
+from rootweave.operators.adjacency import stored
 from rootweave.plans import explain, facade
 from rootweave.plans import knowledge as K
 from rootweave.plans import localize as Z
@@ -278,6 +279,76 @@ def explanation_report(spark, sf_dir):
     return report.select("error_summary", "root_cause", "why", F.array_join(place, " ").alias("places"), "insufficient_evidence")
 
 
+_EVIDENCE = CRASH[CRASH.index("    ev AS (") : CRASH.index("    ranked AS")].replace("SELECT id,", "SELECT run_id, id,").replace("GROUP BY id", "GROUP BY run_id, id")
+FAILED = rf"""
+    steps AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem),
+    counted AS (SELECT source, target, count(*) AS n FROM steps WHERE target IS NOT NULL AND source <> target GROUP BY ALL),
+    fol AS (SELECT source, target FROM counted QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, target) = 1),
+    fn AS (SELECT p_partkey AS k, 'p' || (p_partkey // 64) || '/m' || (p_partkey % 4) || '.py' AS file, CASE WHEN p_partkey % 7 = 0 THEN 'C.fn' ELSE 'fn' END || p_partkey AS label, p_size AS line,
+        file || '::' || label AS id, CASE WHEN p_partkey % 7 = 0 THEN 'method' ELSE 'function' END AS kind FROM part),
+    var AS (SELECT k, id || '::v' || (k % 1000) AS id, 'v' || (k % 1000) AS label FROM fn WHERE k % 5 = 0),
+    cl AS (SELECT a.id AS source, b.id AS target, a.k AS sk, b.k AS tk, a.file AS sf, b.file AS tf FROM fol JOIN fn a ON a.k = source JOIN fn b ON b.k = target),
+    imports AS (SELECT DISTINCT sf AS source, tf AS target FROM cl WHERE sk % 4 = 0 AND sf <> tf),
+    reads AS (SELECT fn.id AS source, var.id AS target FROM fn JOIN var USING (k) UNION SELECT source, var.id FROM cl JOIN var ON var.k = tk WHERE sk % 3 = 0),
+    writes AS (SELECT DISTINCT source, var.id AS target FROM cl JOIN var ON var.k = tk WHERE sk % 2 = 0),
+    lines AS (SELECT l_orderkey AS run_id, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS seq, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    crash AS (SELECT run_id, fn.* EXCLUDE line, k % 3 <> 1 AS traced, CASE WHEN traced THEN file END AS xf, CASE WHEN traced THEN line + 2 END AS xl FROM lines JOIN fn USING (k) WHERE seq = n - 1 AND k % 5 = 0),
+    ran AS (SELECT run_id, seq, n, traced, fn.id, fn.label FROM lines JOIN (SELECT run_id, traced FROM crash) q USING (run_id) JOIN fn USING (k)),
+    executed AS (SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY min(seq) DESC) - 1 AS run FROM ran GROUP BY run_id, id),
+    stack AS (SELECT run_id, id, label, seq, n - 1 - seq AS hop FROM ran WHERE traced AND seq > n - 4),
+    up1 AS (SELECT DISTINCT run_id, cl.source AS id FROM crash JOIN cl ON cl.target = crash.id), up2 AS (SELECT DISTINCT run_id, cl.source AS id FROM up1 JOIN cl ON cl.target = up1.id),
+    up3 AS (SELECT DISTINCT run_id, cl.source AS id FROM up2 JOIN cl ON cl.target = up2.id),
+    callers AS (SELECT run_id, id, min(d) AS up FROM (SELECT *, 1 AS d FROM up1 UNION ALL SELECT *, 2 FROM up2 UNION ALL SELECT *, 3 FROM up3) u WHERE (run_id, id) NOT IN (SELECT run_id, id FROM crash) GROUP BY ALL),
+    callees AS (SELECT DISTINCT run_id, cl.target AS id, TRUE AS callee FROM crash JOIN cl ON cl.source = crash.id),
+    im1 AS (SELECT DISTINCT run_id, imports.source AS id FROM crash JOIN imports ON imports.target = crash.xf), im2 AS (SELECT DISTINCT run_id, imports.source AS id FROM im1 JOIN imports ON imports.target = im1.id),
+    im3 AS (SELECT DISTINCT run_id, imports.source AS id FROM im2 JOIN imports ON imports.target = im2.id),
+    importers AS (SELECT run_id, id, min(d) AS imp FROM (SELECT *, 1 AS d FROM im1 UNION ALL SELECT *, 2 FROM im2 UNION ALL SELECT *, 3 FROM im3) u WHERE (run_id, id) NOT IN (SELECT run_id, xf FROM crash WHERE traced) GROUP BY ALL),
+    seen AS (SELECT run_id, 'v' || ((k + unnest([0, 10])) % 1000) AS label FROM crash),
+    read AS (SELECT DISTINCT run_id, reads.target AS id FROM crash JOIN reads ON reads.source = crash.id),
+    involved AS (SELECT run_id, id, bool_or(r) AS is_read, TRUE AS is_inv FROM (SELECT run_id, var.id, FALSE AS r FROM seen JOIN var USING (label) UNION ALL SELECT run_id, id, TRUE FROM read) u GROUP BY ALL),
+    writers AS (SELECT run_id, source AS id, bool_or(is_read) AS w_read, TRUE AS w_inv FROM writes JOIN involved ON involved.id = target GROUP BY ALL),
+    cid AS (SELECT run_id, id FROM crash UNION SELECT run_id, id FROM stack UNION SELECT run_id, id FROM executed UNION SELECT run_id, id FROM callers UNION SELECT run_id, id FROM callees
+        UNION SELECT run_id, id FROM importers UNION SELECT run_id, id FROM involved UNION SELECT run_id, id FROM writers),
+    node AS (SELECT k, id, kind, label, file, line FROM fn UNION ALL SELECT DISTINCT NULL, file, 'module', file, file, NULL FROM fn UNION ALL SELECT NULL, id, 'variable', label, NULL, NULL FROM var),
+    hops AS (SELECT run_id, id, max(hop) AS hop FROM stack GROUP BY ALL),
+    c AS (SELECT cid.run_id, node.*, node.kind IN ('function', 'method') AS is_fn, node.id = crash.id AS is_crash, coalesce(node.file = xf, FALSE) AS near, xl, executed.run, hop, up, importers.imp, f.imp AS fimp,
+        node.k % 2 = 0 AND coalesce(xl BETWEEN line AND line + 2, FALSE) AS has_line, xl < line + 2 OR node.k % 4 = 0 AS reached, node.k % 2 = 0 AS has_blocks,
+        coalesce(callee, FALSE) AS callee, coalesce(is_read, FALSE) AS is_read, coalesce(is_inv, FALSE) AS is_inv, coalesce(w_read, FALSE) AS w_read, coalesce(w_inv, FALSE) AS w_inv
+        FROM cid JOIN node USING (id) JOIN crash ON crash.run_id = cid.run_id LEFT JOIN executed ON executed.run_id = cid.run_id AND executed.id = node.id LEFT JOIN hops ON hops.run_id = cid.run_id AND hops.id = node.id
+        LEFT JOIN callers ON callers.run_id = cid.run_id AND callers.id = node.id LEFT JOIN callees ON callees.run_id = cid.run_id AND callees.id = node.id
+        LEFT JOIN importers ON importers.run_id = cid.run_id AND importers.id = node.id LEFT JOIN importers f ON f.run_id = cid.run_id AND f.id = node.file
+        LEFT JOIN involved ON involved.run_id = cid.run_id AND involved.id = node.id LEFT JOIN writers ON writers.run_id = cid.run_id AND writers.id = node.id),
+{_EVIDENCE}    ranked AS (SELECT run_id, id AS node_id, label, CAST(score AS DOUBLE) AS score, reason, n_evidence, best, sources, file, line, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, id) AS rank FROM sc JOIN c USING (run_id, id))"""
+
+
+def _failed(spark, sf_dir, threshold=Z.THRESHOLD):
+    nodes, edges = P.failed_graph(spark, sf_dir)
+    runs, events = (facade.kept(x, "failed-runs") for x in P.failed_runs(spark, sf_dir))
+    return Z.localize_runs(facade.kept(nodes, "failed-nodes"), stored(edges), runs, events, threshold=threshold)
+
+
+@query(f"WITH {FAILED} SELECT run_id, node_id, score, rank, reason, n_evidence FROM ranked")
+def localized_runs(spark, sf_dir):
+    """Every candidate of all failed runs, localised together, with its rank in its run."""
+    found = _failed(spark, sf_dir)[0].select("run_id", "node_id", "score", "reason", F.size("evidence").cast("long").alias("n_evidence"))
+    return L.ranked(found, "node_id")
+
+
+@query(f"""WITH {FAILED},
+    way AS (SELECT run_id, string_agg(label, ' > ' ORDER BY seq) AS path FROM stack GROUP BY run_id),
+    tail AS (SELECT run_id, string_agg(label, ' > ' ORDER BY run DESC) AS path FROM executed JOIN fn USING (id) WHERE run < 4 GROUP BY run_id)
+    SELECT r.run_id, score >= 0.5 AS resolved, score AS confidence, CASE WHEN score >= 0.5 THEN node_id END AS cause, coalesce(way.path, tail.path) AS path, {_MISSING} AS missing,
+        CASE WHEN score >= 0.5 THEN CASE best {_ADVICE} ELSE 'Read through ' || label || ' with the failing input in mind.' END END AS suggested_fix
+    FROM ranked r LEFT JOIN way USING (run_id) LEFT JOIN tail USING (run_id) WHERE rank = 1""")
+def run_verdicts(spark, sf_dir):
+    """The result of every failed run."""
+    result = _failed(spark, sf_dir, "0.5")[1]
+    return result.select(
+        "run_id", "resolved", "confidence", F.col("root_cause.node_id").alias("cause"), F.array_join("propagation_path", " > ").alias("path"),
+        F.array_join("missing_sources", ",").alias("missing"), "suggested_fix",
+    )
+
+
 @query("""SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place, 'm' || (l_partkey % 9) || '.py' AS file, l_linenumber AS line,
     CASE WHEN l_partkey % 6 = 0 THEN '<module>' ELSE 'fn' || l_partkey END AS function FROM lineitem""")
 def traceback_frames(spark, sf_dir):
