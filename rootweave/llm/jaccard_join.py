@@ -33,7 +33,6 @@ from __future__ import annotations
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,14 +153,34 @@ def _linked(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, dtype=np.int64)[keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
 
+def _tiles(batches):
+    """Rows of one block, or of two blocks of a tile, at a time; they follow each other, across batches too."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if held and tuple(names[low]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(names[low])
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class _Block:
     """Members of one block, or of two blocks of a tile; `label` names their components."""
 
-    def __init__(self, frame: pd.DataFrame, percent: int):
-        self.nodes, self.own, self.percent = frame["node"].to_numpy(), frame["own"].to_numpy(), percent
-        self.label = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
-        self.across = frame["i"].iloc[0] != frame["j"].iloc[0]
-        self.sizes, self.maps = unpacked(frame["sketch"].tolist())
+    def __init__(self, rows: pa.Table, percent: int):
+        self.nodes, self.own, roots = (rows.column(c).to_numpy() for c in ("node", "own", "root"))
+        self.percent = percent
+        self.label = np.unique(roots, return_inverse=True)[1]
+        self.across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        self.sizes, self.maps = unpacked(rows.column("sketch").to_pylist())
 
     def partners(self, i: int) -> np.ndarray:
         """Later members of other components whose bitmaps leave room for a link; across blocks, of the other block."""
@@ -173,45 +192,71 @@ class _Block:
             near &= self.own[i + 1 :] != self.own[i]
         return np.flatnonzero(near) + i + 1
 
-    def joined(self, links) -> pd.DataFrame:
-        """Pairs that `links(i, j)` holds for, as many as join components and no more."""
+    def joined(self, links=None) -> list[tuple[int, int]]:
+        """Pairs within the bound that `links(i, j)` holds for, as many as join components and no more."""
         found = []
         for i in range(len(self.nodes) - 1):
             for j in self.partners(i).tolist():
-                if self.label[i] != self.label[j] and links(i, j):
+                if self.label[i] != self.label[j] and (links is None or links(i, j)):
                     found.append((min(self.nodes[i], self.nodes[j]), max(self.nodes[i], self.nodes[j])))
                     self.label[self.label == self.label[j]] = self.label[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return found
+
+    def undecided(self) -> np.ndarray:
+        """Members with a partner within the bound in another component."""
+        open_ = np.zeros(len(self.nodes), dtype=bool)
+        for i in range(len(self.nodes) - 1):
+            partners = self.partners(i)
+            open_[partners] = True
+            open_[i] |= len(partners) > 0
+        return self.nodes[open_]
+
+
+def _rows(found, names: list[str], size: int = 10_000):
+    """Pairs as record batches."""
+    held: list[tuple[int, int]] = []
+    for pairs in found:
+        held += pairs
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
+            held = []
+    columns = list(zip(*held, strict=True)) or [(), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _presumed(batches, percent: int):
+    return _rows((_Block(rows, percent).joined() for rows in _tiles(batches)), ["a", "b"])
+
 
+def _undecided(batches, percent: int):
+    return _rows(([(rows.column("key")[0].as_py(), node) for node in _Block(rows, percent).undecided()] for rows in _tiles(batches)), ["key", "node"])
 
-def _presumed(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    return _Block(frame, percent).joined(lambda i, j: True)
 
+def _compared(batches, percent: int):
+    def links(rows: pa.Table) -> list[tuple[int, int]]:
+        block = _Block(rows, percent)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+        return block.joined(lambda i, j: shared(sets[i], sets[j]) >= needed(block.sizes[i] + block.sizes[j], percent))
 
-def _compared(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    block = _Block(frame, percent)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
-    return block.joined(lambda i, j: shared(sets[i], sets[j]) >= needed(block.sizes[i] + block.sizes[j], percent))
+    return _rows(map(links, _tiles(batches)), ["a", "b"])
 
 
-def _undecided(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Members with a partner within the bound in another component."""
-    block = _Block(frame, percent)
-    open_ = np.zeros(len(frame), dtype=bool)
-    for i in range(len(frame) - 1):
-        partners = block.partners(i)
-        open_[partners] = True
-        open_[i] |= len(partners) > 0
-    return frame.loc[open_, ["key", "node"]]
+def _by_tile(rows: DataFrame, kernel, percent: int, schema: str) -> DataFrame:
+    """The kernel over the blocks of all tiles, many in a task."""
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(partial(kernel, percent=percent), schema).distinct()
 
 
 def _opened(tiles: DataFrame, roots: DataFrame, heads: DataFrame, total: int, weight: int) -> DataFrame:
     """key, i, j, own, node, root: members of the tiles that hold several components, dealt to blocks; a shingle weighs `weight` bytes."""
     labelled = tiles.join(roots, "node", "left").join(heads.select("node", "n_shingles"), "node").withColumn("root", F.coalesce("root", "node"))
     labelled = written(labelled.select("key", "node", "root", "n_shingles"), "join-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    members = [F.sum(h.cast("decimal(20,0)")).alias(name) for name, h in (("m1", F.xxhash64("node")), ("m2", F.xxhash64(F.lit(1), "node")))]
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), *members)
+    # tiles of the same members are one
+    mixed = mixed.filter("low < high").groupBy("n", "m1", "m2").agg(F.min("key").alias("key"), F.max("size").alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(weight * F.col("size") / BLOCK_BYTES)).cast("int")
-    mixed = written(mixed.filter("low < high").select("key", "n", blocks.alias("blocks")), "join-mixed")
+    mixed = written(mixed.select("key", "n", blocks.alias("blocks")), "join-mixed")
     rows = met_by_key(labelled.select("key", "node", "root"), mixed, "key", "n", total)
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -257,18 +302,17 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     # tiles that still hold several components are opened
     sketches = heads.select("node", "sketch")
     blocked = _opened(tiles, roots, heads, total, 1).join(sketches, "node")
-    presumed = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _presumed(frame, percent), "a long, b long").distinct()
+    presumed = _by_tile(blocked, _presumed, percent, "a long, b long")
     more = written(confirmed(presumed), "join-more")
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = written(components(links), "join-roots")
         blocked = _opened(tiles, roots, heads, total, 1).join(sketches, "node")
-    undecided = blocked.groupBy("key", "i", "j").applyInPandas(lambda frame: _undecided(frame, percent), "key long, node long").distinct()
-    undecided = written(undecided, "join-undecided")
+    undecided = written(_by_tile(blocked, _undecided, percent, "key long, node long"), "join-undecided")
     if not undecided.isEmpty():
         sets = _sets_of(undecided.select("node").distinct(), classes, repeated, plain, width, "join-sets")
         whole = _opened(undecided.select("node", "key"), roots, heads, total, 8).join(sketches, "node").join(sets, "node")
-        rest = written(whole.groupBy("key", "i", "j").applyInPandas(lambda frame: _compared(frame, percent), "a long, b long").distinct(), "join-rest")
+        rest = written(_by_tile(whole, _compared, percent, "a long, b long"), "join-rest")
         if not rest.isEmpty():
             roots = written(components(links.unionByName(rest)), "join-roots")
 
