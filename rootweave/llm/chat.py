@@ -153,7 +153,7 @@ def ordered(blocks: DataFrame) -> DataFrame:
     No task orders a whole conversation: turns are numbered in buckets of 4,096, null turns in buckets of their hash.
     """
     keyed = blocks.select("*", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string"))).alias("conv"))
-    keyed = keyed.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
+    keyed = written(keyed.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text")), "chat-keyed")  # keys of null conversations stand once written
     bucket = F.struct(F.coalesce(F.floor(F.col("turn") / 4096), F.lit(-(1 << 62))).alias("a"), F.when(F.col("turn").isNull(), F.shiftright("h", 52)).otherwise(0).alias("b"))
     found = Runs("conv", "bucket", ["turn", "h", "text"]).numbered(keyed.withColumn("bucket", bucket), "n")
     return written(found.drop("bucket", "h"), "chat-blocks")

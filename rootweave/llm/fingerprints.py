@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
-A text is cut to units: runs of up to four letters or digits, or one other character that is not
-white space. Every `k` adjacent units form a gram with a 32-bit hash. Of every `window` adjacent
+A text is cut to units: of letters and digits up to four, ending at the first a, o, 0 or 5 among them, so that
+cuts find back to each other after an edit inside a long unspaced run; of scripts without spaces one character;
+of others one that is not white space. Every `k` adjacent units form a gram with a 32-bit hash. Of every `window` adjacent
 grams the one of least hash is chosen, the rightmost of equals; a gram chosen by several windows
 is kept once, with its position. Two texts that share `window + k - 1` units share a
 fingerprint entry (the match guarantee).
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from rootweave.llm.common import shuffle_partitions, texts, written
 
+#: Scripts without spaces: Thai and Lao, Myanmar, Khmer, kana, Han, Hangul.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\U00020000-\U0003ffff"
+_WORD = r"\p{L}\p{M}\p{N}"
 #: Units of a text.
-UNIT = r"[\p{L}\p{M}\p{N}]{1,4}|[^\s\p{L}\p{M}\p{N}]"
+UNIT = rf"[{_UNSPACED}]|[{_WORD}]{{0,3}}?[ao05]|[{_WORD}]{{1,4}}|[^\s{_WORD}]"
 _TOP = (1 << 31) - 1
 
 

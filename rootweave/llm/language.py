@@ -220,14 +220,13 @@ def fit_any(docs: DataFrame, training: Column, per_language: int = 1500, centroi
     model = CentroidModel(bits, np.ones(1 << bits, dtype=np.float32), np.zeros((0, 1 << bits), dtype=np.float32), [], np.zeros((0, bits + 1)))
     if not labels:
         return model
-    # a hash below the label's threshold: about `per_language` rows, found where they are
+    # a hash below the label's threshold: about `per_language` rows at most, found where they are; repeated rows share a hash and count once
     thresholds = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_language / sizes[k]))])
     chance = (F.col("h").cast("double") / 2.0**64) + 0.5
-    sample = written(rows.filter(chance <= thresholds[F.col("lang")]), "language-sample")
+    sample = written(rows.filter(chance <= thresholds[F.col("lang")]).dropDuplicates(["lang", "h"]), "language-sample")
 
     def learned(chosen: DataFrame, held_too: bool) -> list:
-        found = chosen.mapInArrow(partial(_learned, bits=bits, held_too=held_too), "lang string, h long, frequencies binary")
-        return found.limit(2 * per_language * len(labels)).collect()
+        return chosen.mapInArrow(partial(_learned, bits=bits, held_too=held_too), "lang string, h long, frequencies binary").collect()  # the sample's size bounds it
 
     learning: dict[str, list[bytes]] = {}
     texts = learned(sample, False)

@@ -109,6 +109,17 @@ def test_fingerprint_query_equals_brute_force(spark, tmp_path):
         assert abs(r["near_edited"] - alike(sets(own), sets(new))) < 1e-12 and abs(r["near_next"] - alike(sets(own), sets(later))) < 1e-12
 
 
+def test_edits_of_unspaced_text_stay_local(spark):
+    rng = random.Random(3)
+    rows = []
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上国", "กขคงจฉชซญฎ", "0123456789"):
+        text = "".join(rng.choice(letters) for _ in range(1200))
+        rows += [(text, "x" + text), (text, text[:600] + "x" + text[600:])]
+    table = spark.createDataFrame(rows, "a string, b string")
+    own, new = (fingerprints.hashes(fingerprints.winnow(F.col(c))) for c in ("a", "b"))
+    assert all(r["like"] > 0.9 for r in table.select(fingerprints.likeness(own, new).alias("like")).collect())
+
+
 def test_documents_without_ids_have_neighbours_too(spark, rows):
     frame = spark.createDataFrame([(None if i % 3 else i, f"text {i % 7}") for i in range(60)], "doc_id long, text string").repartition(4)
     found = fingerprints.with_next(frame, bits=2).collect()
@@ -515,6 +526,14 @@ def test_wrongly_labelled_garbage_is_rejected_and_short_documents_stay(spark, ti
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(clean + short)))
 
 
+def test_a_much_repeated_row_counts_once(spark):
+    rng = random.Random(5)
+    rows = [(k, _text(rng, 30), "en" if k % 2 else "de") for k in range(400)] + [(7, "the same row again and again", "en")] * 3000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language.fit(table.repartition(n), F.lit(True), per_language=100) for n in (3, 5)]
+    assert models[0].labels == models[1].labels and np.allclose(models[0].centroids, models[1].centroids, atol=1e-5) and np.allclose(models[0].limits, models[1].limits, atol=1e-5)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "no label", None), (2, None, "en"), (3, "12 !", "en")]])
 def test_nothing_labelled_has_a_defined_result(spark, tmp_path, rows):
     import corpus_pipeline as cp
