@@ -133,6 +133,12 @@ def step_score(depth: Column, scores: dict[int, str]) -> Column:
     return out
 
 
+def format_date(value: Column) -> Column:
+    """A date and time as a reader writes it, in the session's time zone; what is no date stays as it is."""
+    at = F.try_to_timestamp(value)
+    return F.when(at.isNull(), value).otherwise(F.date_format(at, "M/d/yyyy, h:mm:ss a"))
+
+
 def artifact_name(source: Column) -> Column:
     return F.coalesce(_mapped(source, ARTIFACTS), F.initcap(F.replace(source, F.lit("_"), F.lit(" "))))
 

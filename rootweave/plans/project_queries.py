@@ -475,6 +475,7 @@ def labelled_nodes(spark, sf_dir):
         CASE WHEN b < 0 THEN '—' WHEN b < 1024 THEN printf('%.0f B', b) WHEN b < 10240 THEN printf('%.1f KB', b / 1024) WHEN b < 1048576 THEN printf('%.0f KB', b / 1024) WHEN b < 10485760 THEN printf('%.1f MB', b / 1048576)
             WHEN b < 1073741824 THEN printf('%.0f MB', b / 1048576) WHEN b < 10737418240 THEN printf('%.1f GB', b / 1073741824) ELSE printf('%.0f GB', b / 1073741824) END AS size,
         CASE WHEN page_id % 7 = 6 THEN '—' WHEN page_id % 7 + page_id / 1001 < 1 THEN printf('%.0f ms', page_id / 1001 * 1000) ELSE printf('%.2f s', page_id % 7 + page_id / 1001) END AS duration, printf('%.3f', page_id / 1001) AS score,
+        CASE WHEN page_id % 3 = 0 THEN strftime(TIMESTAMP '2026-01-01 00:00:07' + to_hours(page_id * 5), '%-m/%-d/%Y, %-I:%M:%S %p') ELSE url END AS date,
         CASE WHEN length(url) > 18 THEN substr(url, 1, 17) || '…' ELSE url END AS brief,
         CASE WHEN length(url) > 20 THEN substr(url, 1, 20) || chr(10) || '... [truncated]' ELSE url END AS cut, page_id % 5 IN (0, 1, 3) AS python_test, page_id % 5 IN (2, 3) AS compiled_test FROM u JOIN pages USING (page_id, url)""")
 def text_functions(spark, sf_dir):
@@ -482,6 +483,8 @@ def text_functions(spark, sf_dir):
     p, col = S.table(spark, sf_dir, "pages"), F.col
     pick = lambda n, *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (col("page_id") % n + 1).cast("int"))
     number = col("page_id").cast("string")
+    hours = F.to_timestamp(F.lit("2026-01-01 00:00:07")) + F.make_interval(hours=(col("page_id") * 5).cast("int"))
+    day = F.when(col("page_id") % 3 == 0, F.date_format(hours, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(col("url"))
     u = p.withColumns({
         "lang": pick(4, " python ", "C++", "c", "java"), "q": pick(3, "a.b.C.run", "run", "C.run"), "num": pick(3, F.concat(F.lit(" "), number, F.lit(" ")), F.concat(number, F.lit("x")), F.lit("")),
         "inc": pick(3, "<dir/x.h>", '"y.h"', "z.h"), "path": pick(5, "tests_a.py", "src/A_Test.py", "pkg/tests/t.c", "test_main.c", "src/contest.py"),
@@ -493,7 +496,7 @@ def text_functions(spark, sf_dir):
         T.repository_name(F.concat("url", F.lit("/x.git//"))).alias("repository"), T.include_name(col("inc")).alias("include"), T.is_identifier(col("q")).alias("identifier"), T.defines_main(col("html")).alias("has_main"),
         T.linear_score(col("page_id") % 9, "0.2", "0.2").cast("double").alias("linear"), T.step_score(col("page_id") % 5, Z.CALLER_SCORES).cast("double").alias("stepped"), T.artifact_name(col("source")).alias("artifact"),
         T.format_bytes(col("page_id") * col("page_id") * col("page_id") * 977 - 976).alias("size"),
-        T.format_duration(F.when(col("page_id") % 7 == 6, -1.0).otherwise(col("page_id") % 7 + col("page_id") / 1001.0)).alias("duration"), T.format_score(col("page_id") / 1001.0).alias("score"), T.shortened(col("url"), 18).alias("brief"), T.truncated(col("url"), 20).alias("cut"), T.is_python_test(col("path")).alias("python_test"), T.is_compiled_test(col("path")).alias("compiled_test"),
+        T.format_duration(F.when(col("page_id") % 7 == 6, -1.0).otherwise(col("page_id") % 7 + col("page_id") / 1001.0)).alias("duration"), T.format_score(col("page_id") / 1001.0).alias("score"), T.format_date(day).alias("date"), T.shortened(col("url"), 18).alias("brief"), T.truncated(col("url"), 20).alias("cut"), T.is_python_test(col("path")).alias("python_test"), T.is_compiled_test(col("path")).alias("compiled_test"),
     )
 
 
@@ -530,3 +533,18 @@ def knowledge_summary(spark, sf_dir):
 def trace_documents(spark, sf_dir):
     """Every recorded run as one JSON document."""
     return recordings.trace_documents(P.recorded(spark, sf_dir)[0])
+
+
+@query(f"""WITH {ENTITIES},
+    ev AS (SELECT DISTINCT l_orderkey || CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS run_id, l_linenumber * 1048576 + k AS pos, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE what = 'function'),
+    la AS (SELECT run_id, max(pos) AS pos FROM ev GROUP BY run_id),
+    j AS (SELECT run_id, pos, 'call' AS type, function, filename, NULL AS exception FROM ev
+        UNION ALL SELECT run_id, pos + 1, 'exception', function, filename, 'Error' || (k % 3) || ': part ' || k FROM ev JOIN la USING (run_id, pos) WHERE k % 5 = 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS seq FROM j)
+    SELECT run_id, seq, type, function, filename, CAST(pos % 1000 AS INTEGER) AS lineno, exception FROM n WHERE pos % 7 <> 0 AND seq < 5 AND run_id NOT LIKE '%99Python'""")
+def read_back_traces(spark, sf_dir):
+    """Every recorded run, written as a document and read again: the first five events, less those without a line; some documents are cut off."""
+    events = P.recorded(spark, sf_dir)[0].withColumn("lineno", F.when(F.col("seq") % 7 != 0, (F.col("seq") % 1000).cast("int")))
+    cut = F.when(F.col("run_id").endswith("99Python"), F.expr("substring(document, 1, 30)")).otherwise(F.col("document"))
+    found = recordings.traces_of(recordings.trace_documents(events).withColumn("document", cut), 5)
+    return found.select("run_id", "seq", "type", "function", "filename", "lineno", "exception")
