@@ -13,13 +13,15 @@ from rootweave.functions.text import LANGUAGES, language_rank
 from rootweave.operators import graph as G
 from rootweave.operators import listing as L
 from rootweave.operators import trace as X
+from rootweave.operators.adjacency import stored
 from rootweave.operators.traverse import kept
 from rootweave.plans import knowledge as K
 from rootweave.plans.explain import explain
-from rootweave.plans.localize import localize
+from rootweave.plans.localize import localize, localize_runs
 from rootweave.plans.records import Missing, NotReady, Registry
 from rootweave.sources import files as S
 from rootweave.sources import parsers as P
+from rootweave.sources.parse_cache import ParseCache
 
 GRAPHS = {"dependency": K.dependency_graph, "call": K.call_graph, "cfg": K.control_flow, "dataflow": K.data_flow}
 
@@ -38,9 +40,9 @@ def project_summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("file_count"), F.count_if(F.col("language").isNotNull()).alias("source_file_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"), F.transform(languages, lambda x: x["name"]).alias("languages"))
 
 
-def analysis(files: DataFrame) -> DataFrame:
-    """Parsed modules, written once: every graph reads them."""
-    return kept(P.modules(files), "modules")
+def analysis(files: DataFrame, cache: ParseCache | None = None) -> DataFrame:
+    """Parsed modules, written once: every graph reads them. A cache parses only files that it has not seen."""
+    return cache.modules(files) if cache else kept(P.modules(files), "modules")
 
 
 def project_archive(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -120,6 +122,11 @@ def localization(graph: K.KnowledgeGraph, run: DataFrame, events: DataFrame, **o
     return localize(graph.nodes, graph.edges, run, events, **options)
 
 
+def localizations(graph: K.KnowledgeGraph, runs: DataFrame, events: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Candidates and results of all failed runs together; `explanation` takes such results and runs too."""
+    return localize_runs(graph.nodes, stored(graph.edges), runs, events, **options)
+
+
 def explanation(project_id: str, graph: K.KnowledgeGraph, result: DataFrame, run: DataFrame) -> DataFrame:
     return explain(project_id, result, graph.nodes, run)
 
