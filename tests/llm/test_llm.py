@@ -128,7 +128,7 @@ def test_documents_without_ids_have_neighbours_too(spark, rows):
 
 
 def test_ties_take_the_rightmost(spark):
-    df = spark.createDataFrame([(" ".join(["same"] * 12),)], "text string")
+    df = spark.createDataFrame([(" ".join(["mine"] * 12),)], "text string")
     f = df.select(fingerprints.positions(fingerprints.winnow(F.col("text"), 2, 4)).alias("p")).first()["p"]
     assert f == list(range(3, 11))
 
