@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rootweave.functions import text as T
@@ -10,6 +12,7 @@ from rootweave.operators import listing as L
 from rootweave.operators import resolve as R
 from rootweave.operators import trace as X
 from rootweave.operators.adjacency import stored
+from rootweave.operators.traverse import shared_folder
 from rootweave.plans import explain, facade
 from rootweave.plans import knowledge as K
 from rootweave.plans import localize as Z
@@ -17,6 +20,7 @@ from rootweave.plans import project as P
 from rootweave.plans import views as S
 from rootweave.plans.register import query
 from rootweave.sources import files as SF
+from rootweave.sources import long_traces as LT
 from rootweave.sources import recordings
 from rootweave.sources.recordings import traceback_frames as frames_of
 
@@ -548,3 +552,19 @@ def read_back_traces(spark, sf_dir):
     cut = F.when(F.col("run_id").endswith("99Python"), F.expr("substring(document, 1, 30)")).otherwise(F.col("document"))
     found = recordings.traces_of(recordings.trace_documents(events).withColumn("document", cut), 5)
     return found.select("run_id", "seq", "type", "function", "filename", "lineno", "exception")
+
+
+@query(f"""WITH {ENTITIES},
+    ev AS (SELECT DISTINCT CASE WHEN ends_with(path, '.c') THEN 'C' ELSE 'Python' END AS run_id, l_orderkey AS o, l_linenumber * 1048576 + k AS pos, name AS function, '/srv/' || path AS filename, k FROM lineitem JOIN e ON k = l_partkey WHERE what = 'function'),
+    la AS (SELECT run_id, o, max(pos) AS pos FROM ev GROUP BY run_id, o),
+    j AS (SELECT run_id, o, pos, 'call' AS type, function, filename, NULL AS exception FROM ev
+        UNION ALL SELECT run_id, o, pos + 1, 'exception', function, filename, 'Error' || (k % 3) || ': part ' || k FROM ev JOIN la USING (run_id, o, pos) WHERE k % 5 = 0)
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o, pos) - 1 AS seq, type, function, filename, CAST(pos % 1000 AS INTEGER) AS lineno, exception FROM j""")
+def long_traces(spark, sf_dir):
+    """All recorded runs of a language as one run, written as a document in parts and read back piece by piece."""
+    order = F.regexp_extract("run_id", r"^(\d+)", 1).cast("long")
+    lineno = (F.col("seq") % 1000).cast("int")
+    events = P.recorded(spark, sf_dir)[0].select(F.col("language").alias("run_id"), (order * (1 << 24) + F.col("seq")).alias("seq"), "type", "function", "filename", lineno.alias("lineno"), "exception")
+    folder = f"{shared_folder(spark)}/traces_{uuid.uuid4().hex}"
+    LT.write_trace_parts(LT.trace_parts(events), folder)
+    return LT.read_long_traces(spark, folder, folders=True).select("run_id", "seq", "type", "function", "filename", "lineno", "exception")
