@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from rootweave.functions import text as T
 from rootweave.operators import graph as G
@@ -85,6 +89,20 @@ RUNTIME = r"""
     after AS (SELECT DISTINCT b AS source, node AS target FROM stepped WHERE b IS NOT NULL AND b <> node)"""
 
 
+@F.pandas_udf(BinaryType())
+def packed(files: pd.Series) -> pd.Series:
+    """A zip archive of each list of (path, text)."""
+
+    def archive(listed) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as opened:
+            for file in listed:
+                opened.writestr(file["path"], file["text"])
+        return out.getvalue()
+
+    return files.map(archive)
+
+
 SOURCES = rf"""{ENTITIES}, {IMPORTS},
     heads AS (SELECT path, module, row_number() OVER (PARTITION BY path ORDER BY module) AS line FROM (SELECT DISTINCT path, CASE WHEN ends_with(path, '.py') THEN replace(module, '/', '.') ELSE module END AS module FROM imp)),
     sized AS (SELECT e.* EXCLUDE line, ends_with(e.path, '.py') AS python, CASE what WHEN 'function' THEN CASE WHEN python THEN 6 ELSE 4 END WHEN 'class' THEN 4 ELSE 2 END AS n,
@@ -568,3 +586,13 @@ def long_traces(spark, sf_dir):
     folder = f"{shared_folder(spark)}/traces_{uuid.uuid4().hex}"
     LT.write_trace_parts(LT.trace_parts(events), folder)
     return LT.read_long_traces(spark, folder, folders=True).select("run_id", "seq", "type", "function", "filename", "lineno", "exception")
+
+
+@query("SELECT 'a' || (doc_id // 50) AS archive, doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS size_bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def archived_files(spark, sf_dir):
+    """Documents, packed into zip archives of up to fifty, and the archives' members."""
+    docs = S.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("a"), F.floor(F.col("doc_id") / 50).cast("string"))
+    content = packed(F.collect_list(F.struct(F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))))
+    archives = docs.groupBy(name.alias("path")).agg(content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return SF.members_of(archives).select("archive", "path", "size_bytes", F.md5("content").alias("digest"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,31 +108,63 @@ def in_order(files: DataFrame) -> DataFrame:
     return files.drop("text", "content").orderBy("path")
 
 
-def zipped_files(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
-    """archive, path, size_bytes and content of the members of zip archives; a single top folder is left out.
-
-    Archives are unpacked in tasks, member by member. One that is too large, is no archive, or has a member
-    outside its folder fails the read.
+def _members(archive: str, content: bytes, max_bytes: int) -> pd.DataFrame:
+    """Members as the archive's directory lists them, still packed; no member is unpacked here."""
+    with zipfile.ZipFile(io.BytesIO(content)) as opened:
+        listed = [m for m in opened.infolist() if not m.is_dir()]
+    if any(m.filename.startswith("/") or ".." in re.split(r"[\\/]", m.filename) for m in listed):
+        raise ValueError(f"{archive} has a member outside its folder")
+    if sum(m.file_size for m in listed) > max_bytes:
+        raise ValueError(f"{archive} is too large unpacked")
+    if any(m.flag_bits & 1 or m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) for m in listed):
+        raise ValueError(f"{archive} has a member that is encrypted or packed in an unknown way")
+    shared = len({m.filename.partition("/")[0] for m in listed}) == 1 and all("/" in m.filename for m in listed)
+    rows = []
+    for number, m in enumerate(listed):
+        # A member's own header has 30 bytes, its name and extra fields, whose lengths stand at 26 and 28.
+        name_size, extra_size = struct.unpack_from("<HH", content, m.header_offset + 26)
+        start = m.header_offset + 30 + name_size + extra_size
+        name = m.filename.partition("/")[2] if shared else m.filename
+        rows.append((archive, number, name, m.file_size, m.CRC, m.compress_type == zipfile.ZIP_DEFLATED, content[start : start + m.compress_size]))
+    return pd.DataFrame(rows, columns=["archive", "number", "path", "size_bytes", "crc", "deflated", "packed"])
+
+
+def _unpacked(name: str, size: int, crc: int, deflated: bool, packed: bytes) -> bytes:
+    raw = zlib.decompressobj(-zlib.MAX_WBITS).decompress(packed, size + 1) if deflated else bytes(packed)
+    if len(raw) != size or zlib.crc32(raw) != crc:
+        raise ValueError(f"{name} is damaged")
+    return raw
+
+
+def zipped_files(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1024, parts: int | None = None) -> DataFrame:
+    """`members_of` for the archives that a path names."""
+    return members_of(spark.read.format("binaryFile").load(path), max_bytes, parts)
+
+
+def members_of(archives: DataFrame, max_bytes: int = 200 * 1024 * 1024, parts: int | None = None) -> DataFrame:
+    """archive, path, size_bytes and content of the members of zip archives(path, length, content); a single top folder is left out.
+
+    A task reads an archive's directory and hands its members on as they are; they are unpacked after a shuffle by
+    member, in `parts` tasks. An archive that is too large, packed or unpacked, is none, is damaged, encrypted, or has a
+    member outside its folder fails the read.
     """
 
-    def members(frames):
+    def directory(frames):
         for frame in frames:
             for archive, size, content in zip(frame["path"], frame["length"], frame["content"], strict=True):
                 if size > max_bytes:
                     raise ValueError(f"{archive} is too large")
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    names = [n for n in opened.namelist() if not n.endswith("/")]
-                    if any(n.startswith("/") or ".." in re.split(r"[\\/]", n) for n in names):
-                        raise ValueError(f"{archive} has a member outside its folder")
-                    tops = {n.partition("/")[0] for n in names}
-                    shared = len(tops) == 1 and all("/" in n for n in names)
-                    for name in names:
-                        raw = opened.read(name)
-                        short = name.partition("/")[2] if shared else name
-                        yield pd.DataFrame({"archive": [archive], "path": [short], "size_bytes": [len(raw)], "content": [raw]})
-
-    found = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    return found.mapInPandas(members, "archive string, path string, size_bytes long, content binary")
+                yield _members(archive, content, max_bytes)
+
+    def unpacked(frames):
+        for frame in frames:
+            columns = (frame[c] for c in ("path", "size_bytes", "crc", "deflated", "packed"))
+            yield frame[["archive", "path", "size_bytes"]].assign(content=[_unpacked(*row) for row in zip(*columns, strict=True)])
+
+    packed = archives.select("path", "length", "content").mapInPandas(directory, "archive string, number int, path string, size_bytes long, crc long, deflated boolean, packed binary")
+    by = ("archive", "number")
+    spread = packed.repartition(parts, *by) if parts else packed.repartition(*by)
+    return spread.mapInPandas(unpacked, "archive string, path string, size_bytes long, content binary")
 
 
 def entry_points(files: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ import json
 import zipfile
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from rootweave.functions import text as T
 from rootweave.operators import trace as X
 from rootweave.plans import facade as A
+from rootweave.sources import files as S
 from rootweave.streaming.replay import DEPTHS, event_stream, live_depths
 
 
@@ -91,6 +93,25 @@ def test_archives_are_read_in_tasks(spark, tmp_path):
         A.project_archive(spark, str(tmp_path / "bad.zip")).count()
 
 
+def test_members_of_one_archive_are_unpacked_by_several_tasks(spark, tmp_path):
+    texts = {f"top/m{i}.py": f"x = {i}\n" * (i * 40) for i in range(40)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for i, (name, text) in enumerate(texts.items()):
+            archive.writestr(name, text, zipfile.ZIP_STORED if i % 7 == 0 else None)
+        archive.writestr("top/sub/", "")
+    found = S.zipped_files(spark, str(tmp_path / "a.zip"), parts=4)
+    rows = found.select("path", F.col("content").cast("string").alias("text"), "size_bytes", F.spark_partition_id().alias("task")).collect()
+    assert {"top/" + r["path"]: r["text"] for r in rows} == texts and all(r["size_bytes"] == len(r["text"]) for r in rows)
+    assert len({r["task"] for r in rows}) == 4
+    with pytest.raises(PythonException, match="too large unpacked"):
+        S.zipped_files(spark, str(tmp_path / "a.zip"), max_bytes=100_000).count()
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.index(b"m9.py") + 12] ^= 255
+    (tmp_path / "b.zip").write_bytes(bytes(raw))
+    with pytest.raises(PythonException, match="damaged|invalid|Error"):
+        S.zipped_files(spark, str(tmp_path / "b.zip")).collect()
+
+
 def test_live_depths_keep_state_between_batches(spark, tmp_path):
     rows = [("call", 0), ("call", 1), ("return", 2), ("return", 3), ("return", 4), ("call", 5)]
     source = tmp_path / "in"
