@@ -93,6 +93,23 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.select("path", F.when(python, "Python").otherwise("C").alias("language"), text.alias("text"))
 
 
+def native_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language, text: the parts written out as C++, in order of their part: templates, namespaces, nested types, initialisers."""
+    k, name, what = F.col("k"), F.col("name"), F.col("what")
+    function = _text(
+        "template <typename T>\nstatic std::vector<T> *", name, "(const T *a, int b[2][3], std::map<int, T> &c, int d = 1)\n{\n    Dog e(1); // no(1)\n",
+        '    if (a > ns::deep::call', k % 7, "(b)) { return c->put", k % 5, '(R"x( no( )x"); }\n}\n',
+    )
+    kind = _text(
+        "namespace n", k % 5, " {\nclass ", name, " : public Base", k % 9, "<int, char>, private std::Other, virtual Plain {\npublic:\n    ", name, "(int x) : v{x}, w(get", k % 3, "(x)) { start(); }\n",
+        "    int fn", k % 7, "(char *const name, int (*back)(int)) const;\n    bool operator==(const ", name, " &o) const { return same(o); }\nprivate:\n    struct In", k % 4, " { int z; };\n    int v, w = 3;\n};\n}\n",
+    )
+    variable = _text("#define BAD { ( \\\n    more {\nclass Later;\nint proto(int a);\nstatic const char *", name, '[2][2] = {{"a{", "b)"}};\n')
+    body = F.when(what == "function", function).when(what == "class", kind).otherwise(variable)
+    items = entities(spark, sf_dir).withColumn("path", F.regexp_replace("path", r"\.\w+$", ".cpp"))
+    return _listed(items, body, "parts").select("path", F.lit("C++").alias("language"), F.array_join("parts", "").alias("text"))
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(events, errors): every order as a run for each language, its lines as calls; a run whose last part is a multiple of five fails in its last call."""
     items = entities(spark, sf_dir)

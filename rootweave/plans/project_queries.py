@@ -110,6 +110,14 @@ SOURCES = rf"""{ENTITIES}, {IMPORTS},
     placed AS (SELECT *, CAST(before + sum(n) OVER (PARTITION BY path ORDER BY k) - n + 1 AS INTEGER) AS line, 'x' || (k % 6) AS x, CASE WHEN python AND k % 4 = 0 THEN 'self.' ELSE '' END || 'fn' || ((k * 3) % 40) AS call FROM sized)"""
 
 
+def _symbols(found):
+    functions = K.functions_of(found).select("path", F.when(F.col("owner").isNull(), "function").otherwise("method").alias("what"), F.col("qualname").alias("name"), "line", F.concat_ws(" ", F.array_join("params", ","), F.array_join("calls", ",")).alias("detail"))
+    classes = K.classes_of(found).select("path", F.lit("class").alias("what"), "name", "line", F.array_join("bases", ",").alias("detail"))
+    variables = K.variables_of(found).select("path", F.lit("variable").alias("what"), "name", "line", F.lit("").alias("detail"))
+    imports = found.select("path", F.inline("imports")).select("path", F.lit("import").alias("what"), F.col("module").alias("name"), "line", F.lit("").alias("detail"))
+    return functions.unionByName(classes).unionByName(variables).unionByName(imports)
+
+
 @query(f"""WITH {SOURCES}
     SELECT path, 'import' AS what, module AS name, CAST(line AS INTEGER) AS line, '' AS detail FROM heads
     UNION ALL SELECT path, 'function', name, line, CASE WHEN python THEN 'a,b' ELSE 'a,*b' END || ' ' || call FROM placed WHERE what = 'function'
@@ -118,12 +126,7 @@ SOURCES = rf"""{ENTITIES}, {IMPORTS},
     UNION ALL SELECT path, 'variable', name, line, '' FROM placed WHERE what = 'variable'""")
 def parsed_symbols(spark, sf_dir):
     """What the parsers find in the written program."""
-    found = facade.analysis(P.sources(spark, sf_dir))
-    functions = K.functions_of(found).select("path", F.when(F.col("owner").isNull(), "function").otherwise("method").alias("what"), F.col("qualname").alias("name"), "line", F.concat_ws(" ", F.array_join("params", ","), F.array_join("calls", ",")).alias("detail"))
-    classes = K.classes_of(found).select("path", F.lit("class").alias("what"), "name", "line", F.array_join("bases", ",").alias("detail"))
-    variables = K.variables_of(found).select("path", F.lit("variable").alias("what"), "name", "line", F.lit("").alias("detail"))
-    imports = found.select("path", F.inline("imports")).select("path", F.lit("import").alias("what"), F.col("module").alias("name"), "line", F.lit("").alias("detail"))
-    return functions.unionByName(classes).unionByName(variables).unionByName(imports)
+    return _symbols(facade.analysis(P.sources(spark, sf_dir)))
 
 
 @query(f"""WITH {SOURCES}, f AS (SELECT path || '::' || name AS id FROM placed WHERE what = 'function' AND python), m AS (SELECT path || '::fn' || (k % 7) AS id FROM placed WHERE what = 'class' AND python),
@@ -596,3 +599,18 @@ def archived_files(spark, sf_dir):
     content = packed(F.collect_list(F.struct(F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))))
     archives = docs.groupBy(name.alias("path")).agg(content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     return SF.members_of(archives).select("archive", "path", "size_bytes", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {ENTITIES},
+    sized AS (SELECT e.* EXCLUDE (line, path), regexp_replace(path, '[.][a-z]+$', '.cpp') AS path, CASE what WHEN 'function' THEN 6 WHEN 'class' THEN 11 ELSE 5 END AS n FROM e),
+    placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY path ORDER BY k) - n AS INTEGER) AS before FROM sized)
+    SELECT path, 'function' AS what, name, before + 2 AS line, '*a,b[2][3],&c call' || (k % 7) || ',put' || (k % 5) AS detail FROM placed WHERE what = 'function'
+    UNION ALL SELECT path, 'class', name, before + 2, 'Base' || (k % 9) || '<int, char>,Plain' FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'class', 'In' || (k % 4), before + 8, '' FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'method', name, before + 4, 'x get' || (k % 3) || ',start' FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'method', 'fn' || (k % 7), before + 5, '*const name,(*back)(int) ' FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'method', 'operator==', before + 6, '&o same' FROM placed WHERE what = 'class'
+    UNION ALL SELECT path, 'variable', name, before + 5, '' FROM placed WHERE what = 'variable'""")
+def native_symbols(spark, sf_dir):
+    """What the scanner finds in the parts written out as C++."""
+    return _symbols(facade.analysis(P.native_sources(spark, sf_dir)))

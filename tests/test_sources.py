@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rootweave.plans import knowledge as K
@@ -151,6 +153,56 @@ def test_c_parameters_bases_and_calls():
     assert [(f["name"], f["params"], f["calls"]) for f in found["functions"]] == [("run", ["*b"], ["put", "go", "first", "second"])]
 
 
+def test_cpp_scopes_and_declarators():
+    text = """#define BAD(x) { ( \\
+   more {
+namespace n1 { inline namespace v2 {
+template <typename T, class U = std::map<int, T>>
+class Box final : public Holder<int, char>, private std::Other, virtual Plain {
+public:
+    explicit Box(int x) : v{x}, w(size(x)), Base<T>{x} { start(x); }
+    ~Box() noexcept override = default;
+    int operator()(int a) const;
+    int (*handler)(int);
+    std::vector<int> items{1, 2};
+    struct In { int z; void go(); };
+    enum Kind { A, B };
+};
+}}
+std::map<std::string, int> table = make();
+struct Point { int x; } origin = {1};
+class Later;
+enum Color { RED } color;
+extern "C" {
+int c_way(void);
+int c_body(unsigned int, struct Box *b) { return b->put(0); }
+}
+int (*fp)(int);
+typedef struct { int a; } Named;
+auto lam = [](int a) { return hidden(a); };
+template <typename T>
+static std::vector<T>
+n1::Box<T>::build(const T *a, Foo&) const
+{
+    if (a > f(b)) { return ns::deep::call(g(1)); }
+    Dog d(1); d.bark(); int(x); std::string s = R"x( no( )x";
+}
+"""
+    found = P.parse_c_family(text, "a.cpp")
+    assert [(f["name"], f["params"], f["line"], f["calls"]) for f in found["functions"]] == [("c_body", ["*b"], 22, ["put"]), ("build", ["*a"], 28, ["f", "call", "g", "bark"])]
+    assert [(c["name"], c["bases"], c["line"]) for c in found["classes"]] == [("Box", ["Holder<int, char>", "Plain"], 5), ("In", [], 12), ("Point", [], 17)]
+    methods = [(m["name"], m["calls"]) for m in found["classes"][0]["methods"]]
+    assert methods == [("Box", ["size", "start"]), ("~Box", []), ("operator()", [])]
+    assert [v["name"] for v in found["variables"]] == ["table", "origin", "color", "lam"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("{ } ( ) [ ] < > ; : , = * & ~ :: -> class struct enum namespace template operator typedef int x f \" ' /* // # R\"x( \n".split(" ")), max_size=40))
+def test_any_text_is_scanned_to_its_end(words):
+    for path in ("a.c", "a.cpp"):
+        P.parse_c_family(" ".join(words), path)
+
+
 def test_trace_json(spark, tmp_path):
     good = {"type": "call", "function": "main", "filename": "main.py", "lineno": 5, "timestamp": 0.01, "depth": 0, "variables": {}, "exception": None}
     (tmp_path / "t.json").write_text(json.dumps({"events": [good, {"type": "odd"}, good, good], "last_exception": None}))
