@@ -118,3 +118,30 @@ def test_many_runs_are_localised_together(spark):
     assert verdicts["one"]["root_cause"]["node_id"] == "tax.py::rate" and verdicts["one"]["propagation_path"] == ["checkout", "net", "rate"] and verdicts["one"]["confidence"] == 0.514
     assert verdicts["two"]["root_cause"]["node_id"] == "price.py::net" and verdicts["two"]["propagation_path"] == ["checkout", "net"]
     assert not verdicts["three"]["has_candidates"] and verdicts["three"]["propagation_path"] == [] and verdicts["three"]["confidence"] == 0.0
+
+
+def test_a_result_does_not_need_every_holder_of_a_name(spark):
+    """n runs whose frames hold a name of n variables: results are those of all n * n candidates, from a few a run."""
+    n = 40
+    nodes = [(f"f{i}.py::fn{i}", "function", f"fn{i}", f"f{i}.py", i) for i in range(n)] + [(f"f{i}.py", "module", f"f{i}.py", f"f{i}.py", None) for i in range(n)]
+    nodes += [(f"f{i}.py::fn{i}::v", "variable", "v", None, None) for i in range(n)]
+    nodes += [(f"f{i}.py::fn{i}:block0", "condition", "if", None, i + 1) for i in range(0, n, 3)]
+    edges = [(f"f{i}.py::fn{i}", f"f{(i + 1) % n}.py::fn{(i + 1) % n}::v", "writes") for i in range(n)] + [(f"f{i}.py", f"f{i - 1}.py", "imports") for i in range(1, n, 2)]
+    graph = spark.createDataFrame([(*x, False, at) for at, x in enumerate(nodes)], "id string, kind string, label string, file string, line int, runtime boolean, ord long")
+    links = spark.createDataFrame(edges, "source string, target string, kind string")
+    text = 'Traceback (most recent call last):\n  File "/srv/f{0}.py", line {1}, in gone\nE: x\n'
+    runs = spark.createDataFrame([(f"r{i}", "Python", text.format(i, i + 2) if i % 4 else None, "E", "x") for i in range(n)], "run_id string, language string, stderr string, exception_type string, exception_message string")
+    events = spark.createDataFrame([(f"r{i}", 0, "exception", "gone", f"/srv/f{i}.py", {"v": "1"}) for i in range(n)], "run_id string, seq long, type string, function string, filename string, variables map<string,string>")
+    functions = graph.filter("kind = 'function'").select("id", Z.F.col("label").alias("name"), "file")
+    stored = A.stored(links)
+    crash = Z.kept(Z.crashes(graph, stored, runs, functions), "crash")
+    own, held, named, facts, files = Z._tables(graph, stored, crash, events, functions)
+    fields = ["run_id", "confidence", "summary", "root_cause", "propagation_path", "evidence_summary", "missing_sources", "location"]
+
+    def results(rows):
+        ranked = Z.rank_candidates(Z.described(rows, facts, crash, files))
+        return sorted(Z.result(ranked, crash, graph, "0.2").select(*fields).collect())
+
+    every, few = Z.candidates(own, held, named), Z.leading(own, held, named, facts, crash, files)
+    assert every.count() >= n * n and few.count() <= 12 * n
+    assert results(few) == results(every)
