@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -228,3 +229,13 @@ def test_unchanged_files_need_no_parse(spark):
     parsed = files.filter("path = 'a.py'").withColumn("content_key", content_key(F.col("text")))
     hits, misses = S.unchanged(files, parsed)
     assert [r["path"] for r in hits.collect()] == ["a.py"] and [r["path"] for r in misses.collect()] == ["b.py"]
+
+
+def test_a_batch_is_parsed_in_small_frames():
+    texts = [f"def f{i}(a):\n    return a\n" if i % 5 else "def (" for i in range(500)]
+    frame = pd.DataFrame({"path": [f"m{i}.py" for i in range(500)], "language": "Python", "text": texts})
+    found = list(P.parsed_frames([frame, frame[:1], frame[:0]], P.PARSERS))
+    assert max(map(len, found)) <= 64
+    rows = pd.concat(found)
+    assert list(rows["path"]) == [*frame["path"], "m0.py"]
+    assert rows["parse_error"].notna().sum() == 101 and sum(map(len, rows["functions"])) == 400
