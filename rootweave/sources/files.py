@@ -141,27 +141,34 @@ def zipped_files(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1
     return members_of(spark.read.format("binaryFile").load(path), max_bytes, parts)
 
 
+#: Members that a task has unpacked at once.
+AT_ONCE = 64
+
+
 def members_of(archives: DataFrame, max_bytes: int = 200 * 1024 * 1024, parts: int | None = None) -> DataFrame:
     """archive, path, size_bytes and content of the members of zip archives(path, length, content); a single top folder is left out.
 
-    A task reads an archive's directory and hands its members on as they are; they are unpacked after a shuffle by
-    member, in `parts` tasks. An archive that is too large, packed or unpacked, is none, is damaged, encrypted, or has a
+    A task reads an archive's directory and hands its members on as they are, an archive at a time; they are unpacked after a shuffle by
+    member, in `parts` tasks, `AT_ONCE` at a time. An archive that is too large, packed or unpacked, is none, is damaged, encrypted, or has a
     member outside its folder fails the read.
     """
 
-    def directory(frames):
-        for frame in frames:
-            for archive, size, content in zip(frame["path"], frame["length"], frame["content"], strict=True):
-                if size > max_bytes:
-                    raise ValueError(f"{archive} is too large")
-                yield _members(archive, content, max_bytes)
+    def directory(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for archive, size, content in zip(frame["path"], frame["length"], frame["content"], strict=True):
+            if size > max_bytes:
+                raise ValueError(f"{archive} is too large")
+            found.append(_members(archive, content, max_bytes))
+        return pd.concat(found) if len(found) > 1 else found[0]
 
     def unpacked(frames):
-        for frame in frames:
-            columns = (frame[c] for c in ("path", "size_bytes", "crc", "deflated", "packed"))
-            yield frame[["archive", "path", "size_bytes"]].assign(content=[_unpacked(*row) for row in zip(*columns, strict=True)])
+        for whole in frames:
+            for start in range(0, len(whole), AT_ONCE):
+                frame = whole.iloc[start : start + AT_ONCE]
+                columns = (frame[c] for c in ("path", "size_bytes", "crc", "deflated", "packed"))
+                yield frame[["archive", "path", "size_bytes"]].assign(content=[_unpacked(*row) for row in zip(*columns, strict=True)])
 
-    packed = archives.select("path", "length", "content").mapInPandas(directory, "archive string, number int, path string, size_bytes long, crc long, deflated boolean, packed binary")
+    packed = archives.select("path", "length", "content").groupBy("path").applyInPandas(directory, "archive string, number int, path string, size_bytes long, crc long, deflated boolean, packed binary")
     by = ("archive", "number")
     spread = packed.repartition(parts, *by) if parts else packed.repartition(*by)
     return spread.mapInPandas(unpacked, "archive string, path string, size_bytes long, content binary")

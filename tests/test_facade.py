@@ -1,5 +1,6 @@
 """From source files and a recorded crash to the report, and the live form of replay."""
 
+import io
 import json
 import zipfile
 
@@ -112,6 +113,17 @@ def test_members_of_one_archive_are_unpacked_by_several_tasks(spark, tmp_path):
         S.zipped_files(spark, str(tmp_path / "b.zip")).collect()
 
 
+def test_archives_reach_a_worker_one_at_a_time(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as opened:
+        opened.writestr("top/a.txt", "a")
+    archives = spark.range(300).select(F.concat(F.lit("z"), "id").alias("path"), F.lit(len(out.getvalue())).cast("long").alias("length"), F.lit(out.getvalue()).alias("content"))
+    found = S.members_of(archives)
+    assert found.count() == 300 and found.select("archive").distinct().count() == 300
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan and plan.count("MapInPandas") >= 1
+
+
 def test_live_depths_keep_state_between_batches(spark, tmp_path):
     rows = [("call", 0), ("call", 1), ("return", 2), ("return", 3), ("return", 4), ("call", 5)]
     source = tmp_path / "in"
