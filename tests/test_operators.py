@@ -134,3 +134,16 @@ def test_latest_ready_and_suites(spark):
     assert L.suites_summary(L.suite_counts(fine, ["suite"])).first()["succeeded"]
     assert not L.suites_summary(L.suite_counts(fine.withColumn("suite_error", F.lit("no link")), ["suite"])).first()["succeeded"]
     assert not L.suites_summary(L.suite_counts(cases.limit(0), ["suite"])).first()["succeeded"]
+
+
+def test_frames_of_a_traceback_are_searched_once(spark):
+    from pyspark.sql import functions as F
+
+    from rootweave.plans import project_queries as Q
+    from rootweave.sources.recordings import traceback_frames
+
+    plan = Q.own_frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    text = 'Traceback (most recent call last):\n\n  File "a b.py", line 3, in f g \n    File "c.py", line 4\n File "d.py", line x\n  File "e.py", line 5, in h\nE: x'
+    rows = spark.createDataFrame([(text,), ("no frames",), (None,)], "t string").select(traceback_frames(F.col("t")).alias("f")).collect()
+    assert [[tuple(x) for x in r["f"] or []] for r in rows] == [[("a b.py", 3, "f g"), ("c.py", 4, "<module>"), ("e.py", 5, "h")], [], []]
