@@ -13,6 +13,7 @@ from rootweave.operators import trace as X
 from rootweave.operators import traverse as V
 from rootweave.operators.ranges import RANGE, in_ranges
 from rootweave.plans import localize as Z
+from rootweave.plans import project as P
 from tests.test_localize import SCORES, _inputs
 
 
@@ -145,3 +146,31 @@ def test_a_result_does_not_need_every_holder_of_a_name(spark):
     every, few = Z.candidates(own, held, named), Z.leading(own, held, named, facts, crash, files)
     assert every.count() >= n * n and few.count() <= 12 * n
     assert results(few) == results(every)
+
+
+def test_a_graph_is_made_of_keys_that_were_moved_once(spark):
+    """Its edges are read from steps that are written, without another pass over lines or an exchange of names, and none is doubled."""
+    nodes, edges = P.crash_graph(spark, "/root/testdata/sf0.001")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and not re.search(r"Join|hashpartitioning\(source#\d+, target#\d+, kind", plan)
+    assert edges.count() == edges.distinct().count() > 0
+    ids = nodes.select("id").distinct()
+    assert edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").count() == edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").count() == 0
+
+
+def test_one_run_meets_a_part_of_the_graph(spark):
+    """Facts are gathered of what is wanted alone, functions by the names that are told, and small frontiers meet edges that stay in place."""
+    nodes, edges = (Z.kept(x, "graph", "kind") for x in P.crash_graph(spark, "/root/testdata/sf0.001"))
+    wanted = nodes.filter("kind = 'function' AND ord % 6 = 0").select(F.col("id").alias("node_id"))
+    every = Z.facts_of(nodes, edges).join(wanted, "node_id", "left_semi")
+    found = Z.facts_of(nodes, edges, wanted)
+    assert sorted(found.collect()) == sorted(every.select(found.columns).collect()) and found.count() == wanted.count() > 0
+    functions = nodes.filter("kind IN ('function', 'method')").select("id", F.col("label").alias("name"), "file")
+    runs = spark.createDataFrame([('Traceback (most recent call last):\n  File "p0/m1.py", line 3, in fn1\nE: x\n',), (None,)], "stderr string")
+    events = spark.createDataFrame([("fn7",), (None,), ("gone",)], "function string")
+    assert sorted(r["name"] for r in Z._met(functions, runs, events).collect()) == ["C.fn7", "fn1"]
+    start = functions.filter("name = 'fn1'").select(F.lit("r").alias("run_id"), "id")
+    steps = V.run_depths(edges, Z.kept(start, "start"), "calls")
+    back = V.reverse_depths(edges, start, "calls")
+    assert sorted((r["node"], r["depth"]) for r in steps.collect()) == sorted((r["node"], r["depth"]) for r in back.collect() if r["depth"])
+    assert "kind=calls" not in steps._jdf.queryExecution().executedPlan().toString()  # what is left to do reads frontiers alone
