@@ -154,7 +154,8 @@ def runtime_rows(nodes: DataFrame, events: DataFrame, errors: DataFrame | None)
     events: run_id, language, seq, type, function, filename; errors: run_id, language, exception_type, message.
     """
     functions = nodes.filter(F.col("kind").isin("function", "method")).select("id", F.col("label").alias("name"), "file")
-    linked = X.bucketed(R.link_runtime(events, functions))
+    events = events.select("run_id", "language", "seq", "type", "function", "filename")
+    linked = kept(X.bucketed(R.link_runtime(events, functions)), "linked")  # read by each of the parts below, twice for each step to the call before
     calls = linked.filter(F.col("type") == X.CALL)
     after = X.executes_after(calls)
     first = F.min_by(F.struct("function", "filename"), F.struct("language", "run_id", "seq"))

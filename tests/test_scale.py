@@ -12,6 +12,7 @@ from rootweave.operators import resolve as R
 from rootweave.operators import trace as X
 from rootweave.operators import traverse as V
 from rootweave.operators.ranges import RANGE, in_ranges
+from rootweave.plans import knowledge as K
 from rootweave.plans import localize as Z
 from rootweave.plans import project as P
 from tests.test_localize import SCORES, _inputs
@@ -174,3 +175,17 @@ def test_one_run_meets_a_part_of_the_graph(spark):
     back = V.reverse_depths(edges, start, "calls")
     assert sorted((r["node"], r["depth"]) for r in steps.collect()) == sorted((r["node"], r["depth"]) for r in back.collect() if r["depth"])
     assert "kind=calls" not in steps._jdf.queryExecution().executedPlan().toString()  # what is left to do reads frontiers alone
+
+
+def test_a_recorded_program_is_derived_and_linked_once(spark):
+    """Events are read from what is written, not from lines again, and edges of a run from linked events."""
+    events, errors = P.recorded(spark, "/root/testdata/sf0.001")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (events, errors)]
+    assert not [x for x in plans if "lineitem" in x or "Join" in x] and events.count() == events.distinct().count()
+    assert errors.count() == events.filter("type = 'exception'").count() > 0
+    columns = "id string, kind string, label string, file string"
+    nodes = spark.createDataFrame([("a.py::f", "function", "f", "a.py"), ("a.py::g", "function", "g", "a.py")], columns)
+    few = spark.createDataFrame([("r", "Python", at, "call", name, "/srv/a.py") for at, name in enumerate("fgh")], "run_id string, language string, seq long, type string, function string, filename string")
+    _, edges = K.runtime_rows(nodes, few, None)
+    assert "Generate" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(edges.select("source", "target").collect()) == [("a.py::f", "a.py::g"), ("a.py::g", "runtime::Python::/srv/a.py::h")]
